@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wagerframe.functions import text
+from wagerframe.functions.lottery import let
 
 # Vocabulary and patterns of the answer language.
 SAFE_WHEN_TRUNCATED = ["json", "boxed", "short_answer_line", "bare_token"]
@@ -121,10 +122,8 @@ def _mentions(body: Column, pattern: str) -> Column:
     the text on both sides stays at hand for the vetoes.
     """
     marked = F.regexp_replace(body, F.lit(_U + pattern), F.lit(f"{_START}$0{_MID}$1{_END}"))
-    parts = F.split(marked, _START)
-    plain = F.transform(parts, lambda part: F.regexp_replace(part, f"{_MID}[^{_END}]*{_END}", ""))
 
-    def at(i: Column) -> Column:
+    def at(parts: Column, plain: Column, i: Column) -> Column:
         part = F.get(parts, i)
         return F.struct(
             text.spoken_token(F.regexp_extract(part, f"{_MID}([^{_END}]*){_END}", 1)).alias("label"),
@@ -136,8 +135,15 @@ def _mentions(body: Column, pattern: str) -> Column:
             ).alias("rest"),
         )
 
-    found = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), at)
-    return F.when(F.size(parts) > 1, found)
+    def listed(parts: Column) -> Column:
+        plain = F.transform(parts, lambda part: F.regexp_replace(part, f"{_MID}[^{_END}]*{_END}", ""))
+        found = let(
+            plain,
+            lambda clean: F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: at(parts, clean, i)),
+        )
+        return F.when(F.size(parts) > 1, found)
+
+    return let(F.split(marked, _START), listed)
 
 
 def _all_mentions(body: Column, patterns: list[str]) -> Column:
@@ -145,22 +151,28 @@ def _all_mentions(body: Column, patterns: list[str]) -> Column:
     return F.concat(*[F.coalesce(_mentions(body, p), none) for p in patterns])
 
 
-def _sentence(m: Column) -> tuple[Column, Column, Column]:
-    """Sentence of a mention, and its text before and after the mention.
-
-    Offsets are those of the untrimmed sentence applied to the trimmed one.
-    """
+def _whole_sentence(m: Column) -> Column:
     left = F.regexp_extract(m["lead"], r"[^\n.!?]*\z", 0)
     right = F.regexp_extract(m["rest"], r"^[^\n.!?]*", 0)
-    whole = text.strip_blank(F.concat(left, m["hit"], right))
-    before = F.substr(whole, F.lit(1), F.length(left))
-    after = F.substr(whole, F.length(left) + F.length(m["hit"]) + 1)
-    return whole, before, after
+    return F.struct(
+        F.length(left).alias("at"), text.strip_blank(F.concat(left, m["hit"], right)).alias("whole")
+    )
+
+
+def _hedged(m: Column, refuse_non_answer: bool = False) -> Column:
+    """The sentence of a mention hedges, or puts a condition around it.
+
+    Offsets of the mention are those of the untrimmed sentence, applied to the
+    trimmed one.
+    """
 
+    def vetoed(s: Column) -> Column:
+        before = F.substr(s["whole"], F.lit(1), s["at"])
+        after = F.substr(s["whole"], s["at"] + F.length(m["hit"]) + 1)
+        bad = s["whole"].rlike(_U + HEDGES) | before.rlike(_U + HEDGED_BEFORE) | after.rlike(_U + HEDGED_AFTER)
+        return bad | _non_answer(s["whole"]) if refuse_non_answer else bad
 
-def _hedged(m: Column) -> Column:
-    whole, before, after = _sentence(m)
-    return whole.rlike(_U + HEDGES) | before.rlike(_U + HEDGED_BEFORE) | after.rlike(_U + HEDGED_AFTER)
+    return let(_whole_sentence(m), vetoed)
 
 
 def _conditional_later(m: Column) -> Column:
@@ -395,8 +407,7 @@ def _stages(
 
     def weak(patterns: list[str], name: str, bodies=readings, rescue=False) -> Column:
         def veto(m: Column) -> Column:
-            bad = _hedged(m) | _conditional_later(m)
-            return bad | _non_answer(_sentence(m)[0]) if rescue else bad
+            return _hedged(m, rescue) | _conditional_later(m)
 
         labels = F.array_compact(F.transform(bodies, lambda body: _last_label(body, patterns, valid, veto)))
         return _said(F.get(labels, F.lit(0)), name)
@@ -457,7 +468,7 @@ def _rescue(weak, valid: Column) -> Column:
     sentences = _sentences(whole)
 
     def veto(m: Column) -> Column:
-        return _hedged(m) | _non_answer(_sentence(m)[0])
+        return _hedged(m, True)
 
     def read(sentence: Column, i: Column) -> Column:
         later = F.array_join(F.slice(sentences, i + 2, F.lit(5)), " ")

@@ -114,15 +114,14 @@ def user_money_outcome(value: Column) -> Column:
 
 def three_figures(value: Column) -> Column:
     """Shortest text of a value at three significant figures (``0.05``, ``12.5``, ``1.23e+10``)."""
-    kept = lottery.round_significant(value, 3)
-    size = F.abs(kept)
-    plain = F.regexp_replace(
-        F.regexp_replace(F.format_string("%.6f", kept), r"(\.\d*?)0+$", "$1"), r"\.$", ""
-    )
-    sci = F.regexp_replace(
-        F.regexp_replace(F.format_string("%.2e", kept), r"(\.\d*?)0+e", "$1e"), r"\.e", "e"
-    )
-    return F.when(size == 0, "0").when((size >= 1e-4) & (size < 1e3), plain).otherwise(sci)
+
+    def shown(kept: Column) -> Column:
+        size = F.abs(kept)
+        plain = F.regexp_replace(F.regexp_replace(F.format_string("%.6f", kept), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+        sci = F.regexp_replace(F.regexp_replace(F.format_string("%.2e", kept), r"(\.\d*?)0+e", "$1e"), r"\.e", "e")
+        return F.when(size == 0, "0").when((size >= 1e-4) & (size < 1e3), plain).otherwise(sci)
+
+    return lottery.let(lottery.round_significant(value, 3), shown)
 
 
 def lottery_amount(value: Column) -> Column:

@@ -21,6 +21,15 @@ LOW_ALPHA = 0.01
 HIGH_ALPHA = 0.10
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and hand it to ``body`` as a bound variable.
+
+    Catalyst does not share subexpressions inside lambdas; without this an inner
+    lambda would recompute every array it refers to for each of its elements.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def sum_of(values: Column, zero: float | int = 0.0) -> Column:
     return F.aggregate(values, F.lit(zero), lambda acc, v: acc + v)
 
@@ -42,12 +51,17 @@ def round_significant(value: Column, digits: Column | int) -> Column:
     decimal tie such as 1225 at three figures is still seen as a tie.
     """
     digits = F.lit(digits) if isinstance(digits, int) else digits
+
+    def scaled(shift: Column) -> Column:
+        size = F.abs(value)
+        factor = F.pow(F.lit(10.0), F.abs(shift))
+        up, down = F.rint(size * factor) / factor, F.rint(size / factor) * factor
+        return F.signum(value) * F.when(shift >= 0, up).otherwise(down)
+
     size = F.abs(value)
-    shift = (digits - 1 - F.floor(F.log10(size))).cast("int")
-    up = F.rint(size * F.pow(F.lit(10.0), shift.cast("double"))) / F.pow(F.lit(10.0), shift.cast("double"))
-    down = F.rint(size / F.pow(F.lit(10.0), (-shift).cast("double"))) * F.pow(F.lit(10.0), (-shift).cast("double"))
     finite = (size > 0) & ~F.isnan(value) & (size < float("inf"))
-    return F.when(finite, F.signum(value) * F.when(shift >= 0, up).otherwise(down)).otherwise(value)
+    shift = (digits - 1 - F.floor(F.log10(size))).cast("double")
+    return F.when(finite, let(shift, scaled)).otherwise(value)
 
 
 def display_round(value: Column, mode: Column) -> Column:
@@ -62,58 +76,75 @@ def normalise_percents(weights: Column, total: int = 100) -> Column:
     Ties of remainders go to the earlier slot; an all-zero vector puts the whole
     total on the first slot; a vector already at the total is returned as is.
     """
-    bounded = F.transform(weights, lambda w: F.greatest(F.lit(0), F.least(F.lit(100), w.cast("int"))))
-    mass = sum_of(bounded, 0)
-    floors = F.transform(bounded, lambda w: F.floor(w * total / mass).cast("int"))
-    left = F.lit(total) - sum_of(floors, 0)
-    remainders = F.transform(bounded, lambda w: F.pmod(w * total, F.nullif(mass, F.lit(0))))
-
-    def bump(floor: Column, i: Column) -> Column:
-        mine = F.get(remainders, i)
-        ahead = F.size(
-            F.filter(
-                F.transform(remainders, lambda r, j: (r > mine) | ((r == mine) & (j < i))),
-                lambda beaten: beaten,
-            )
+
+    def share(w: Column, mass: Column) -> Column:
+        return F.floor(w * total / mass).cast("int")
+
+    def topped_up(bounded: Column, mass: Column) -> Column:
+        by_remainder = F.array_sort(
+            F.transform(bounded, lambda w, i: F.struct((-F.pmod(w * total, mass)).alias("r"), i.alias("i")))
+        )
+        left = F.lit(total) - sum_of(F.transform(bounded, lambda w: share(w, mass)), 0)
+        winners = F.transform(F.slice(by_remainder, F.lit(1), left), lambda s: s["i"])
+        return let(
+            winners,
+            lambda first: F.transform(
+                bounded, lambda w, i: share(w, mass) + F.when(F.array_contains(first, i), 1).otherwise(0)
+            ),
         )
-        return floor + F.when(ahead < left, 1).otherwise(0)
 
-    empty = F.transform(bounded, lambda _, i: F.when(i == 0, F.lit(total)).otherwise(F.lit(0)))
-    return (
-        F.when(mass == total, bounded)
-        .when(mass <= 0, empty)
-        .otherwise(F.transform(floors, bump))
-    )
+    def scaled(bounded: Column) -> Column:
+        empty = F.transform(bounded, lambda _, i: F.when(i == 0, F.lit(total)).otherwise(F.lit(0)))
+        return let(
+            sum_of(bounded, 0),
+            lambda mass: F.when(mass == total, bounded).when(mass <= 0, empty).otherwise(topped_up(bounded, mass)),
+        )
+
+    return let(F.transform(weights, lambda w: F.greatest(F.lit(0), F.least(F.lit(100), w.cast("int")))), scaled)
 
 
 def merged(x: Column, p: Column) -> Column:
     """Equal outcomes merged, sorted by outcome, weights renormalised to one."""
-    mass = sum_of(F.transform(p, lambda v: v.cast("double")))
     slots = F.zip_with(x, p, lambda a, b: F.struct((a + F.lit(0.0)).alias("x"), b.cast("double").alias("p")))
-    grid = F.array_sort(F.array_distinct(F.transform(x, lambda v: v + F.lit(0.0))))
-    return F.transform(
-        grid,
-        lambda v: F.struct(
-            v.alias("x"),
-            (
-                F.aggregate(
-                    F.filter(slots, lambda s: s["x"] == v), F.lit(0.0), lambda acc, s: acc + s["p"]
-                )
-                / F.when(mass > 0, mass).otherwise(F.lit(1.0))
-            ).alias("p"),
-        ),
+
+    def grouped(slots: Column, mass: Column) -> Column:
+        return F.transform(
+            F.array_sort(F.array_distinct(F.transform(slots, lambda s: s["x"]))),
+            lambda v: F.struct(v.alias("x"), (_weight_on(slots, v, 0.0) / mass).alias("p")),
+        )
+
+    return let(slots, lambda s: let(positive_mass(p), lambda mass: grouped(s, mass)))
+
+
+def _weight_on(slots: Column, value: Column, zero: float | int) -> Column:
+    return F.aggregate(
+        slots, F.lit(zero), lambda acc, s: acc + F.when(s["x"] == value, s["p"]).otherwise(F.lit(zero))
+    )
+
+
+def positive_mass(p: Column, empty: float = 1.0) -> Column:
+    """Total weight, or ``empty`` for an all-zero vector."""
+    return let(
+        F.aggregate(p, F.lit(0.0), lambda acc, v: acc + v),
+        lambda mass: F.when(mass > 0, mass).otherwise(F.lit(empty)),
     )
 
 
 def merged_in_order(x: Column, p: Column) -> Column:
     """Equal prizes (to the cent) merged at their first position; percents renormalised."""
-    keyed = F.zip_with(x, p, lambda a, b: F.struct(cents(a).alias("x"), b.cast("int").alias("p")))
-    grid = F.array_distinct(F.transform(x, lambda v: cents(v) + F.lit(0.0)))
-    weights = F.transform(
-        grid,
-        lambda v: F.aggregate(F.filter(keyed, lambda s: s["x"] == v), F.lit(0), lambda acc, s: acc + s["p"]),
-    )
-    return F.zip_with(grid, normalise_percents(weights), lambda a, b: F.struct(a.alias("x"), b.alias("p")))
+    keyed = F.zip_with(x, p, lambda a, b: F.struct((cents(a) + F.lit(0.0)).alias("x"), b.cast("int").alias("p")))
+
+    def grouped(slots: Column) -> Column:
+        return let(
+            F.array_distinct(F.transform(slots, lambda s: s["x"])),
+            lambda grid: F.zip_with(
+                grid,
+                normalise_percents(F.transform(grid, lambda v: _weight_on(slots, v, 0))),
+                lambda a, b: F.struct(a.alias("x"), b.alias("p")),
+            ),
+        )
+
+    return let(keyed, grouped)
 
 
 def linear(w: Column) -> Column:
@@ -131,17 +162,14 @@ def cara(alpha: float) -> Utility:
 
 
 def expected_utility(x: Column, p: Column, utility: Utility = linear) -> Column:
-    weighted = F.zip_with(x, p, lambda a, b: utility(a) * b)
-    mass = sum_of(F.transform(p, lambda v: v.cast("double")))
-    return sum_of(weighted) / F.when(mass > 0, mass).otherwise(F.lit(1.0))
+    return sum_of(F.zip_with(x, p, lambda a, b: utility(a) * b)) / positive_mass(p)
 
 
 def expected_value(x: Column, p: Column) -> Column:
     """Expected prize; null when an array is missing, empty or of another length."""
-    mass = sum_of(F.transform(p, lambda v: v.cast("double")))
     weighted = sum_of(F.zip_with(x, p, lambda a, b: a * b))
     usable = (F.size(x) > 0) & (F.size(x) == F.size(p))
-    return F.when(usable, weighted / F.when(mass > 0, mass).otherwise(F.lit(100.0)))
+    return F.when(usable, weighted / positive_mass(p, 100.0))
 
 
 def cara_rank_score(x: Column, p: Column) -> Column:
@@ -150,30 +178,44 @@ def cara_rank_score(x: Column, p: Column) -> Column:
         F.filter(F.zip_with(x, p, lambda a, b: F.struct(a.alias("x"), b.cast("double").alias("p"))), lambda s: s["p"] > 0),
         lambda s: F.ln(s["p"]) - s["x"] * LOW_ALPHA,
     )
-    top = F.array_max(terms)
-    return top + F.ln(sum_of(F.transform(terms, lambda t: F.exp(t - top))))
+
+    def log_sum(terms: Column) -> Column:
+        return let(
+            F.array_max(terms), lambda top: top + F.ln(sum_of(F.transform(terms, lambda t: F.exp(t - top))))
+        )
+
+    return let(terms, log_sum)
 
 
 def mass_at_or_below(x: Column, p: Column, t: Column) -> Column:
-    hit = F.zip_with(x, p, lambda a, b: F.when(a <= t + TIE_TOLERANCE, b.cast("double")).otherwise(F.lit(0.0)))
-    mass = sum_of(F.transform(p, lambda v: v.cast("double")))
-    return sum_of(hit) / F.when(mass > 0, mass).otherwise(F.lit(1.0))
+    """Weight (not normalised) on outcomes up to ``t``."""
+    return sum_of(F.zip_with(x, p, lambda a, b: F.when(a <= t + TIE_TOLERANCE, b.cast("double")).otherwise(F.lit(0.0))))
 
 
 def dominates(x1: Column, p1: Column, x2: Column, p2: Column) -> Column:
     """First-order stochastic dominance of lottery 1 over lottery 2, strict somewhere."""
-    gaps = F.transform(
-        F.array_distinct(F.concat(x1, x2)),
-        lambda t: mass_at_or_below(x1, p1, t) - mass_at_or_below(x2, p2, t),
+
+    def gaps(m: Column) -> Column:
+        return F.transform(
+            F.array_distinct(F.concat(x1, x2)),
+            lambda t: mass_at_or_below(x1, p1, t) / m["a"] - mass_at_or_below(x2, p2, t) / m["b"],
+        )
+
+    masses = F.struct(positive_mass(p1).alias("a"), positive_mass(p2).alias("b"))
+    return let(
+        let(masses, gaps),
+        lambda g: F.forall(g, lambda v: v <= TIE_TOLERANCE) & F.exists(g, lambda v: v < -TIE_TOLERANCE),
     )
-    return F.forall(gaps, lambda g: g <= TIE_TOLERANCE) & F.exists(gaps, lambda g: g < -TIE_TOLERANCE)
 
 
 def worst_outcome(x: Column, p: Column) -> Column:
     """Lowest prize and the total percent on it."""
-    low = F.array_min(x)
-    hit = F.zip_with(x, p, lambda a, b: F.when(F.abs(a - low) < TIE_TOLERANCE, b.cast("int")).otherwise(F.lit(0)))
-    return F.struct((low + F.lit(0.0)).alias("x"), sum_of(hit, 0).alias("p"))
+
+    def at(low: Column) -> Column:
+        hit = F.zip_with(x, p, lambda a, b: F.when(F.abs(a - low) < TIE_TOLERANCE, b.cast("int")).otherwise(F.lit(0)))
+        return F.struct((low + F.lit(0.0)).alias("x"), sum_of(hit, 0).alias("p"))
+
+    return let(F.array_min(x), at)
 
 
 def ev_fraction_of_best(value: Column, best: Column) -> Column:
