@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wagerframe.functions import text
-from wagerframe.functions.lottery import let
+from wagerframe.functions.lottery import let, settle
 
 # Vocabulary and patterns of the answer language.
 SAFE_WHEN_TRUNCATED = ["json", "boxed", "short_answer_line", "bare_token"]
@@ -388,6 +388,7 @@ def parse_choice(
     session = id(df.sparkSession.sparkContext)
     for name, expression in _stages(session, response, num_options, label_style, finish_reason):
         out = out.withColumn(name, expression)
+    out = settle(out.select(*kept, "_found"), "_found")
     return out.select(*kept, F.col("_found.choice").alias(choice), F.col("_found.strategy").alias(strategy))
 
 

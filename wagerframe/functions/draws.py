@@ -64,12 +64,12 @@ def distinct_sample(seed: int, key: Column, stream: str, domain: Column, n: Colu
         domain,
         lambda v: F.struct(uniform(seed, key, F.concat(F.lit(stream + "#"), v.cast("string"))).alias("u"), v.alias("v")),
     )
-    return F.slice(F.transform(F.array_sort(tagged), lambda s: s["v"]), F.lit(1), n)
+    return F.slice(F.transform(F.sort_array(tagged), lambda s: s["v"]), F.lit(1), n)
 
 
 def strict_composition(seed: int, key: Column, stream: str, total: Column, parts: Column) -> Column:
     """``parts`` positive integers with the given sum, by sorted distinct cut points."""
-    cuts = F.array_sort(
+    cuts = F.sort_array(
         distinct_sample(seed, key, stream, F.sequence(F.lit(1), F.greatest(total - 1, F.lit(1))), parts - 1)
     )
     ends = F.concat(cuts, F.array(total))
@@ -80,7 +80,7 @@ def strict_composition(seed: int, key: Column, stream: str, total: Column, parts
 
 def weak_composition(seed: int, key: Column, stream: str, total: Column, parts: Column) -> Column:
     """``parts`` integers >= 0 with the given sum; cut points may repeat."""
-    cuts = F.array_sort(
+    cuts = F.sort_array(
         F.transform(
             F.sequence(F.lit(1), F.greatest(parts - 1, F.lit(1))),
             lambda i: F.floor(uniform(seed, key, F.concat(F.lit(stream + "~"), i.cast("string"))) * (total + 1)).cast("int"),

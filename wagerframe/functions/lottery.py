@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Utility = Callable[[Column], Column]
@@ -30,6 +30,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def settle(df: DataFrame, column: str) -> DataFrame:
+    """Keep later filters above a costly column.
+
+    The optimizer pushes a filter below a projection by inlining the column's
+    whole expression, once per use and again at each stage. It does not push one
+    below a generator, so the column is passed through a one-element array.
+    """
+    rest = [c for c in df.columns if c != column]
+    return df.select(*rest, F.explode_outer(F.array(column)).alias(column)).select(*df.columns)
+
+
 def sum_of(values: Column, zero: float | int = 0.0) -> Column:
     return F.aggregate(values, F.lit(zero), lambda acc, v: acc + v)
 
@@ -81,7 +92,7 @@ def normalise_percents(weights: Column, total: int = 100) -> Column:
         return F.floor(w * total / mass).cast("int")
 
     def topped_up(bounded: Column, mass: Column) -> Column:
-        by_remainder = F.array_sort(
+        by_remainder = F.sort_array(
             F.transform(bounded, lambda w, i: F.struct((-F.pmod(w * total, mass)).alias("r"), i.alias("i")))
         )
         left = F.lit(total) - sum_of(F.transform(bounded, lambda w: share(w, mass)), 0)
@@ -109,7 +120,7 @@ def merged(x: Column, p: Column) -> Column:
 
     def grouped(slots: Column, mass: Column) -> Column:
         return F.transform(
-            F.array_sort(F.array_distinct(F.transform(slots, lambda s: s["x"]))),
+            F.sort_array(F.array_distinct(F.transform(slots, lambda s: s["x"]))),
             lambda v: F.struct(v.alias("x"), (_weight_on(slots, v, 0.0) / mass).alias("p")),
         )
 

@@ -113,7 +113,7 @@ def label_set(cell: Column) -> Column:
         F.filter(_json_list(cell), lambda v: v.isNotNull() & (strip_blank(v) != "")), lambda v: strip_blank(v)
     )
     loose = F.regexp_extract_all(cell, F.lit(r"(\d+|[A-Za-z])"), F.lit(1))
-    return F.array_sort(F.array_distinct(F.coalesce(listed, loose, F.array().cast(_STRINGS))))
+    return F.sort_array(F.array_distinct(F.coalesce(listed, loose, F.array().cast(_STRINGS))))
 
 
 def number_list(cell: Column) -> Column:
@@ -150,7 +150,7 @@ def normal_label(label: Column) -> Column:
 def option_numbers(cells: Iterable[Column]) -> Column:
     """Sorted option numbers of the first label-list cell that has any."""
     lists = [
-        F.array_sort(F.array_distinct(F.array_compact(F.transform(label_list(c), option_number)))) for c in cells
+        F.sort_array(F.array_distinct(F.array_compact(F.transform(label_list(c), option_number)))) for c in cells
     ]
     return F.coalesce(*[F.when(F.size(n) > 0, n) for n in lists], F.array().cast("array<int>"))
 
@@ -197,7 +197,7 @@ def bucket_label(cell: Column) -> Column:
 
 def is_linear_only(label: Column, linear_best: Column, low_best: Column) -> Column:
     named = F.coalesce(bucket_label(label).isin("lin_only", "linear_only"), F.lit(False))
-    differ = (F.size(linear_best) > 0) & (F.size(low_best) > 0) & (F.array_sort(linear_best) != F.array_sort(low_best))
+    differ = (F.size(linear_best) > 0) & (F.size(low_best) > 0) & (F.sort_array(linear_best) != F.sort_array(low_best))
     return named | F.coalesce(differ, F.lit(False))
 
 

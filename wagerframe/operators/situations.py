@@ -61,7 +61,7 @@ def nest(df: DataFrame, key: str, index: str, shared: list[str], own: list[str],
         rows = rows.groupBy(key, index).agg(F.first(F.struct(*columns)).alias("_r")).select(key, index, "_r.*")
     return rows.groupBy(key).agg(
         *[F.min_by(c, index).alias(c) for c in shared],
-        F.array_sort(F.collect_list(F.struct(index, *own))).alias("options"),
+        F.sort_array(F.collect_list(F.struct(index, *own))).alias("options"),
     )
 
 
@@ -121,12 +121,13 @@ def score(df: DataFrame, precision: str = "3sf") -> DataFrame:
             worst_linear=F.abs(o["ev"] - F.col("_top.worst_ev")) < lottery.TIE_TOLERANCE,
         )
 
-    return (
+    out = (
         out.withColumn("options", F.transform("options", flagged))
         .withColumn("max_expected_value", F.col("_top.best_ev"))
         .withColumn("min_expected_value", F.col("_top.worst_ev"))
         .drop("_top")
     )
+    return lottery.settle(out, "options")
 
 
 def of_type(options: Column, kind: str) -> Column:
@@ -149,7 +150,7 @@ def best_sets(options: Column) -> dict[str, Column]:
 def other_types(options: Column) -> Column:
     """Distinct option types besides Cooperate, lower case, sorted."""
     kinds = F.transform(options, lambda o: F.lower(F.trim(o["option_type"])))
-    return F.array_sort(F.array_distinct(F.filter(kinds, lambda k: k.isNotNull() & (k != "cooperate"))))
+    return F.sort_array(F.array_distinct(F.filter(kinds, lambda k: k.isNotNull() & (k != "cooperate"))))
 
 
 def roll_up(df: DataFrame) -> DataFrame:

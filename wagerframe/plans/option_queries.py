@@ -491,6 +491,6 @@ def array_set_operations(spark, folder):
         "situation_id",
         (~F.arrays_overlap(a, b)).alias("disjoint"),
         (F.size(F.array_except(b, a)) == 0).alias("contains"),
-        F.array_sort(F.array_except(b, a)).alias("only_linear"),
-        (F.array_sort(a) == F.array_sort(b)).alias("equal"),
+        F.sort_array(F.array_except(b, a)).alias("only_linear"),
+        (F.sort_array(a) == F.sort_array(b)).alias("equal"),
     )

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wagerframe.functions import lottery
-from wagerframe.plans.registry import table
+from wagerframe.plans.registry import spread, table
 
 TYPES = ["Cooperate", "Rebel", "Steal"]
 
@@ -43,7 +43,10 @@ def raw_weights(h: Column) -> Column:
 
 def drafts(spark: SparkSession, folder: str) -> DataFrame:
     """One row per situation; each option still as its index, type and hash."""
-    o = table(spark, folder, "orders")
+    o = table(spark, folder, "orders").select(
+        "o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", "o_orderstatus"
+    )
+    o = spread(o, "o_orderkey")
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     n = (2 + cust % 4).cast("int")
     subset = F.when(F.col("o_orderpriority") == "1-URGENT", "rebel-cooperate").when(
@@ -200,7 +203,7 @@ def responses(spark: SparkSession, folder: str) -> DataFrame:
         .when(form == 5, F.concat(F.lit("Maybe the answer is option "), number.cast("string"), F.lit(".")))
         .when(form == 6, F.lit(""))
         .when(form == 7, F.concat(F.lit("Seen from the numbers, option "), letter, F.lit(" is the most attractive choice.")))
-        .when(form == 8, F.concat(F.lit("If we choose option 1, we lose. So the better option is option "), number.cast("string"), F.lit(".")))
+        .when(form == 8, F.concat(F.lit("If we choose option 1, we lose. So the best option is option "), number.cast("string"), F.lit(".")))
         .otherwise(F.lit("No option here appeals to me."))
     )
     return li.select(
