@@ -11,6 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+def one_row(facts: DataFrame) -> Column:
+    """A one-row aggregate as a struct column, planned as a scalar subquery."""
+    return facts.select(F.struct(*facts.columns).alias("_facts")).scalar()
+
+
 HOT_ROWS = 1_000_000
 SLICE_ROWS = 250_000
 
@@ -143,12 +148,12 @@ def alternate(
         F.min_by(kind, row_id).alias("_lead"),
     )
     ranked = rank_within(both, [kind], [F.col(row_id)], "_rank", **rank_options)
-    first = F.when(F.col("_lead") == kinds[1], F.lit(kinds[1])).otherwise(F.lit(kinds[0]))
-    shared = F.least(F.col("_n0"), F.col("_n1"))
+    first = F.when(F.col("_f._lead") == kinds[1], F.lit(kinds[1])).otherwise(F.lit(kinds[0]))
+    shared = F.least(F.col("_f._n0"), F.col("_f._n1"))
     paired = (F.col("_rank") - 1) * 2 + F.when(F.col(kind) == first, 1).otherwise(2)
     position = F.when(F.col("_rank") <= shared, paired).otherwise(F.col("_rank") + shared)
     return (
-        ranked.join(F.broadcast(facts))  # one aggregate row
+        ranked.withColumn("_f", one_row(facts))
         .withColumn(out, position.cast("long"))
         .select(*df.columns, out)
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wagerframe.plans import option_queries, policy_queries  # noqa: F401  (imported for registration)
+from wagerframe.plans import option_queries, pair_queries, policy_queries, text_queries  # noqa: F401  (imported for registration)
 from wagerframe.plans.registry import QUERIES, TWINS
 
 
