@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from wagerframe.plans import option_queries, pair_queries, policy_queries, text_queries  # noqa: F401  (imported for registration)
+from wagerframe.plans import (  # noqa: F401  (imported for registration)
+    option_queries,
+    pair_queries,
+    policy_queries,
+    sampling_queries,
+    text_queries,
+)
 from wagerframe.plans.registry import QUERIES, TWINS
 
 
