@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from wagerframe.plans import (  # noqa: F401  (imported for registration)
+    generation_queries,
     option_queries,
     pair_queries,
     policy_queries,
