@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from wagerframe.functions.lottery import let
+
 
 def uniform(seed: int, key: Column, stream: str | Column) -> Column:
     """A draw in [0, 1): the first 13 hex digits of an md5 over 2**52."""
@@ -67,17 +69,37 @@ def distinct_sample(seed: int, key: Column, stream: str, domain: Column, n: Colu
     return F.slice(F.transform(F.sort_array(tagged), lambda s: s["v"]), F.lit(1), n)
 
 
+def distinct_ints(seed: int, key: Column, stream: str, low: Column, high: Column, n: Column) -> Column:
+    """``n`` distinct integers of [low, high], every set equally likely, with ``n`` draws.
+
+    Each step draws from a range one longer than the last; a value seen before is
+    replaced by the range's end.
+    """
+
+    def add(seen: Column, end: Column) -> Column:
+        u = uniform(seed, key, F.concat(F.lit(stream + "#"), end.cast("string")))
+        return let(
+            (low + F.floor(u * (end - low + 1))).cast("int"),
+            lambda value: F.array_append(seen, F.when(F.array_contains(seen, value), end).otherwise(value)),
+        )
+
+    ends = F.when(n > 0, F.sequence(high - n + 1, high)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(ends, F.array().cast("array<int>"), add)
+
+
 def strict_composition(seed: int, key: Column, stream: str, total: Column, parts: Column) -> Column:
     """``parts`` positive integers with the given sum, by sorted distinct cut points."""
-    cuts = F.sort_array(
-        distinct_sample(seed, key, stream, F.sequence(F.lit(1), F.greatest(total - 1, F.lit(1))), parts - 1)
-    )
-    ends = F.concat(cuts, F.array(total))
-    starts = F.concat(F.array(F.lit(0)), cuts)
-    split = F.zip_with(ends, starts, lambda e, s: e - s)
+    cuts = F.sort_array(distinct_ints(seed, key, stream, F.lit(1), (total - 1).cast("int"), (parts - 1).cast("int")))
+    split = let(cuts, lambda c: _gaps(c, total))
     return F.when(parts <= 0, F.array().cast("array<int>")).when(parts == 1, F.array(total)).otherwise(split)
 
 
+def _gaps(cuts: Column, total: Column) -> Column:
+    """Differences of consecutive cut points between 0 and the total."""
+    ends, starts = F.concat(cuts, F.array(total)), F.concat(F.array(F.lit(0)), cuts)
+    return F.zip_with(ends, starts, lambda e, s: e - s)
+
+
 def weak_composition(seed: int, key: Column, stream: str, total: Column, parts: Column) -> Column:
     """``parts`` integers >= 0 with the given sum; cut points may repeat."""
     cuts = F.sort_array(
@@ -86,9 +108,7 @@ def weak_composition(seed: int, key: Column, stream: str, total: Column, parts:
             lambda i: F.floor(uniform(seed, key, F.concat(F.lit(stream + "~"), i.cast("string"))) * (total + 1)).cast("int"),
         )
     )
-    split = F.zip_with(
-        F.concat(cuts, F.array(total)), F.concat(F.array(F.lit(0)), cuts), lambda e, s: e - s
-    )
+    split = let(cuts, lambda c: _gaps(c, total))
     return F.when(parts <= 0, F.array().cast("array<int>")).when(parts == 1, F.array(total)).otherwise(split)
 
 

@@ -48,7 +48,7 @@ def sum_of(values: Column, zero: float | int = 0.0) -> Column:
 def half_even(value: Column, decimals: int) -> Column:
     """Round half to even at a fixed number of decimals, in plain double arithmetic."""
     scale = float(10**decimals)
-    return F.when(F.abs(value) < 1e15, F.rint(value * scale) / scale).otherwise(value)
+    return let(value, lambda v: F.when(F.abs(v) < 1e15, F.rint(v * scale) / scale).otherwise(v))
 
 
 def cents(value: Column) -> Column:
@@ -63,16 +63,18 @@ def round_significant(value: Column, digits: Column | int) -> Column:
     """
     digits = F.lit(digits) if isinstance(digits, int) else digits
 
-    def scaled(shift: Column) -> Column:
-        size = F.abs(value)
-        factor = F.pow(F.lit(10.0), F.abs(shift))
+    def scaled(v: Column, shift: Column) -> Column:
+        size, factor = F.abs(v), F.pow(F.lit(10.0), F.abs(shift))
         up, down = F.rint(size * factor) / factor, F.rint(size / factor) * factor
-        return F.signum(value) * F.when(shift >= 0, up).otherwise(down)
+        return F.signum(v) * F.when(shift >= 0, up).otherwise(down)
 
-    size = F.abs(value)
-    finite = (size > 0) & ~F.isnan(value) & (size < float("inf"))
-    shift = (digits - 1 - F.floor(F.log10(size))).cast("double")
-    return F.when(finite, let(shift, scaled)).otherwise(value)
+    def rounded(v: Column) -> Column:
+        size = F.abs(v)
+        finite = (size > 0) & ~F.isnan(v) & (size < float("inf"))
+        shift = (digits - 1 - F.floor(F.log10(size))).cast("double")
+        return F.when(finite, let(shift, lambda by: scaled(v, by))).otherwise(v)
+
+    return let(value, rounded)
 
 
 def display_round(value: Column, mode: Column) -> Column:

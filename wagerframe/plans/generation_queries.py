@@ -55,11 +55,14 @@ def type_masks(spark, folder):
 
 @query(
     "compositions",
-    f"""WITH c AS (SELECT o_orderkey, (2 + o_orderkey % 4)::INT AS n, o_orderkey % 2 = 0 AS verbal, unnest(range(1, CASE WHEN o_orderkey % 2 = 0 THEN 20 ELSE 100 END)) AS v FROM orders),
-    r AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY {uniform_sql(1, 'o_orderkey', "percents#' || v || '")}) AS k FROM c),
-    s AS (SELECT o_orderkey, any_value(n) AS n, any_value(verbal) AS verbal, list(v ORDER BY v) AS cuts FROM r WHERE k <= n - 1 GROUP BY o_orderkey)
-    SELECT o_orderkey, list_transform(range(1, n + 1), lambda i: ((CASE WHEN i = n THEN CASE WHEN verbal THEN 20 ELSE 100 END ELSE cuts[i] END
-      - CASE WHEN i = 1 THEN 0 ELSE cuts[i - 1] END) * CASE WHEN verbal THEN 5 ELSE 1 END)::INT) AS percents FROM s""",
+    f"""WITH s AS (SELECT o_orderkey, (2 + o_orderkey % 4)::INT AS n, CASE WHEN o_orderkey % 2 = 0 THEN 20 ELSE 100 END AS whole FROM orders),
+    c AS (SELECT *, {", ".join(f"whole - n + {i} AS e{i}, 1 + floor({uniform_sql(1, 'o_orderkey', "percents#' || (whole - n + " + str(i) + ") || '")} * (whole - n + {i}))::INT AS t{i}" for i in (1, 2, 3, 4))} FROM s),
+    d AS (SELECT *, t1 AS c1, CASE WHEN t2 = t1 THEN e2 ELSE t2 END AS c2 FROM c),
+    e AS (SELECT *, CASE WHEN t3 IN (c1, c2) THEN e3 ELSE t3 END AS c3 FROM d),
+    f AS (SELECT *, CASE WHEN t4 IN (c1, c2, c3) THEN e4 ELSE t4 END AS c4 FROM e),
+    g AS (SELECT o_orderkey, n, whole, list_sort(([c1, c2, c3, c4])[1:n - 1]) AS cuts FROM f)
+    SELECT o_orderkey, list_transform(range(1, n + 1), lambda i: ((CASE WHEN i = n THEN whole ELSE cuts[i] END
+      - CASE WHEN i = 1 THEN 0 ELSE cuts[i - 1] END) * (100 // whole))::INT) AS percents FROM g""",
 )
 def compositions(spark, folder):
     k = F.col("o_orderkey")

@@ -304,6 +304,7 @@ def dominance_flags(spark, folder):
 def rebels_dominating_cooperates(spark, folder):
     nested = situations(spark, folder).withColumn("coops", sit.of_type(F.col("options"), "Cooperate"))
     rebels = nested.select("situation_id", "coops", F.explode_outer(sit.of_type(F.col("options"), "Rebel")).alias("r"))
+    rebels = rebels.filter(F.col("r").isNotNull())
     beaten = F.filter(
         "coops", lambda c: lottery.dominates(F.col("r.prizes"), F.col("r.probs"), c["prizes"], c["probs"])
     )

@@ -58,15 +58,14 @@ def rounded(df):
     "scored_answers",
     SCORED_SQL
     + """SELECT situation_id, run_id, seq, choice, strategy, option_type, is_best_cara, is_best_linear, is_worst_linear,
-    round(expected_value, 4) AS expected_value, round(fraction_of_best, 6) AS fraction_of_best,
-    round(relative_to_range, 6) AS relative_to_range, round(regret, 4) AS regret FROM res""",
+    round(expected_value, 4) AS expected_value, fraction_of_best, relative_to_range, round(regret, 4) AS regret FROM res""",
 )
 def scored_answers_query(spark, folder):
     return scored_answers(spark, folder).select(
         "situation_id", "run_id", "seq", "choice", "strategy", "option_type", "is_best_cara", "is_best_linear", "is_worst_linear",
         F.round("expected_value", 4).alias("expected_value"),
-        six("expected_value_fraction_of_best").alias("fraction_of_best"),
-        six("expected_value_relative_to_range").alias("relative_to_range"),
+        F.col("expected_value_fraction_of_best").alias("fraction_of_best"),
+        F.col("expected_value_relative_to_range").alias("relative_to_range"),
         F.round("expected_value_regret", 4).alias("regret"),
     )
 

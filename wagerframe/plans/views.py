@@ -188,12 +188,15 @@ def with_options(body: str) -> str:
 
 def responses(spark: SparkSession, folder: str) -> DataFrame:
     """Answers of seven runs to situations; the text form follows the part key."""
-    return answer_rows(table(spark, folder, "lineitem"))
+    return answer_rows(spread(table(spark, folder, "lineitem").select(*ANSWER_COLUMNS), "l_orderkey"))
+
+
+ANSWER_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice"]
 
 
 def answer_rows(lines: DataFrame) -> DataFrame:
     """Line items as answers; works on a batch table and on a stream."""
-    li = lines.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    li = lines.select(*ANSWER_COLUMNS)
     number = (1 + F.col("l_suppkey") % 5).cast("int")
     letter = F.char(F.lit(96) + number)
     form = F.col("l_partkey") % 10
