@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from wagerframe.llm import (  # noqa: F401  (imported for registration)
     exact_dedup,
+    mixing,
 )
 from wagerframe.llm.registry import QUERIES, TWINS
 
