@@ -23,7 +23,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, epo
     ``sizes`` is (source, source_size). Sources by code point, null last, take the
     weights in turn. Excess over a bound is shared again by weight until no source
     is above its bound; that fixed point is ``min(bound, level * weight)``, and the
-    level follows from prefix sums over the sources ordered by bound / weight.
+    level follows from prefix sums over the sources ordered by bound / weight. Along
+    that order the candidate levels rise until the first source that keeps below its
+    bound and fall from there, so the largest level that fits its source is the one.
     """
     by_name = Window.orderBy(F.col("source").isNull(), F.encode("source", "UTF-8"))
     by_bound = Window.orderBy(F.col("bound") / F.col("weight"), "place")
@@ -46,7 +48,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, epo
             "_weights": F.sum("weight").over(by_bound.rowsBetween(0, Window.unboundedFollowing)),
         }
     ).withColumn("_level", (F.col("goal") - F.col("_before")) / F.col("_weights"))
-    level = F.min(F.when(F.col("_level") * F.col("weight") <= F.col("bound"), F.col("_level"))).over(Window.partitionBy())
+    level = F.max(F.when(F.col("_level") * F.col("weight") <= F.col("bound"), F.col("_level"))).over(Window.partitionBy())
     return levels.select(
         "source",
         "source_size",
@@ -101,7 +103,7 @@ def mix(
     weights: tuple[int, ...] = (5, 2, 1),
     share: float = 1.5,
     epochs: int = 2,
-    block_words: int = 64,
+    block_words: int = 32,
     digits: int = 3,
     seed: str = "mix",
 ) -> DataFrame:
@@ -230,7 +232,7 @@ def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
     return out.select(*[values[c].alias(c) if c in values and c in columns else out[c] for c in columns])
 
 
-def _twin(weights=(5, 2, 1), share=1.5, epochs=2, block=64, seed="mix", chunk=None) -> str:
+def _twin(weights=(5, 2, 1), share=1.5, epochs=2, block=32, seed="mix") -> str:
     weight = f"CASE place % {len(weights)} " + " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(weights)) + " END"
     return rf"""
     WITH sized AS MATERIALIZED (
@@ -248,7 +250,7 @@ def _twin(weights=(5, 2, 1), share=1.5, epochs=2, block=64, seed="mix", chunk=No
         FROM weighed
     ), targets AS MATERIALIZED (
         SELECT source, source_size, place,
-               least(bound::DOUBLE, coalesce((min(CASE WHEN lvl * weight <= bound THEN lvl END) OVER ()) * weight, bound)) AS target
+               least(bound::DOUBLE, coalesce((max(CASE WHEN lvl * weight <= bound THEN lvl END) OVER ()) * weight, bound)) AS target
         FROM levels
     ), cumulated AS (
         SELECT place, floor(sum(target) OVER (ORDER BY place ROWS UNBOUNDED PRECEDING) / sum(target) OVER () * {POINTS} + 0.5)::BIGINT AS high
