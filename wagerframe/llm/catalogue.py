@@ -8,6 +8,7 @@ from wagerframe.llm import (  # noqa: F401  (imported for registration)
     packing,
     quality,
     sharding,
+    token_counts,
     warc,
 )
 from wagerframe.llm.registry import QUERIES, TWINS
