@@ -5,6 +5,7 @@ from __future__ import annotations
 from wagerframe.llm import (  # noqa: F401  (imported for registration)
     exact_dedup,
     mixing,
+    near_dedup,
     packing,
     quality,
     sharding,

@@ -18,7 +18,7 @@ from wagerframe.llm.registry import query, table
 from wagerframe.llm.shared import bounded_batches
 
 #: White space that str.split() would split at, though the tokenizers need not.
-OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 POSTINGS = "block long, token string, salt long, at binary, counts binary, ids array<bigint>, sizes array<bigint>"
 PARTIALS = "block long, at binary, counts binary, ids array<bigint>, sizes array<bigint>"
 ARROW = {
