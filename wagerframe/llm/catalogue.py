@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from wagerframe.llm import (  # noqa: F401  (imported for registration)
     exact_dedup,
+    language,
     mixing,
     near_dedup,
     packing,
     quality,
     sharding,
     token_counts,
+    toxicity,
     warc,
 )
 from wagerframe.llm.registry import QUERIES, TWINS
