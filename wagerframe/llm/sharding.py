@@ -46,17 +46,28 @@ def _deal(items: Column, loads: Column) -> Column:
     return F.aggregate(items, F.struct(loads.alias("loads"), F.array().cast("array<int>").alias("to")), step)["to"]
 
 
-def rebalance(current: DataFrame, loads: DataFrame, shards: int) -> DataFrame:
+def fair_level(loads: DataFrame, shards: int) -> DataFrame:
+    """One row (level): the load that shards can share, apart from slots that are larger than it by themselves."""
+    largest = Window.orderBy(F.desc("load"), "slot")
+    before = F.sum("load").over(largest.rowsBetween(Window.unboundedPreceding, 0)) - F.col("load")
+    ranked = loads.select(
+        "load", (F.row_number().over(largest) - 1).alias("above"), (F.sum("load").over(Window.partitionBy()) - before).alias("rest")
+    ).filter(F.col("above") < shards)
+    level = F.col("rest") / (shards - F.col("above"))
+    return ranked.withColumn("level", level).filter(F.col("load") <= F.col("level")).agg(F.min_by("level", "above").alias("level"))
+
+
+def rebalance(current: DataFrame, loads: DataFrame, shards: int, slack: float = 0.05) -> DataFrame:
     """An edited map with near equal bytes per shard.
 
-    A shard keeps its largest slots as long as they fit into the mean load; only
-    the slots beyond it move, largest first, each to the least loaded shard. All
+    A shard keeps its largest slots up to ``1 - slack`` of the fair level; only the
+    slots beyond that move, largest first, each to the least loaded shard. All
     tables here have one row per virtual slot, so one row can hold them.
     """
+    fair = fair_level(loads, shards).first()["level"]  # one number
     held = current.join(loads, "slot")
-    mean = F.sum("load").over(Window.partitionBy()) / shards
     order = Window.partitionBy("shard").orderBy(F.desc("load"), "slot").rowsBetween(Window.unboundedPreceding, 0)
-    marked = held.withColumn("_stays", F.sum("load").over(order) <= mean)
+    marked = held.withColumn("_stays", F.sum("load").over(order) <= (1 - slack) * fair)
     entry = F.struct("load", "slot", "shard")
     row = marked.agg(
         F.collect_list(F.when(F.col("_stays"), entry)).alias("kept"),
