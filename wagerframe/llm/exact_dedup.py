@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wagerframe.llm.registry import query, table
 from wagerframe.llm.shared import save, shared_folder
 
 
+def digest_of(text: Column) -> Column:
+    return F.sha2(F.regexp_replace(text, r"[\x20\x09-\x0D]+", ""), 256)
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, digest, code points) of every row, plus ``_row``, a number of its own.
 
@@ -20,7 +24,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
         F.col(id_col).alias("_id"),
-        F.sha2(F.regexp_replace(text, r"[\x20\x09-\x0D]+", ""), 256).alias("digest"),
+        digest_of(text).alias("digest"),
         F.char_length(text).alias("chars"),
         F.monotonically_increasing_id().alias("_row"),
     )
@@ -97,18 +101,14 @@ def drop_exact_copies(docs: DataFrame, index: DigestIndex, batch: str) -> DataFr
 
     Rows are found again by id and digest; rows equal in both collapse to one.
     """
-    kept = index.ingest(docs, batch).filter("kept").select("_id", "digest")
-    marked = docs.withColumn(
-        "_digest", F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", ""), 256)
-    )
-    same = marked["doc_id"].eqNullSafe(kept["_id"]) & (marked["_digest"] == kept["digest"])
-    longest = F.char_length(F.coalesce("text", F.lit("")))
-    columns = [c for c in docs.columns]
+    kept = index.ingest(docs, batch).filter("kept").select("_id", F.col("digest").alias("_digest"))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.struct("*").alias("whole"), F.col("doc_id").alias("id"), text.alias("text"), digest_of(text).alias("digest"))
     return (
-        marked.join(kept, same, "left_semi")
-        .groupBy("doc_id", "_digest")
-        .agg(F.max_by(F.struct(*columns), longest).alias("_whole"))
-        .select("_whole.*")
+        rows.join(kept, F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left_semi")
+        .groupBy("id", "digest")
+        .agg(F.max_by("whole", F.char_length("text")).alias("whole"))
+        .select("whole.*")
     )
 
 

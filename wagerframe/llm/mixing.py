@@ -203,33 +203,27 @@ def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
     its first words come as a row of their own, with ``n_chars`` set anew. Rows of
     equal id and size are told apart by number.
     """
-    columns = docs.columns
-    same = Window.partitionBy("doc_id", "_size")
     decided = (
         mix(docs, **parameters)
-        .select(F.col("doc_id").alias("_id"), F.col("size").alias("_n"), "whole_rounds", "cut", "taken")
-        .withColumn("_o", F.row_number().over(Window.partitionBy("_id", "_n").orderBy(F.desc("taken"))))
+        .withColumn("_o", F.row_number().over(Window.partitionBy("doc_id", "size").orderBy(F.desc("taken"))))
         .filter("taken > 0")
+        .select(F.col("doc_id").alias("_id"), F.col("size").alias("_n"), "_o", "whole_rounds", "cut")
     )
-    numbered = docs.withColumn("_size", n_words(F.col("text"))).withColumn(
-        "_occurrence", F.row_number().over(same.orderBy(F.xxhash64("text", "source")))
-    )
-    joined = numbered.join(
-        decided,
-        numbered["doc_id"].eqNullSafe(decided["_id"]) & (F.col("_size") == F.col("_n")) & (F.col("_occurrence") == F.col("_o")),
-    )
+    rows = docs.select(
+        F.struct("*").alias("whole"), F.col("doc_id").alias("id"), n_words(F.col("text")).alias("n"), F.xxhash64("text", "source").alias("hash")
+    ).withColumn("o", F.row_number().over(Window.partitionBy("id", "n").orderBy("hash")))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("n") == F.col("_n")) & (F.col("o") == F.col("_o"))
+    rounds = F.col("whole_rounds") + F.when(F.col("cut") > 0, 1).otherwise(0)
     copies = F.transform(
-        F.sequence(F.lit(1), F.col("whole_rounds") + F.when(F.col("cut") > 0, 1).otherwise(0)),
-        lambda i: F.when(i <= F.col("whole_rounds"), F.lit(-1).cast("long")).otherwise(F.col("cut")),
-    )
-    head = F.array_join(
-        F.slice(F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1)), F.lit(1), F.col("_cut").cast("int")), ""
-    )
-    out = joined.withColumn("_cut", F.explode(copies)).withColumn(
-        "_text", F.when(F.col("_cut") < 0, F.col("text")).otherwise(head)
+        F.sequence(F.lit(1).cast("long"), rounds), lambda i: F.when(i <= F.col("whole_rounds"), F.lit(-1).cast("long")).otherwise(F.col("cut"))
     )
-    values = {"text": F.col("_text"), "n_chars": F.when(F.col("_cut") < 0, F.col("n_chars")).otherwise(F.char_length("_text").cast("long"))}
-    return out.select(*[values[c].alias(c) if c in values and c in columns else out[c] for c in columns])
+    words = F.regexp_extract_all("whole.text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
+    taken = rows.join(decided, same).select("whole", F.explode(copies).alias("head"))
+    first = F.array_join(F.slice(words, F.lit(1), F.col("head").cast("int")), "")
+    part = F.col("whole").withField("text", first)
+    if "n_chars" in docs.columns:
+        part = part.withField("n_chars", F.char_length(first).cast(docs.schema["n_chars"].dataType))
+    return taken.select(F.when(F.col("head") < 0, F.col("whole")).otherwise(part).alias("whole")).select("whole.*")
 
 
 def _twin(weights=(5, 2, 1), share=1.5, epochs=2, block=32, seed="mix") -> str:

@@ -254,11 +254,12 @@ def drop_low_quality(docs: DataFrame, **parameters) -> DataFrame:
     A verdict depends on a row's language, source and text only, so rows of equal
     id are told apart by those.
     """
-    judged = judge(docs.withColumn("doc_id", F.struct("doc_id", F.xxhash64("lang", "source", "text").alias("_hash"))), **parameters)
-    kept = judged.filter("kept").select("doc_id.doc_id", "doc_id._hash").distinct()
-    marked = docs.withColumn("_hash", F.xxhash64("lang", "source", "text"))
-    same = marked["doc_id"].eqNullSafe(kept["doc_id"]) & (marked["_hash"] == kept["_hash"])
-    return marked.join(kept, same, "left_semi").select(*docs.columns)
+    key = F.struct("doc_id", F.xxhash64("lang", "source", "text").alias("hash"))
+    judged = judge(docs.select(key.alias("doc_id"), "lang", "source", "text"), **parameters)
+    kept = judged.filter("kept").select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.hash").alias("_hash")).distinct()
+    rows = docs.select(F.struct("*").alias("whole"), F.col("doc_id").alias("id"), F.xxhash64("lang", "source", "text").alias("hash"))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))
+    return rows.join(kept, same, "left_semi").select("whole.*")
 
 
 def _twin(min_rows: int = 50, steps: int = 4) -> str:
@@ -286,8 +287,7 @@ def _twin(min_rows: int = 50, steps: int = 4) -> str:
     apart = " UNION ALL ".join(f"SELECT grp, {i} AS i, abs(x{i} - m{i}) AS value FROM passing JOIN med USING (grp)" for i in range(n))
     parts = [
         rf"""WITH words AS MATERIALIZED (
-            SELECT doc_id, lang, source, text, coalesce(regexp_extract_all(text, '[^ 	-
-]+'), []) AS w FROM documents
+            SELECT doc_id, lang, source, text, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
         ), windows AS (
             SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c
             FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM words)
@@ -298,8 +298,7 @@ def _twin(min_rows: int = 50, steps: int = 4) -> str:
         ), lines AS (
             SELECT doc_id, count(*) - count(DISTINCT line) AS n
             FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM words)
-            WHERE regexp_matches(line, '[^ 	-
-]') GROUP BY doc_id
+            WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
         ), counted AS MATERIALIZED (
             SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
                    coalesce(len(regexp_extract_all(text, '[#*$%&|<>]')), 0)::BIGINT AS n_symbols,

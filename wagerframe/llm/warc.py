@@ -25,6 +25,7 @@ ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
 VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 REQUIRED = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
+TOKEN = re.compile(r"[!#$%&'*+.^_`|~0-9A-Za-z-]+")
 RECORD_ID = re.compile(r"<urn:page:(-?\d*)>")
 
 
@@ -137,7 +138,7 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     fields: dict[str, str] = {}
     for line in lines:
         name, colon, value = line.partition(":")
-        if not colon or not name or name != name.strip():
+        if not colon or not TOKEN.fullmatch(name):
             raise ValueError(f"malformed header {line[:60]!r}")
         if name.lower() in fields:
             raise ValueError(f"repeated header {name[:40]!r}")
