@@ -1,4 +1,4 @@
-"""Numbering and interleaving, with heavy keys forced through the sliced path."""
+"""Numbering and interleaving, with heavy keys cut over several parts."""
 
 import random
 
@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wagerframe.operators import pairs, ranking
 
-SMALL = {"hot_rows": 20, "slice_rows": 7}
+SMALL = {"parts": 7}
 
 
 def rows_with_hot_key(n=600):
@@ -31,10 +31,10 @@ def test_rank_keeps_null_keys(spark):
     assert out.filter(F.col("key").isNull()).agg(F.max("rank")).first()[0] == 30
 
 
-def test_dense_index_is_dense_for_any_width(spark):
+def test_dense_index_is_dense_for_any_number_of_parts(spark):
     df = spark.createDataFrame([(i * i % 997,) for i in range(300)], "v long").repartition(7)
-    for width in (1, 10, 5000):
-        got = ranking.dense_index(df, [F.col("v")], "p", width=width).orderBy("p").collect()
+    for parts in (1, 3, 50):
+        got = ranking.dense_index(df, [F.col("v")], "p", parts=parts).orderBy("p").collect()
         assert [r.p for r in got] == list(range(1, 301))
         assert [r.v for r in got] == sorted(r.v for r in got)
 

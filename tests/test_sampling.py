@@ -32,7 +32,7 @@ def test_nearest_totals():
 
 def test_exact_and_capped_rows(spark):
     df = spark.createDataFrame([(g, i) for g in range(40) for i in range(2 + g % 3)], "g long, i int")
-    got = sampling.exact_rows(df, 37, "g", 5, hot_rows=5, slice_rows=2)
+    got = sampling.exact_rows(df, 37, "g", 5, parts=5)
     assert got.count() == 37
     assert got.groupBy("g").count().join(df.groupBy("g").agg(F.count("*").alias("full")), "g").filter("count <> full").count() == 0
     fours = df.filter(F.col("g") % 3 == 2)

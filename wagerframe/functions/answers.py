@@ -11,7 +11,6 @@ the JVM, in an Arrow batch that carries just those texts.
 from __future__ import annotations
 
 import unicodedata
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -103,8 +102,11 @@ def folded(cell: Column) -> Column:
 
 
 def normalised(cell: Column) -> Column:
-    """Real newlines, no reasoning tags, special tokens or emphasis marks; no trailing blank."""
-    body = cell
+    """Real newlines, no reasoning tags, special tokens or emphasis marks; no trailing blank.
+
+    The control characters that mark mentions become blanks, so a text cannot forge a mark.
+    """
+    body = F.translate(cell, _START + _MID + _END, "   ")
     for written, real in (("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t")):
         body = F.replace(body, F.lit(written), F.lit(real))
     body = F.regexp_replace(body, r"(?i)</?(?:think|thinking|reasoning|analysis)\b[^>]*>", " ")
@@ -385,18 +387,14 @@ def parse_choice(
     """
     kept = df.columns
     out = df
-    session = id(df.sparkSession.sparkContext)
-    for name, expression in _stages(session, response, num_options, label_style, finish_reason):
+    for name, expression in _stages(response, num_options, label_style, finish_reason):
         out = out.withColumn(name, expression)
     out = settle(out.select(*kept, "_found"), "_found")
     return out.select(*kept, F.col("_found.choice").alias(choice), F.col("_found.strategy").alias(strategy))
 
 
-@lru_cache(maxsize=32)
-def _stages(
-    session: int, response: str, num_options: str, label_style: str | None, finish_reason: str | None
-) -> list[tuple[str, Column]]:
-    """Named intermediate columns of the cascade; built once per session and set of column names."""
+def _stages(response: str, num_options: str, label_style: str | None, finish_reason: str | None) -> list[tuple[str, Column]]:
+    """Named intermediate columns of the cascade."""
     style = F.col(label_style) if label_style else F.lit(None).cast("string")
     body, valid, tail = F.col("_text"), F.col("_valid"), F.col("_tail")
     explicit = F.coalesce(

@@ -156,8 +156,8 @@ def option_numbers(cells: Iterable[Column]) -> Column:
 
 
 def label_domain(count: Column, style: Column | None = None) -> Column:
-    """Valid labels of ``count`` options: letters and numbers, or one of the styles."""
-    slots = F.sequence(F.lit(1), F.greatest(count, F.lit(1)))
+    """Valid labels of ``count`` options: letters and numbers, or one of the styles; none of no options."""
+    slots = F.slice(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), F.lit(1), F.greatest(count, F.lit(0)))
     letters = F.transform(slots, lambda i: F.char(F.lit(96) + i))
     numbers = F.transform(slots, lambda i: i.cast("string"))
     both = F.concat(letters, numbers)

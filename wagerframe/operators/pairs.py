@@ -119,9 +119,8 @@ def exact_median(df: DataFrame, dims: list[str], value: str, out: str, buckets:
     A histogram over the group's range finds the one or two buckets with the
     middle ranks; only their distinct values are ordered.
     """
-    keys = [*dims, "_all"]
-    rows = df.select(*dims, F.lit(1).alias("_all"), F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
-    facts = rows.groupBy(*[F.col(k).alias("_f" + k) for k in keys]).agg(
+    rows = df.select(*dims, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
+    facts = rows.groupBy(*[F.col(k).alias("_f" + k) for k in dims]).agg(
         F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
     )
 
@@ -131,26 +130,30 @@ def exact_median(df: DataFrame, dims: list[str], value: str, out: str, buckets:
             match = match & F.col(name).eqNullSafe(F.col(prefix + name))
         return match
 
+    if dims:
+        measured = rows.join(facts, same("_f", dims))
+    else:
+        measured = rows.withColumn("_facts", ranking.one_row(facts)).select("_v", "_facts.*")
     width = F.col("_hi") - F.col("_lo")
     cut = F.coalesce(F.floor(F.try_divide(F.col("_v") - F.col("_lo"), width) * buckets), F.lit(0))
-    placed = rows.join(facts, same("_f", keys)).withColumn("_cell", F.least(cut, F.lit(buckets - 1)))
-    cells = placed.groupBy(*keys, "_cell", "_n").agg(F.count("*").alias("_c"))
-    before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    placed = measured.withColumn("_cell", F.least(cut, F.lit(buckets - 1)))
+    cells = placed.groupBy(*dims, "_cell", "_n").agg(F.count("*").alias("_c"))
+    before = Window.partitionBy(*dims).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     low, high = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
     cells = cells.withColumn("_b", F.coalesce(F.sum("_c").over(before), F.lit(0)))
     middle = cells.filter((F.col("_b") <= high) & (F.col("_b") + F.col("_c") > low)).select(
-        *[F.col(k).alias("_g" + k) for k in [*keys, "_cell"]], F.col("_b")
+        *[F.col(k).alias("_g" + k) for k in [*dims, "_cell"]], F.col("_b")
     )
-    near = placed.join(middle, same("_g", [*keys, "_cell"])).groupBy(*keys, "_cell", "_n", "_b", "_v").agg(
+    near = placed.join(middle, same("_g", [*dims, "_cell"])).groupBy(*dims, "_cell", "_n", "_b", "_v").agg(
         F.count("*").alias("_c")
     )
-    inside = Window.partitionBy(*keys, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*dims, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     ranked = near.withColumn("_at", F.col("_b") + F.coalesce(F.sum("_c").over(inside), F.lit(0)))
 
     def holds(rank: Column) -> Column:
         return F.when((F.col("_at") <= rank) & (F.col("_at") + F.col("_c") > rank), F.col("_v"))
 
-    return ranked.groupBy(*keys).agg(((F.max(holds(low)) + F.max(holds(high))) / 2).alias(out)).drop("_all")
+    return ranked.groupBy(*dims).agg(((F.max(holds(low)) + F.max(holds(high))) / 2).alias(out))
 
 
 def dominant_order(df: DataFrame, field: str, known: list[str]) -> DataFrame:
@@ -225,7 +228,7 @@ def clean_pairs(audited: DataFrame, key: str = "situation_id", row_id: str = "ro
     return ranking.keep_first(kept, [key], row_id) if one_per_id else kept
 
 
-def prepare_held_out(df: DataFrame, row_id: str = "row_idx", per_kind: int | None = None, **rank_options) -> DataFrame:
+def prepare_held_out(df: DataFrame, row_id: str = "row_idx", per_kind: int | None = None, parts: int | None = None) -> DataFrame:
     """Held-out set: real newlines, no repeats, alternating kinds, verbs spread over prompts."""
     out = df
     for column in PAIR_KEYS:
@@ -233,14 +236,14 @@ def prepare_held_out(df: DataFrame, row_id: str = "row_idx", per_kind: int | Non
     out = out.withColumn("subset_type", text.pair_subset(F.col("rejected_type")))
     out = ranking.keep_first(out, [*PAIR_KEYS, "rejected_type"], row_id)
     if per_kind is not None:
-        ranked = ranking.rank_within(out, ["subset_type"], [F.col(row_id)], "_k", **rank_options)
+        ranked = ranking.rank_within(out, ["subset_type"], [F.col(row_id)], "_k", parts=parts)
         out = ranked.filter(F.col("_k") <= per_kind).drop("_k")
-    out = ranking.alternate(out, "subset_type", row_id, KINDS, "position", **rank_options)
+    out = ranking.alternate(out, "subset_type", row_id, KINDS, "position", parts=parts)
     out = ranking.verb_rotation(out, "prompt_text", "position", VERBS)
     return out.withColumn("prompt_text", text.swap_verb(F.col("prompt_text"), F.col("verb")))
 
 
-def representative_sample(df: DataFrame, n: int, seed: int, key: Column, **rank_options) -> DataFrame:
+def representative_sample(df: DataFrame, n: int, seed: int, key: Column, parts: int | None = None) -> DataFrame:
     """``n`` pairs in proportion to the kinds, at least one of each, new situations first."""
     facts = df.agg(
         F.count_if(F.col("rejected_type") == "lin").alias("_lin"),
@@ -254,10 +257,10 @@ def representative_sample(df: DataFrame, n: int, seed: int, key: Column, **rank_
         F.least(wanted, F.col("_lin")).alias("_q_lin"), F.least(F.lit(n) - wanted, F.col("_risk")).alias("_q_risk")
     )
     keyed = df.filter(F.col("rejected_type").isin("lin", "too_risk")).withColumn("_u", draws.uniform(seed, key, "pick"))
-    seen = ranking.rank_within(keyed, ["rejected_type", "situation_id"], [F.col("_u")], "_seen", **rank_options)
+    seen = ranking.rank_within(keyed, ["rejected_type", "situation_id"], [F.col("_u")], "_seen", parts=parts)
     # new situations first, then hash order; the fraction keeps the order numeric
     placed = seen.withColumn("_o", F.col("_seen") + F.col("_u"))
-    ranked = ranking.rank_within(placed, ["rejected_type"], [F.col("_o")], "_r", **rank_options)
+    ranked = ranking.rank_within(placed, ["rejected_type"], [F.col("_o")], "_r", parts=parts)
     quota = F.when(F.col("rejected_type") == "lin", F.col("_q._q_lin")).otherwise(F.col("_q._q_risk"))
     return ranked.withColumn("_q", ranking.one_row(quotas)).filter(F.col("_r") <= quota).select(*df.columns)
 

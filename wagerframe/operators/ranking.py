@@ -1,9 +1,9 @@
 """Numbering, keep-first, latest-wins and interleaving without one-task sorts.
 
 A key may hold a large share of all rows, so a plain ``row_number`` over it
-would sort that share in one task. ``rank_within`` measures the keys first and
-cuts only the heavy ones into consecutive slices of their order column; slices
-are numbered in parallel and shifted by the row counts of the slices before.
+would sort that share in one task. Rows are instead dealt to tasks by ranges of
+(keys, order), written, numbered within their part, and shifted by the row
+counts of the parts before. Only a count per part and key is ever gathered.
 """
 
 from __future__ import annotations
@@ -11,15 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wagerframe.session import save
+
+
 def one_row(facts: DataFrame) -> Column:
     """A one-row aggregate as a struct column, planned as a scalar subquery."""
     return facts.select(F.struct(*facts.columns).alias("_facts")).scalar()
 
 
-HOT_ROWS = 1_000_000
-SLICE_ROWS = 250_000
-
-
 def _matches(left: DataFrame, right: DataFrame, names: list[str], prefix: str) -> Column:
     condition = F.lit(True)
     for name in names:
@@ -27,76 +26,30 @@ def _matches(left: DataFrame, right: DataFrame, names: list[str], prefix: str) -
     return condition
 
 
-def rank_within(
-    df: DataFrame,
-    keys: list[str],
-    order: list[Column],
-    out: str = "rank",
-    hot_rows: int = HOT_ROWS,
-    slice_rows: int = SLICE_ROWS,
-) -> DataFrame:
-    """1-based rank inside each key, ordered by ``order``.
+def rank_within(df: DataFrame, keys: list[str], order: list[Column], out: str = "rank", parts: int | None = None) -> DataFrame:
+    """1-based rank inside each key, ordered ascending by ``order``; without keys, over the whole table.
 
-    ``order[0]`` must be numeric and ascending; it decides the slices of heavy
-    keys. Further columns break ties and never leave their slice.
+    Bounds of the ranges are sampled by Spark from keys and order together, so
+    neither a heavy key, nor outliers, nor many equal first columns gather in one
+    part. The dealt rows are written once: bounds that were sampled again could
+    differ, and every reader must see the same parts. ``parts`` defaults to the
+    session's number of shuffle partitions.
     """
-    kept = df.columns
-    lead = order[0]
-    heavy = (
-        df.groupBy(*[F.col(k).alias("_h_" + k) for k in keys])
-        .agg(F.count("*").alias("_n"), F.min(lead).alias("_lo"), F.max(lead).alias("_hi"))
-        .filter(F.col("_n") > hot_rows)
-    )
-    tagged = df.join(heavy, _matches(df, heavy, keys, "_h_"), "left")
-    slices = F.ceil(F.col("_n") / slice_rows)
-    width = (F.col("_hi") - F.col("_lo") + 1) / slices
-    tagged = tagged.withColumn("_slice", F.coalesce(F.floor((lead - F.col("_lo")) / width), F.lit(0)))
-    before = (
-        tagged.filter(F.col("_n").isNotNull())
-        .groupBy(*[F.col(k).alias("_b_" + k) for k in keys], F.col("_slice").alias("_b__slice"))
-        .agg(F.count("*").alias("_rows"))
-        .withColumn(
-            "_shift",
-            F.coalesce(
-                F.sum("_rows").over(
-                    Window.partitionBy(*["_b_" + k for k in keys])
-                    .orderBy("_b__slice")
-                    .rowsBetween(Window.unboundedPreceding, -1)
-                ),
-                F.lit(0),
-            ),
-        )
-    )
-    local = F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(*order))
-    numbered = tagged.withColumn("_local", local)
-    joined = numbered.join(before, _matches(numbered, before, [*keys, "_slice"], "_b_"), "left")
-    return joined.select(*kept, (F.col("_local") + F.coalesce(F.col("_shift"), F.lit(0))).cast("long").alias(out))
-
-
-def rank_in_bounded(df: DataFrame, keys: list[str], order: list[Column], out: str = "rank") -> DataFrame:
-    """Rank inside groups whose size is bounded by construction (options of a situation)."""
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
+    ranges = [*[F.col(k) for k in keys], *order]
+    dealt = df.repartitionByRange(parts, *ranges) if parts else df.repartitionByRange(*ranges)
+    dealt = save(dealt.withColumn("_part", F.spark_partition_id()), "ranked-rows")
+    own = [*keys, "_part"]
+    counts = dealt.groupBy(*[F.col(k).alias("_b_" + k) for k in own]).agg(F.count("*").alias("_rows"))
+    before = Window.partitionBy(*["_b_" + k for k in keys]).orderBy("_b__part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.withColumn("_shift", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
+    numbered = dealt.withColumn("_local", F.row_number().over(Window.partitionBy(*own).orderBy(*order)))
+    joined = numbered.join(shifts, _matches(numbered, shifts, own, "_b_"))
+    return joined.select(*df.columns, (F.col("_local") + F.col("_shift")).cast("long").alias(out))
 
 
-def dense_index(
-    df: DataFrame, order: list[Column], out: str = "position", width: float = 65536, start: int = 1
-) -> DataFrame:
-    """Global dense numbering by a numeric order column.
-
-    Rows are cut into ranges of ``width`` units of ``order[0]``; the ranges are
-    numbered in parallel and only their counts meet in one place.
-    """
-    kept = df.columns
-    tagged = df.withColumn("_range", F.floor(order[0] / width))
-    counts = tagged.groupBy(F.col("_range").alias("_r")).agg(F.count("*").alias("_rows"))
-    running = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = counts.select("_r", F.coalesce(F.sum("_rows").over(running), F.lit(0)).alias("_shift"))
-    local = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return (
-        tagged.withColumn("_local", local)
-        .join(shifts, F.col("_range") == F.col("_r"))
-        .select(*kept, (F.col("_local") + F.col("_shift") + (start - 1)).cast("long").alias(out))
-    )
+def dense_index(df: DataFrame, order: list[Column], out: str = "position", start: int = 1, parts: int | None = None) -> DataFrame:
+    """Global dense numbering by ``order``; one count per part is all that meets in one place."""
+    return rank_within(df, [], order, out, parts).withColumn(out, F.col(out) + (start - 1))
 
 
 def key_digest(keys: list[Column]) -> Column:
@@ -116,9 +69,13 @@ def keep_first(df: DataFrame, keys: list[str], row_id: str) -> DataFrame:
 
 
 def latest(df: DataFrame, keys: list[str], sequence: list[str]) -> DataFrame:
-    """Last row per key by an ordering tuple, with a partial maximum before the shuffle."""
+    """Last row per key by an ordering tuple, with a partial maximum before the shuffle.
+
+    Rows that tie in the tuple are ordered by a hash of the row, so the choice
+    does not depend on the partitioning.
+    """
     rest = [c for c in df.columns if c not in keys]
-    newest = F.max_by(F.struct(*rest), F.struct(*sequence)).alias("_row")
+    newest = F.max_by(F.struct(*rest), F.struct(*sequence, F.xxhash64(*rest))).alias("_row")
     return df.groupBy(*keys).agg(newest).select(*keys, "_row.*")
 
 
@@ -128,12 +85,8 @@ def first_positions(df: DataFrame, key: str, row_id: str, out: str = "dataset_po
     return dense_index(firsts, [F.col("_first")], out).drop("_first")
 
 
-def distinct_groups(df: DataFrame, column: str) -> DataFrame:
-    return df.groupBy(column).agg(F.count("*").alias("_total"))
-
-
 def alternate(
-    df: DataFrame, kind: str, row_id: str, kinds: tuple[str, str], out: str = "position", **rank_options
+    df: DataFrame, kind: str, row_id: str, kinds: tuple[str, str], out: str = "position", parts: int | None = None
 ) -> DataFrame:
     """Alternate two kinds, each in its own order; the longer one ends the table.
 
@@ -147,7 +100,7 @@ def alternate(
         F.count_if(F.col(kind) == kinds[1]).alias("_n1"),
         F.min_by(kind, row_id).alias("_lead"),
     )
-    ranked = rank_within(both, [kind], [F.col(row_id)], "_rank", **rank_options)
+    ranked = rank_within(both, [kind], [F.col(row_id)], "_rank", parts=parts)
     first = F.when(F.col("_f._lead") == kinds[1], F.lit(kinds[1])).otherwise(F.lit(kinds[0]))
     shared = F.least(F.col("_f._n0"), F.col("_f._n1"))
     paired = (F.col("_rank") - 1) * 2 + F.when(F.col(kind) == first, 1).otherwise(2)
@@ -165,11 +118,11 @@ def dropped_kinds(df: DataFrame, kind: str, kinds: tuple[str, str]) -> DataFrame
 
 
 def round_robin(
-    df: DataFrame, source: str, row_id: str, sources: list[str], out: str = "new_id", **rank_options
+    df: DataFrame, source: str, row_id: str, sources: list[str], out: str = "new_id", parts: int | None = None
 ) -> DataFrame:
     """Interleave equal sources: item k of source s gets id ``(k - 1) * sources + s``."""
     slots = F.array_position(F.array(*[F.lit(s) for s in sources]), F.col(source)) - 1
-    ranked = rank_within(df.filter(F.col(source).isin(*sources)), [source], [F.col(row_id)], "_rank", **rank_options)
+    ranked = rank_within(df.filter(F.col(source).isin(*sources)), [source], [F.col(row_id)], "_rank", parts=parts)
     return ranked.withColumn(out, ((F.col("_rank") - 1) * len(sources) + slots).cast("long")).drop("_rank")
 
 
@@ -210,16 +163,16 @@ def verb_rotation(df: DataFrame, prompt: str, row_id: str, verbs: list[str], out
     )
 
 
-def spread_positions(df: DataFrame, group: str, tie: Column, out: str = "position", **rank_options) -> DataFrame:
+def spread_positions(df: DataFrame, group: str, tie: Column, out: str = "position", parts: int | None = None) -> DataFrame:
     """Order rows so that rows of one group sit far apart.
 
     Row r of a group of n is placed at ``(r - 0.5) / n``; ties follow ``tie``.
     """
     sizes = df.groupBy(group).agg(F.count("*").alias("_n"))
     tied = df.withColumn("_tie", tie)
-    ranked = rank_within(tied, [group], [F.col("_tie")], "_rank", **rank_options).join(sizes, group)
+    ranked = rank_within(tied, [group], [F.col("_tie")], "_rank", parts=parts).join(sizes, group)
     placed = ranked.withColumn("_at", (F.col("_rank") - 0.5) / F.col("_n"))
-    return dense_index(placed, [F.col("_at"), F.col("_tie")], out, width=1.0 / 4096).drop("_tie", "_n", "_rank", "_at")
+    return dense_index(placed, [F.col("_at"), F.col("_tie")], out).drop("_tie", "_n", "_rank", "_at")
 
 
 def position_slice(df: DataFrame, position: str, start: int | None = None, end: int | None = None) -> DataFrame:

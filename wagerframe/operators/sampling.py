@@ -23,10 +23,10 @@ def seeded_sample(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
     return ranking.head(df, n, [draws.uniform(seed, F.col(key), "sample"), F.col(key)])
 
 
-def seeded_order(df: DataFrame, seed: int, key: str, out: str = "position", bands: int = 4096) -> DataFrame:
+def seeded_order(df: DataFrame, seed: int, key: str, out: str = "position") -> DataFrame:
     """Dense position of every row in a seeded shuffle."""
     keyed = df.withColumn("_u", draws.uniform(seed, F.col(key), "sample"))
-    return ranking.dense_index(keyed, [F.col("_u"), F.col(key)], out, width=1.0 / bands).drop("_u")
+    return ranking.dense_index(keyed, [F.col("_u"), F.col(key)], out).drop("_u")
 
 
 def mix_sizes(wanted: int, percent: float, modified: int, unmodified: int) -> tuple[int, int]:
@@ -119,10 +119,10 @@ def nearest_totals(histogram: dict[int, int], wanted: int, limit: int = 6) -> li
     return found[:limit]
 
 
-def _pick_groups(df: DataFrame, key: str, takes: dict[int, int], seed: int, **rank_options) -> DataFrame:
+def _pick_groups(df: DataFrame, key: str, takes: dict[int, int], seed: int, parts: int | None = None) -> DataFrame:
     groups = df.groupBy(key).agg(F.count("*").alias("_size"))
     keyed = groups.withColumn("_u", draws.uniform(seed, F.col(key), "group"))
-    ranked = ranking.rank_within(keyed, ["_size"], [F.col("_u")], "_r", **rank_options)
+    ranked = ranking.rank_within(keyed, ["_size"], [F.col("_u")], "_r", parts=parts)
     quota = F.lit(0)
     if takes:
         table = F.create_map(*[F.lit(int(v)) for pair in takes.items() for v in pair])
@@ -131,17 +131,17 @@ def _pick_groups(df: DataFrame, key: str, takes: dict[int, int], seed: int, **ra
     return df.join(chosen, key, "left_semi")
 
 
-def exact_rows(df: DataFrame, n: int, key: str, seed: int, **rank_options) -> DataFrame:
+def exact_rows(df: DataFrame, n: int, key: str, seed: int, parts: int | None = None) -> DataFrame:
     """Exactly ``n`` rows made of whole situations; raises with near totals when impossible."""
     histogram = size_histogram(df, key)
     takes = takes_for(histogram, n)
     if takes is None:
         near = nearest_totals(histogram, n)
         raise ValueError(f"no set of whole situations has {n} rows; near totals {near}, sizes {sorted(histogram)}")
-    return _pick_groups(df, key, takes, seed, **rank_options)
+    return _pick_groups(df, key, takes, seed, parts=parts)
 
 
-def capped_rows(df: DataFrame, n: int, key: str, seed: int, **rank_options) -> DataFrame:
+def capped_rows(df: DataFrame, n: int, key: str, seed: int, parts: int | None = None) -> DataFrame:
     """The most rows up to ``n`` that keep situations whole."""
     if n <= 0:
         raise ValueError("the cap must be positive")
@@ -152,15 +152,15 @@ def capped_rows(df: DataFrame, n: int, key: str, seed: int, **rank_options) -> D
     best = totals.bit_length() - 1
     if best <= 0:
         raise ValueError(f"cap {n} is smaller than the smallest situation ({min(histogram)} rows)")
-    return _pick_groups(df, key, takes_for(histogram, best), seed, **rank_options)
+    return _pick_groups(df, key, takes_for(histogram, best), seed, parts=parts)
 
 
 def quota_fill(
-    df: DataFrame, bucket: str, minima: dict[str, int], total: int, order: str, **rank_options
+    df: DataFrame, bucket: str, minima: dict[str, int], total: int, order: str, parts: int | None = None
 ) -> DataFrame:
     """Guaranteed minimum per bucket, then any allowed bucket in order up to the total."""
     allowed = df.filter(F.col(bucket).isin(*minima))
-    ranked = ranking.rank_within(allowed, [bucket], [F.col(order)], "_r", **rank_options)
+    ranked = ranking.rank_within(allowed, [bucket], [F.col(order)], "_r", parts=parts)
     need = F.lit(0)
     for name, value in minima.items():
         need = F.when(F.col(bucket) == name, value).otherwise(need)

@@ -45,20 +45,30 @@ def explode_options(df: DataFrame, json_column: str = "options_json", schema: st
     return out.withColumn("num_options", count).drop("_size", "_pos", "_o")
 
 
-def nest(df: DataFrame, key: str, index: str, shared: list[str], own: list[str], keyed: bool = False) -> DataFrame:
+def nest(
+    df: DataFrame, key: str, index: str, shared: list[str], own: list[str], keyed: bool = False, max_options: int = MAX_OPTIONS
+) -> DataFrame:
     """Option rows to one row per situation.
 
-    An index outside the label range fails the job, and equal (key, index) rows
-    collapse first, so no collected list can exceed ``MAX_OPTIONS`` elements.
-    ``keyed`` says that (key, index) is already unique.
+    An index outside the label range fails the job. Equal (key, index) rows
+    collapse to one first, and rows that differ under one (key, index) fail the
+    job, so no collected list can exceed ``max_options`` elements and no row is
+    lost. ``keyed`` says that (key, index) is already unique.
     """
-    in_range = F.when(F.col(index).between(0, MAX_OPTIONS - 1), F.col(index)).otherwise(
+    in_range = F.when(F.col(index).between(0, max_options - 1), F.col(index)).otherwise(
         F.raise_error(F.concat(F.lit("option index out of range: "), F.col(index).cast("string")))
     )
     rows = df.withColumn(index, in_range)
     if not keyed:
         columns = [*shared, *own]
-        rows = rows.groupBy(key, index).agg(F.first(F.struct(*columns)).alias("_r")).select(key, index, "_r.*")
+        least, most = F.min(F.struct(*columns)), F.max(F.struct(*columns))
+        differs = F.raise_error(F.concat(F.lit("options differ under one index: "), F.col(key).cast("string")))
+        rows = (
+            rows.groupBy(key, index)
+            .agg(least.alias("_r"), most.alias("_m"))
+            .select(key, index, F.when(F.col("_r").eqNullSafe(F.col("_m")), F.col("_r")).otherwise(differs).alias("_r"))
+            .select(key, index, "_r.*")
+        )
     return rows.groupBy(key).agg(
         *[F.min_by(c, index).alias(c) for c in shared],
         F.sort_array(F.collect_list(F.struct(index, *own))).alias("options"),

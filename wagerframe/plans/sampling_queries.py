@@ -38,7 +38,7 @@ def first_positions(spark, folder):
 )
 def situation_positions(spark, folder):
     firsts = lines(spark, folder).groupBy("l_orderkey").agg(F.min("l_partkey").alias("first"))
-    return ranking.dense_index(firsts, [F.col("first"), F.col("l_orderkey")], "dataset_position", width=64).drop("first")
+    return ranking.dense_index(firsts, [F.col("first"), F.col("l_orderkey")], "dataset_position").drop("first")
 
 
 @query(

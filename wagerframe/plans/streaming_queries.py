@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from wagerframe.operators import policy
@@ -12,13 +9,13 @@ from wagerframe.operators import situations as sit
 from wagerframe.plans.policy_queries import BUNDLE_SQL, SCORED_SQL, rounded
 from wagerframe.plans.registry import query, table
 from wagerframe.plans.views import answer_rows, situations
+from wagerframe.session import shared_folder
 from wagerframe.streaming import jobs
 
 
 def workspace(spark) -> str:
-    """A new folder in the cluster's shared checkpoint folder; a temporary one where none is set."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(shared or tempfile.mkdtemp(prefix='wagerframe-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder for a stream's tables and state, shared by driver and executors."""
+    return shared_folder(spark, "stream")
 
 
 def finish(stream) -> None:

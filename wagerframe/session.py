@@ -1,9 +1,10 @@
-"""Session settings and the one place that decides where lineage is cut."""
+"""Session settings, and intermediate tables in the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,15 +25,29 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
     )
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the cluster's shared checkpoint folder.
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``.
 
-    The folder named by ``spark.checkpoint.dir`` is used as is. A temporary one
-    is made only where the session names none, as in local tests.
+    Only a local master may run without that setting: it then gets a folder of
+    its own. A cluster without it is an error, as executors could not read each
+    other's files.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="wagerframe-shared-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def save(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and return it as read back.
+
+    This cuts the lineage: later failures reread the files instead of
+    recomputing, and all readers see the same rows.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="wagerframe-ckpt-"))
-    return df.checkpoint(eager=True)
+    path = shared_folder(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

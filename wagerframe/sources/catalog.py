@@ -23,9 +23,15 @@ VARIANTS = {
 DEFAULT_BUDGETS = {
     "low_stakes_training": 200,
     "low_stakes_validation": 200,
+    "low_stakes_training_lin_only": 200,
+    "low_stakes_validation_lin_only": 200,
     "medium_stakes_validation": 200,
+    "medium_stakes_validation_rebels_only": 200,
+    "medium_stakes_validation_steals_only": 500,
     "high_stakes_test": 1000,
+    "high_stakes_test_rebels_only": 1000,
     "astronomical_stakes_deployment": 1000,
+    "astronomical_stakes_deployment_rebels_only": 1000,
     "steals_test": 1000,
     "gpu_hours_transfer_benchmark": 1000,
     "lives_saved_transfer_benchmark": 1000,
@@ -54,11 +60,14 @@ class Catalog:
         known = sorted(v for a, v in self._paths if a in (alias, base))
         raise ValueError(f"dataset {alias!r} has no variant {wanted!r}; known: {known}")
 
-    def budget(self, alias: str) -> int | None:
-        return DEFAULT_BUDGETS.get(alias, DEFAULT_BUDGETS.get(self._bases.get(alias, alias)))
+    def budget(self, alias: str, variant: str = "default") -> int | None:
+        """Default number of situations: of the variant where it has its own, else of the dataset, else of its base."""
+        base = self._bases.get(alias, alias)
+        names = [f"{alias}_{variant_name(variant)}", alias, f"{base}_{variant_name(variant)}", base]
+        return next((DEFAULT_BUDGETS[n] for n in names if n in DEFAULT_BUDGETS), None)
 
     def listing(self) -> DataFrame:
-        rows = [(a, v, self._bases[a], p, self.budget(a)) for (a, v), p in sorted(self._paths.items())]
+        rows = [(a, v, self._bases[a], p, self.budget(a, v)) for (a, v), p in sorted(self._paths.items())]
         return self.spark.createDataFrame(rows, "alias string, variant string, base string, path string, budget int")
 
     def row_counts(self) -> dict[str, int]:

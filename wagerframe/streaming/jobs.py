@@ -11,9 +11,23 @@ from wagerframe.operators import policy, ranking
 
 # Settings that must agree between a stored run and its continuation.
 RESUME_KEYS = [
-    "base_model", "adapter_path", "subjects", "num_shots", "max_questions_per_subject", "seed", "temperature", "top_p",
-    "top_k", "max_new_tokens", "batch_size", "enable_thinking", "system_prompt", "backend", "dtype", "steering_alpha",
-    "save_responses",
+    "model_path",
+    "base_model",
+    "backend",
+    "num_shots",
+    "system_prompt",
+    "max_new_tokens",
+    "disable_thinking",
+    "temperature",
+    "top_p",
+    "top_k",
+    "min_p",
+    "seed",
+    "dtype",
+    "subjects",
+    "max_eval_examples_per_subject",
+    "dataset",
+    "protocol",
 ]
 
 
@@ -81,7 +95,10 @@ def config_differences(stored: DataFrame, current: DataFrame, keys: list[str] |
             F.struct(F.lit(k).alias("setting"), (F.col(k).cast("string") if k in df.columns else F.lit(None).cast("string")).alias(side))
             for k in keys
         ]
-        return df.limit(1).select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+        known = [c for c in keys if c in df.columns]
+        one = df.agg(F.count("*").alias("_n"), *[F.max(F.col(c).cast("string")).alias(c) for c in known])
+        sure = one.filter(F.when(F.col("_n") == 1, True).otherwise(F.raise_error(F.lit(f"{side} settings must be one row"))))
+        return sure.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
 
     both = melted(stored, "stored").join(melted(current, "current"), "setting")
     return both.filter(~F.col("stored").eqNullSafe(F.col("current")))
