@@ -1,44 +1,15 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""What the operators share: word patterns, intermediate tables, small batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from wagerframe.session import save, shared_folder  # noqa: F401  (used by the operators)
 
 WHITE_SPACE = " \t\n\x0b\x0c\r"  # [\x20\x09-\x0D]
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``.
-
-    Only a local master may run without that setting: it then gets a folder of
-    its own. A cluster without it is an error, as executors could not read each
-    other's files.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="wagerframe-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and return it as read back.
-
-    This cuts the lineage: later failures reread the files instead of
-    recomputing, and all readers see the same rows.
-    """
-    spark = df.sparkSession
-    path = shared_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "32m") -> None:
     """Keep the batches that Python workers receive small, whatever the length of a text."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
