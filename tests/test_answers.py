@@ -79,3 +79,21 @@ def test_explicit_only(spark):
     )
     got = [r[0] for r in df.select(answers.explicit_choice(df.response, df.num_options)["choice"]).collect()]
     assert got == ["2", None, "b"]
+
+
+def test_whole_text_unless_windows_say_otherwise(spark):
+    text = "I would choose option 2. " + "The rest says nothing about it at all. " * 200
+    df = spark.createDataFrame([(text, 3)], "response string, num_options int")
+    whole = answers.parse_choice(df).first()
+    tail = answers.parse_choice(df, windows=answers.PUBLISHED).first()
+    assert (whole.choice, tail.choice) == ("2", None)
+
+
+def test_marks_in_a_text_are_not_mentions(spark):
+    rows = [("I have no answer. \x01 foo \x032\x02 bar", 3), ("I would choose option 2; if you are cautious you might \x02 take another.", 3)]
+    got = answers.parse_choice(spark.createDataFrame(rows, "response string, num_options int"))
+    clean = answers.parse_choice(
+        spark.createDataFrame([(t.translate({1: " ", 2: " ", 3: " "}), n) for t, n in rows], "response string, num_options int")
+    )
+    assert [r[2:] for r in got.collect()] == [r[2:] for r in clean.collect()]
+    assert got.first().choice is None

@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wagerframe.functions import text
 from wagerframe.operators import generate, pairs, policy
+from wagerframe.operators import situations as sit
 from wagerframe.sources import catalog, readers, writers
 from wagerframe.streaming import jobs
 
@@ -141,3 +143,38 @@ def test_resume_settings(spark):
     with pytest.raises(ValueError, match="seed: 1 -> 2"):
         jobs.check_resume(a, b)
     assert jobs.is_complete(a, ["base_model", "seed"]) and not jobs.is_complete(a, ["backend"])
+
+
+def test_resume_compares_the_whole_protocol(spark):
+    stored = spark.createDataFrame([("m1", "d1", 0.5)], "model_path string, dataset string, min_p double")
+    current = spark.createDataFrame([("m2", "d2", 0.5)], "model_path string, dataset string, min_p double")
+    found = {r.setting for r in jobs.config_differences(stored, current).collect()}
+    assert found == {"model_path", "dataset"}
+    with pytest.raises(Exception, match="must be one row"):
+        jobs.config_differences(stored.union(current), current).collect()
+
+
+def test_budgets_of_variants(spark):
+    known = catalog.Catalog(spark)
+    known.add("medium_stakes_validation", "/none", "steals_only")
+    known.add("low_stakes_validation_lin_only", "/none")
+    known.add("own_name", "/none", base="high_stakes_test")
+    assert known.budget("medium_stakes_validation", "steals_only") == 500
+    assert known.budget("medium_stakes_validation") == 200
+    assert known.budget("low_stakes_validation_lin_only") == 200
+    assert known.budget("own_name") == 1000 and known.budget("unknown") is None
+
+
+def test_nesting_loses_no_option(spark):
+    rows = [(1, 0, "a"), (1, 0, "a"), (1, 1, "b")]
+    nested = sit.nest(spark.createDataFrame(rows, "id int, i int, t string"), "id", "i", [], ["t"]).first()
+    assert [(o.i, o.t) for o in nested.options] == [(0, "a"), (1, "b")]
+    with pytest.raises(Exception, match="options differ"):
+        sit.nest(spark.createDataFrame([*rows, (1, 1, "c")], "id int, i int, t string"), "id", "i", [], ["t"]).collect()
+    wide = spark.createDataFrame([(1, 30, "z")], "id int, i int, t string")
+    assert sit.nest(wide, "id", "i", [], ["t"], max_options=40).count() == 1
+
+
+def test_no_options_have_no_labels(spark):
+    df = spark.createDataFrame([(0,), (2,)], "n int")
+    assert [r[0] for r in df.select(text.label_domain(df.n)).collect()] == [[], ["a", "b", "1", "2"]]

@@ -11,6 +11,7 @@ the JVM, in an Arrow batch that carries just those texts.
 from __future__ import annotations
 
 import unicodedata
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -83,9 +84,37 @@ NON_ANSWER = (
     r"indifferent\s+between|all\s+options\s+are\s+bad)\b|"
     rf"\boptions?\s*{OPEN}[a-z0-9]+{CLOSE}\s+(?:or|and)\s+(?:option\s*)?{OPEN}[a-z0-9]+{CLOSE}"
 )
-TAIL_CHARS, LATER_CHARS = 3000, 500
-TAIL_LINES, TAIL_SENTENCES = 8, 8
-SHORT_LINE_CHARS, RESCUE_LINE_CHARS = 90, 220
+
+
+@dataclass(frozen=True)
+class Windows:
+    """How much of an answer the cascade reads; None, the default everywhere, reads all of it.
+
+    ``tail_chars``, ``tail_lines`` and ``tail_sentences`` count from the end of the
+    text, ``later_chars`` and ``later_sentences`` from a mention onwards (vetoes),
+    and the two line limits say how long a line may be that is an answer by itself
+    in the full and in the rescue cascade.
+    """
+
+    tail_chars: int | None = None
+    later_chars: int | None = None
+    tail_lines: int | None = None
+    tail_sentences: int | None = None
+    later_sentences: int | None = None
+    short_line_chars: int | None = None
+    rescue_line_chars: int | None = None
+
+
+# The windows of the published evaluation.
+PUBLISHED = Windows(
+    tail_chars=3000,
+    later_chars=500,
+    tail_lines=8,
+    tail_sentences=8,
+    later_sentences=5,
+    short_line_chars=90,
+    rescue_line_chars=220,
+)
 
 _U = "(?U)"
 _START, _MID, _END = "\x01", "\x03", "\x02"
@@ -177,8 +206,8 @@ def _hedged(m: Column, refuse_non_answer: bool = False) -> Column:
     return let(_whole_sentence(m), vetoed)
 
 
-def _conditional_later(m: Column) -> Column:
-    later = F.substr(m["rest"], F.lit(1), F.lit(LATER_CHARS))
+def _conditional_later(m: Column, chars: int | None) -> Column:
+    later = m["rest"] if chars is None else F.substr(m["rest"], F.lit(1), F.lit(chars))
     return later.rlike(_U + r"\bif\s+you\b") & later.rlike(_U + CONDITION_WEIGHT)
 
 
@@ -207,10 +236,12 @@ def _said(label: Column, strategy: str) -> Column:
 # --- tiers -------------------------------------------------------------------
 
 
-def _line_label(line: Column, valid: Column, limit: int, refuse: bool) -> Column:
+def _line_label(line: Column, valid: Column, limit: int | None, refuse: bool) -> Column:
     def read(candidate: Column) -> Column:
         label = text.spoken_token(F.nullif(F.regexp_extract(candidate, _U + SHORT_LINE, 1), F.lit("")))
-        fits = (F.length(candidate) <= limit) & F.array_contains(valid, label)
+        fits = F.array_contains(valid, label)
+        if limit is not None:
+            fits = (F.length(candidate) <= limit) & fits
         return F.when(fits & ~_non_answer(candidate) if refuse else fits, label)
 
     return F.coalesce(read(line), read(_without_number(line)))
@@ -232,11 +263,13 @@ def _sentences(body: Column) -> Column:
     return _filled(F.split(body, _U + r"(?<=[.!?])\s+|\n+"))
 
 
-def _last(values: Column, n: int) -> Column:
+def _last(values: Column, n: int | None) -> Column:
+    if n is None:
+        return values
     return F.slice(values, F.greatest(F.size(values) - n + 1, F.lit(1)), F.lit(n))
 
 
-def _short_line(lines: Column, valid: Column, limit: int, refuse: bool = False) -> Column:
+def _short_line(lines: Column, valid: Column, limit: int | None, refuse: bool = False) -> Column:
     labels = F.array_compact(F.transform(lines, lambda line: _line_label(line, valid, limit, refuse)))
     return _said(F.try_element_at(labels, F.lit(-1)), "short_answer_line")
 
@@ -313,9 +346,14 @@ _MODAL_CHOICE = (
 )
 
 
-def _sentence_tier(sentences: Column, valid: Column) -> Column:
+def _following(sentences: Column, i: Column, most: int | None) -> Column:
+    """The sentences behind number ``i``, at most ``most``, as one text."""
+    return F.array_join(F.slice(sentences, i + 2, F.size(sentences) if most is None else F.lit(most)), " ")
+
+
+def _sentence_tier(sentences: Column, valid: Column, following: int | None) -> Column:
     def read(sentence: Column, i: Column) -> Column:
-        later = F.array_join(F.slice(sentences, i + 2, F.lit(TAIL_SENTENCES)), " ")
+        later = _following(sentences, i, following)
         best = _last_label(sentence, [_conclusion("") + CLAUSE_STOP % "|with"], valid)
         modal = _last_label(sentence, [_MODAL_CHOICE + CLAUSE_STOP % ""], valid)
         named = F.filter(
@@ -379,21 +417,27 @@ def parse_choice(
     finish_reason: str | None = None,
     choice: str = "choice",
     strategy: str = "strategy",
+    windows: Windows = Windows(),
 ) -> DataFrame:
     """Add the chosen label and the strategy that found it (both null when none did).
 
+    The whole text is read unless ``windows`` says otherwise; ``PUBLISHED`` gives
+    the readings of the published evaluation.
+
     With ``finish_reason`` given, answers cut off by length keep only explicit
     readings of the full cascade and otherwise go through the stricter rescue one.
     """
     kept = df.columns
     out = df
-    for name, expression in _stages(response, num_options, label_style, finish_reason):
+    for name, expression in _stages(response, num_options, label_style, finish_reason, windows):
         out = out.withColumn(name, expression)
     out = settle(out.select(*kept, "_found"), "_found")
     return out.select(*kept, F.col("_found.choice").alias(choice), F.col("_found.strategy").alias(strategy))
 
 
-def _stages(response: str, num_options: str, label_style: str | None, finish_reason: str | None) -> list[tuple[str, Column]]:
+def _stages(
+    response: str, num_options: str, label_style: str | None, finish_reason: str | None, windows: Windows
+) -> list[tuple[str, Column]]:
     """Named intermediate columns of the cascade."""
     style = F.col(label_style) if label_style else F.lit(None).cast("string")
     body, valid, tail = F.col("_text"), F.col("_valid"), F.col("_tail")
@@ -401,12 +445,13 @@ def _stages(response: str, num_options: str, label_style: str | None, finish_rea
         _said(_last_label(body, [JSON_ANSWER], valid), "json"),
         _said(_last_label(body, [BOXED], valid), "boxed"),
     )
-    last_part = F.substr(body, F.greatest(F.length(body) - TAIL_CHARS + 1, F.lit(1)))
+    tail_chars = windows.tail_chars
+    last_part = body if tail_chars is None else F.substr(body, F.greatest(F.length(body) - tail_chars + 1, F.lit(1)))
     readings, changed = F.array_distinct(F.array(tail, F.col("_bare_tail"))), F.col("_bare_tail") != tail
 
     def weak(patterns: list[str], name: str, bodies=readings, rescue=False) -> Column:
         def veto(m: Column) -> Column:
-            return _hedged(m, rescue) | _conditional_later(m)
+            return _hedged(m, rescue) | _conditional_later(m, windows.later_chars)
 
         labels = F.array_compact(F.transform(bodies, lambda body: _last_label(body, patterns, valid, veto)))
         return _said(F.get(labels, F.lit(0)), name)
@@ -415,7 +460,7 @@ def _stages(response: str, num_options: str, label_style: str | None, finish_rea
     compact = text.spoken_label(F.regexp_replace(body, _U + r"\s+", ""))
     full = F.coalesce(
         F.col("_explicit"),
-        _short_line(_last(F.col("_lines"), TAIL_LINES), valid, SHORT_LINE_CHARS),
+        _short_line(_last(F.col("_lines"), windows.tail_lines), valid, windows.short_line_chars),
         _echo(F.col("_lines"), valid),
         weak(_marker_patterns(), "answer_marker"),
         weak(_verb_patterns(agent=False), "decision_verb"),
@@ -423,8 +468,8 @@ def _stages(response: str, num_options: str, label_style: str | None, finish_rea
         weak(_best_patterns("", "", True, []), "option_is_best"),
         weak(_MADE_BEST, "option_is_best"),
         weak(_VALUE_TIER, "expected_value_dominance"),
-        _sentence_tier(F.col("_sents"), valid),
-        F.when(changed, _sentence_tier(F.col("_bare_sents"), valid)),
+        _sentence_tier(F.col("_sents"), valid, windows.tail_sentences),
+        F.when(changed, _sentence_tier(F.col("_bare_sents"), valid, windows.tail_sentences)),
         _said(F.when(F.array_contains(valid, compact), compact), "bare_token"),
         _final_sentence(F.col("_sents"), styled, style),
     )
@@ -435,8 +480,8 @@ def _stages(response: str, num_options: str, label_style: str | None, finish_rea
         ("_tail", F.when(F.col("_explicit").isNull(), last_part)),
         ("_bare_tail", F.array_join(F.transform(_lines(tail), _without_number), "\n")),
         ("_lines", _filled(_lines(tail))),
-        ("_sents", _last(_sentences(tail), TAIL_SENTENCES)),
-        ("_bare_sents", _last(_sentences(F.col("_bare_tail")), TAIL_SENTENCES)),
+        ("_sents", _last(_sentences(tail), windows.tail_sentences)),
+        ("_bare_sents", _last(_sentences(F.col("_bare_tail")), windows.tail_sentences)),
         ("_found", F.when(text.strip_blank(F.col(response)) != "", full)),
     ]
     if finish_reason:
@@ -446,12 +491,12 @@ def _stages(response: str, num_options: str, label_style: str | None, finish_rea
             ("_cut", cut),
             ("_whole", F.when(F.col("_cut"), body)),
             ("_bare", F.array_join(F.transform(_lines(F.col("_whole")), _without_number), "\n")),
-            ("_found", F.when(F.col("_cut"), _rescue(weak, valid)).otherwise(F.col("_found"))),
+            ("_found", F.when(F.col("_cut"), _rescue(weak, valid, windows)).otherwise(F.col("_found"))),
         ]
     return stages
 
 
-def _rescue(weak, valid: Column) -> Column:
+def _rescue(weak, valid: Column, windows: Windows) -> Column:
     """Cascade for answers cut off by length: explicit commitments anywhere in the text."""
     whole, bare = F.col("_whole"), F.col("_bare")
     strong_degree = "|overwhelmingly"
@@ -470,7 +515,7 @@ def _rescue(weak, valid: Column) -> Column:
         return _hedged(m, True)
 
     def read(sentence: Column, i: Column) -> Column:
-        later = F.array_join(F.slice(sentences, i + 2, F.lit(5)), " ")
+        later = _following(sentences, i, windows.later_sentences)
         best = _last_label(sentence, [_conclusion(r"|clear(?:est)?|winner")], valid, veto)
         modal = _last_label(sentence, [_MODAL_CHOICE], valid, veto)
         return F.when(
@@ -479,7 +524,7 @@ def _rescue(weak, valid: Column) -> Column:
         )
 
     return F.coalesce(
-        _short_line(_filled(_lines(whole)), valid, RESCUE_LINE_CHARS, refuse=True),
+        _short_line(_filled(_lines(whole)), valid, windows.rescue_line_chars, refuse=True),
         tier(_marker_patterns(), "answer_marker"),
         tier(_verb_patterns(agent=True), "decision_verb"),
         tier(_best_patterns(extra_best, strong_degree, False, [ranked]), "option_is_best"),
@@ -488,13 +533,13 @@ def _rescue(weak, valid: Column) -> Column:
     )
 
 
-def explicit_choice(response: Column, num_options: Column) -> Column:
+def explicit_choice(response: Column, num_options: Column, windows: Windows = Windows()) -> Column:
     """JSON, box and short-line readings only, for callers that accept nothing weaker."""
     body = F.lower(normalised(response))
     valid = text.label_domain(num_options)
-    lines = _last(_filled(_lines(body)), TAIL_LINES)
+    lines = _last(_filled(_lines(body)), windows.tail_lines)
     return F.coalesce(
         _said(_last_label(body, [JSON_ANSWER], valid), "json"),
         _said(_last_label(body, [BOXED], valid), "boxed"),
-        _short_line(lines, valid, SHORT_LINE_CHARS),
+        _short_line(lines, valid, windows.short_line_chars),
     )

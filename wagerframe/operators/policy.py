@@ -35,15 +35,22 @@ def answer_key(situations: DataFrame) -> DataFrame:
     return situations.select(*SITUATION_COLUMNS, slim.alias("options"))
 
 
-def score_answers(responses: DataFrame, key: DataFrame, finish_reason: str | None = "finish_reason") -> DataFrame:
+def score_answers(
+    responses: DataFrame,
+    key: DataFrame,
+    finish_reason: str | None = "finish_reason",
+    windows: answers.Windows = answers.PUBLISHED,
+) -> DataFrame:
     """Join answers to their situation, read the choice, look the option up.
 
+    ``windows`` says how much of an answer is read; as it is, the published metrics' share.
+
     The option is an element of the situation's own array, so one join on the
     situation finds both the label domain and the option. A situation with very
     many answers is split by the adaptive skew join.
     """
     joined = responses.join(key, "situation_id", "left")
-    parsed = answers.parse_choice(joined, finish_reason=finish_reason)
+    parsed = answers.parse_choice(joined, finish_reason=finish_reason, windows=windows)
     return look_up(parsed)
 
 

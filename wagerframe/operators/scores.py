@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wagerframe.operators import ranking
+
 TIE_EPSILON = 1e-6
 # Weights of the ties score.
 TIES_WEIGHTS = {
@@ -129,6 +131,12 @@ def accuracy_by_subject(graded: DataFrame, categories: DataFrame) -> DataFrame:
     )
 
 
+def by_accuracy(accuracy: DataFrame, level: str = "subject", parts: int | None = None) -> DataFrame:
+    """The rows of one level with their place from the lowest accuracy up; ties follow the name."""
+    rows = accuracy.filter(F.col("level") == level)
+    return ranking.dense_index(rows, [F.col("accuracy"), F.col(level)], "place", parts=parts)
+
+
 def grade(items: DataFrame, predicted: Column) -> DataFrame:
     return items.withColumn("predicted_answer", predicted).withColumn(
         "correct", F.coalesce(F.upper("predicted_answer") == F.upper("correct_answer"), F.lit(False))

@@ -282,3 +282,17 @@ def violations(df: DataFrame) -> DataFrame:
     broken = F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]))
     named = flat.select("situation_id", F.col("o.option_index").alias("option_index"), F.explode_outer(broken).alias("rule"))
     return named.filter(F.col("rule").isNotNull())
+
+
+def attach_prompts(options: DataFrame, prompts: DataFrame, keys: list[str]) -> DataFrame:
+    """Option rows with the prompt of their situation and subset; options without one keep nulls.
+
+    Keys that are null on both sides match. ``prompts`` has one row per key; a key
+    that repeats there repeats its options.
+    """
+    added = [c for c in prompts.columns if c not in keys]
+    other = prompts.select(*[F.col(k).alias("_k_" + k) for k in keys], *added)
+    match = F.lit(True)
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col("_k_" + k))
+    return options.join(other, match, "left").select(*options.columns, *added)

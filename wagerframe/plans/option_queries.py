@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wagerframe.functions import formats, lottery, text
 from wagerframe.operators import situations as sit
-from wagerframe.plans.registry import query
+from wagerframe.plans.registry import query, table
 from wagerframe.plans.views import cents_sql, drafts, exact_prizes, options, rsig, situations, with_options
 
 KEY = ["situation_id", "option_index"]
@@ -52,6 +52,28 @@ def nest_options(spark, folder):
     return nested.select("situation_id", "num_options", F.transform("options", lambda o: o["option_type"]).alias("types"))
 
 
+@query(
+    "options_with_prompts",
+    with_options(
+        """SELECT situation_id, option_index, option_type, raw_subset, length(text)::INT AS prompt_chars, text IS NOT NULL AS has_prompt
+        FROM opt LEFT JOIN (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'rebel-cooperate' WHEN 1 THEN 'steals_only' END AS s, text FROM documents)
+        ON situation_id = doc_id AND raw_subset IS NOT DISTINCT FROM s"""
+    ),
+)
+def options_with_prompts(spark, folder):
+    """Option rows joined to the prompts of their situation and subset."""
+    kind = F.col("doc_id") % 3
+    prompts = table(spark, folder, "documents").select(
+        F.col("doc_id").alias("situation_id"),
+        F.when(kind == 0, "rebel-cooperate").when(kind == 1, "steals_only").alias("raw_subset"),
+        F.col("text").alias("prompt_text"),
+    )
+    joined = sit.attach_prompts(options(spark, folder), prompts, ["situation_id", "raw_subset"])
+    return joined.select(
+        *KEY, "option_type", "raw_subset", F.char_length("prompt_text").alias("prompt_chars"), F.col("prompt_text").isNotNull().alias("has_prompt")
+    )
+
+
 @query(
     "lottery_merge",
     with_options(

@@ -11,6 +11,7 @@ from wagerframe.operators import situations as sit
 from wagerframe.plans.option_queries import six
 from wagerframe.plans.registry import query, table
 from wagerframe.plans.views import ITEMS_SQL, OPTIONS_SQL, PAIRS_SQL, RUNS_SQL, pairs, runs, score_items, situations
+from wagerframe.sources import readers
 
 SLIM = [
     "row_idx", "situation_id", "subset_type", "rejected_type", "length_relation", "accepted_score", "rejected_score",
@@ -448,6 +449,40 @@ def mcq_answers(spark, folder):
 _ACC = "round_even(count(*) FILTER (ok) / count(*), 4) AS accuracy, count(*) FILTER (ok)::BIGINT AS correct, count(*)::BIGINT AS total, count(*) FILTER (predicted IS NULL)::BIGINT AS parse_failures"
 
 
+_CATEGORY = {"1": "stem", "2": "humanities", "3": "social_sciences"}
+
+
+def _categories(spark, folder):
+    last = F.substring("p_brand", -1, 1)
+    name = F.coalesce(*[F.when(last == digit, category) for digit, category in _CATEGORY.items()])
+    return table(spark, folder, "part").groupBy(F.col("p_brand").alias("subject")).agg(F.min(name).alias("category"))
+
+
+@query(
+    "subjects_by_accuracy",
+    _MCQ
+    + f"""SELECT subject, accuracy, row_number() OVER (ORDER BY accuracy, subject)::BIGINT AS place
+    FROM (SELECT subject, {_ACC} FROM g GROUP BY subject)""",
+)
+def subjects_by_accuracy(spark, folder):
+    graded = scores.grade(_mcq(spark, folder), checks.mcq_answer(F.col("response")))
+    found = scores.accuracy_by_subject(graded.select("subject", "correct", "predicted_answer"), _categories(spark, folder))
+    return scores.by_accuracy(found).select("subject", "accuracy", "place")
+
+
+_SUBJECTS = ["Brand#31", "Brand#12", "Brand#54", "Brand#23"]
+
+
+@query(
+    "mcq_of_subjects",
+    f"""SELECT p_partkey AS item_id, p_brand AS subject, p_name AS question, list_position({_SUBJECTS}, p_brand)::INT AS subject_place
+    FROM part WHERE p_brand IN {tuple(_SUBJECTS)}""",
+)
+def mcq_of_subjects(spark, folder):
+    """The multiple-choice items of a list of subjects."""
+    return readers.read_subjects(_mcq(spark, folder), _SUBJECTS).select("item_id", "subject", "question", "subject_place")
+
+
 @query(
     "mcq_accuracy",
     _MCQ
@@ -456,13 +491,7 @@ _ACC = "round_even(count(*) FILTER (ok) / count(*), 4) AS accuracy, count(*) FIL
 )
 def mcq_accuracy(spark, folder):
     graded = scores.grade(_mcq(spark, folder), checks.mcq_answer(F.col("response")))
-    last = F.substring("p_brand", -1, 1)
-    categories = (
-        table(spark, folder, "part")
-        .groupBy(F.col("p_brand").alias("subject"))
-        .agg(F.first(F.when(last == "1", "stem").when(last == "2", "humanities").when(last == "3", "social_sciences")).alias("category"))
-    )
-    return scores.accuracy_by_subject(graded.select("subject", "correct", "predicted_answer"), categories)
+    return scores.accuracy_by_subject(graded.select("subject", "correct", "predicted_answer"), _categories(spark, folder))
 
 
 @query(

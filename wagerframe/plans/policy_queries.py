@@ -113,7 +113,7 @@ def answer_strategies(spark, folder):
         F.col("o_orderkey").alias("situation_id"), (2 + F.col("o_custkey") % 4).cast("int").alias("num_options")
     )
     parsed = answers.parse_choice(
-        responses(spark, folder).join(counts, "situation_id", "left"), finish_reason="finish_reason"
+        responses(spark, folder).join(counts, "situation_id", "left"), finish_reason="finish_reason", windows=answers.PUBLISHED
     )
     return parsed.groupBy("strategy", "finish_reason").agg(
         F.count("*").alias("answers"), F.countDistinct("choice").alias("labels")
@@ -131,7 +131,7 @@ def explicit_answers(spark, folder):
         F.col("o_orderkey").alias("situation_id"), (2 + F.col("o_custkey") % 4).cast("int").alias("num_options")
     )
     joined = responses(spark, folder).join(counts, "situation_id", "left")
-    read = joined.withColumn("_r", answers.explicit_choice(F.col("response"), F.col("num_options")))
+    read = joined.withColumn("_r", answers.explicit_choice(F.col("response"), F.col("num_options"), answers.PUBLISHED))
     return read.select(
         "situation_id", "run_id", "seq", F.col("_r.choice").alias("choice"), F.col("_r.strategy").alias("strategy")
     )

@@ -131,3 +131,9 @@ def best_of_items(df: DataFrame) -> DataFrame:
     return items.withColumn("is_correct", F.col("candidate_idx") < F.coalesce("num_correct", F.lit(1))).withColumn(
         "kind", F.when(F.col("is_correct"), "chosen").otherwise("rejected")
     )
+
+
+def read_subjects(df: DataFrame, subjects: list[str], column: str = "subject") -> DataFrame:
+    """Multiple-choice rows of the listed subjects, with the subject's place in the list."""
+    place = F.array_position(F.array(*[F.lit(s) for s in subjects]), F.col(column)).cast("int")
+    return df.filter(F.col(column).isin(subjects)).withColumn("subject_place", place)
