@@ -11,13 +11,13 @@ from wagerframe.llm.shared import save
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node links its larger neighbours to its least neighbour."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "component-least")
     return both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every node links itself and its smaller neighbours to the least of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = save(edges.groupBy("u").agg(F.min("v").alias("m")), "component-least")
     moved = edges.join(least, "u").filter(F.col("v") > F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
@@ -27,7 +27,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Rounds go on until a round leaves the edges as they were; then each is a node
     and its component. Every round is written, and only its edge count and a sum
-    of hashes reach the driver. Loops, repeats and nulls in the edges do no harm.
+    of hashes reach the driver. Least neighbours are written before they are joined,
+    so that the join deals out both sides and can split a node with most edges. Loops, repeats and nulls in the edges do no harm.
     """
     edges = save(
         edges.filter(F.col("a") != F.col("b"))

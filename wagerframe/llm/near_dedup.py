@@ -105,11 +105,30 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sketch, SKETCH)
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """Per row its whole shingle set and a signature of eight bits per minimum."""
+def shingle_sets(docs: DataFrame, wanted: DataFrame, bits: int = 1 << 26) -> DataFrame:
+    """The whole shingle set of the rows whose id is in ``wanted`` (rep), and a signature of eight bits per minimum.
+
+    Texts stay where they are read: a bitmap of ``bits`` hash values of the wanted
+    ids, whose size is fixed, goes to the tasks, and what passes it by chance is
+    dropped by the join on the id that follows. The fuller the bitmap, the more
+    sets that join moves.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    words = (
+        wanted.select(bit("rep").alias("bit"))
+        .groupBy(F.floor(F.col("bit") / 64).alias("word"))
+        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))).alias("set"))
+        .toArrow()  # at most bits / 64 rows
+    )
+    bitmap = np.zeros(bits // 64, dtype=np.int64)
+    bitmap[words.column("word").to_numpy()] = words.column("set").to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = shared.value
         for batch in batches:
+            at = batch.column("bit").to_numpy()
+            batch = batch.filter(pa.array((bitmap[at >> 6] >> (at & 63)) & 1 == 1))
             for begin in range(0, batch.num_rows, 100):
                 part = batch.slice(begin, 100)
                 sets = [shingles(text) for text in part.column("text").to_pylist()]
@@ -122,7 +141,8 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 )
 
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("rep"), "text").mapInArrow(build, SETS)
+    ids = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").filter(F.col("rep").isNotNull())
+    return ids.withColumn("bit", bit("rep")).mapInArrow(build, SETS)
 
 
 def linked(group: pa.Table, percent: int = PERCENT) -> pa.Table:
@@ -182,14 +202,17 @@ def candidate_groups(reps: DataFrame) -> DataFrame:
     Documents that share a bucket share its hub, so comparing within hubs compares
     all that a band brings together. The hub is the member that meets the most
     others over all bands, which is the original among its edited copies; buckets
-    of one group of copies then have the same hub and are compared once.
+    of one group of copies then have the same hub and are compared once. Counts
+    and hubs are written before they are joined, so that the joins deal out both
+    sides and can split a key that most documents have.
     """
     keys = reps.select("rep", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = save(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-shared-keys")
     met = save(keys.join(shared, "key"), "near-buckets")
     fame = met.groupBy("rep").agg(F.sum("n").alias("fame"))
-    hubs = (
-        met.select("key", "rep").join(fame, "rep").groupBy("key").agg(F.max_by("rep", F.struct("fame", -F.col("rep"))).alias("hub"))
+    hubs = save(
+        met.select("key", "rep").join(fame, "rep").groupBy("key").agg(F.max_by("rep", F.struct("fame", -F.col("rep"))).alias("hub")),
+        "near-hubs",
     )
     return met.select("key", "rep").join(hubs, "key").select("hub", "rep").distinct()
 
@@ -201,8 +224,8 @@ def near_duplicates(docs: DataFrame, block_docs: int = 512, block_shingles: int
     each. Of the classes, those that share a bucket meet at its hub; a hub's
     members are cut into blocks of about ``block_docs`` documents and
     ``block_shingles`` shingles, and each pair of blocks is compared in a task of
-    its own, which returns at most one link per member. Sets are computed again
-    for the documents that meet others only. The bands miss a pair at exactly 75 %
+    its own, which returns at most one link per member. Sets are computed again,
+    for the documents that meet others. The bands miss a pair at exactly 75 %
     with probability (1 - 0.75**5)**48 = 2e-6, more similar ones less.
 
     Null, empty and blank texts have an empty set and are linked with nothing; a
@@ -220,16 +243,14 @@ def near_duplicates(docs: DataFrame, block_docs: int = 512, block_shingles: int
     )
     members = save(candidate_groups(reps), "near-candidates")
     sizes = reps.groupBy("rep").agg(F.sum("n").alias("n"))  # one class per id but for repeated ids
-    blocks = (
+    blocks = save(
         members.join(sizes, "rep")
         .groupBy("hub")
-        .agg(F.ceil(F.greatest(F.count(F.lit(1)) / block_docs, F.sum("n") / block_shingles)).cast("int").alias("blocks"))
+        .agg(F.ceil(F.greatest(F.count(F.lit(1)) / block_docs, F.sum("n") / block_shingles)).cast("int").alias("blocks")),
+        "near-blocks",
     )
     needed = members.select("rep").distinct()
-    sets = save(
-        shingle_sets(docs.select("doc_id", "text").join(needed, F.col("doc_id").cast("long") == F.col("rep"), "left_semi")).distinct(),
-        "near-sets",
-    )
+    sets = save(shingle_sets(docs, needed), "near-sets")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     placed = (
         members.join(blocks, "hub")
@@ -257,12 +278,13 @@ def near_duplicates(docs: DataFrame, block_docs: int = 512, block_shingles: int
 
 def drop_near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
     """One row of each component, that of the least id, with its own columns; rows without an id stay."""
-    kept = near_duplicates(docs, **parameters).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    kept = near_duplicates(docs, **parameters).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = docs.select(F.struct("*").alias("whole"), F.col("doc_id").cast("long").alias("id"), F.char_length("text").alias("chars"))
     one = (
-        docs.join(kept, "doc_id", "left_semi")
-        .groupBy("doc_id")
-        .agg(F.max_by(F.struct(*docs.columns), F.coalesce(F.char_length("text"), F.lit(-1))).alias("_whole"))
-        .select("_whole.*")
+        rows.join(kept, F.col("id") == F.col("kept_id"), "left_semi")
+        .groupBy("id")
+        .agg(F.max_by("whole", F.coalesce("chars", F.lit(-1))).alias("whole"))
+        .select("whole.*")
     )
     return one.unionByName(docs.filter(F.col("doc_id").isNull()))
 
