@@ -33,7 +33,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Give every core work when a small file arrives as one split.
 
-    A scan that already has a task per core, as any large table has, is left alone.
+    An option of the session, ``wagerframe.spread``, which is on for a local master
+    and off elsewhere: a cluster's scans have tasks enough. It never changes rows.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    spark = df.sparkSession
+    local = str(spark.sparkContext.master.startswith("local[")).lower()
+    if spark.conf.get("wagerframe.spread", local) != "true":
+        return df
+    return df.repartition(spark.sparkContext.defaultParallelism, key)

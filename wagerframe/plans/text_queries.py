@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wagerframe.functions import checks, text
@@ -162,19 +163,21 @@ def sft_completions(spark, folder):
 
 @query(
     "system_prompts",
-    """SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'cli_system_prompt' WHEN s_suppkey % 3 = 0 THEN 'model_default_no_system_prompt' ELSE 'dataset_default_system_prompt' END AS source,
-    CASE WHEN s_suppkey % 5 = 0 THEN 'own' WHEN s_suppkey % 3 = 0 THEN '' WHEN s_suppkey % 2 = 0 THEN 'transfer' ELSE 'default' END AS prompt FROM supplier""",
+    """SELECT conv_id, CASE WHEN role = 'system' THEN 'cli_system_prompt' WHEN conv_id % 3 = 0 THEN 'model_default_no_system_prompt' ELSE 'dataset_default_system_prompt' END AS source,
+    CASE WHEN role = 'system' THEN text WHEN conv_id % 3 = 0 THEN '' WHEN conv_id % 2 = 0 THEN 'transfer' ELSE 'default' END AS prompt FROM conversations WHERE turn = 0""",
 )
 def system_prompts(spark, folder):
-    key = F.col("s_suppkey")
+    """A conversation's own system turn goes before the defaults of model and dataset."""
+    key = F.col("conv_id")
     resolved = text.system_prompt(
         F.when(key % 2 == 0, "lives_saved_transfer_benchmark").otherwise("steals_test"),
         F.when(key % 3 == 0, " org/Llama-3.1-8B").otherwise("org/Qwen3-8B"),
-        F.when(key % 5 == 0, "own"),
+        F.when(F.col("role") == "system", F.col("text")),
         "default",
         "transfer",
     )
-    return table(spark, folder, "supplier").select("s_suppkey", resolved.alias("r")).select("s_suppkey", "r.prompt", "r.source")
+    first = table(spark, folder, "conversations").filter(F.col("turn") == 0)
+    return first.select("conv_id", resolved.alias("r")).select("conv_id", "r.prompt", "r.source")
 
 
 @query(
@@ -227,17 +230,17 @@ def label_lists(spark, folder):
 
 @query(
     "first_label_field",
-    """SELECT o_orderkey AS situation_id, CASE WHEN o_orderkey % 3 = 0 THEN ['a'] WHEN o_orderkey % 3 = 1 THEN ['2'] ELSE ['c'] END AS labels FROM orders""",
+    """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN [substr(lang, 1, 1)] WHEN doc_id % 3 = 1 THEN [(n_chars % 4 + 1)::VARCHAR]
+    ELSE [(['a', 'b', 'c'])[n_chars % 3 + 1]] END AS labels FROM documents""",
 )
 def first_label_field(spark, folder):
     """CARA labels, then cooperate labels, then the legacy signed index into a vector."""
-    key = F.col("o_orderkey")
-    cara = F.when(key % 3 == 0, '["A"]').otherwise("nan")
-    cooperate = F.when(key % 3 == 1, "(2)")
-    legacy = text.indexed_label(F.lit("-3"), F.array(F.lit("a"), F.lit("b"), F.lit("c")))
-    return table(spark, folder, "orders").select(
-        key.alias("situation_id"), text.best_labels([cara, cooperate, legacy]).alias("labels")
-    )
+    key, chars = F.col("doc_id") % 3, F.col("n_chars")
+    cara = F.when(key == 0, F.concat(F.lit('["'), F.upper(F.substring("lang", 1, 1)), F.lit('"]'))).otherwise("nan")
+    cooperate = F.when(key == 1, F.concat(F.lit("("), (chars % 4 + 1).cast("string"), F.lit(")")))
+    index = F.concat(F.lit("-"), (chars % 3 + 1).cast("string"))
+    legacy = text.indexed_label(index, F.array(F.lit("a"), F.lit("b"), F.lit("c")))
+    return docs(spark, folder).select("doc_id", text.best_labels([cara, cooperate, legacy]).alias("labels"))
 
 
 @query(
@@ -257,15 +260,32 @@ def number_lists(spark, folder):
     )
 
 
+def _style_hits(labels: str) -> str:
+    found = [rf"regexp_matches(lower(prompt), '(?m)(?:^|\n)\s*(?:\(\s*{x}\s*\)\s*[.:]|{x}[).:]\s+)')" for x in labels]
+    return " + ".join(f"coalesce({f}, false)::INT" for f in found)
+
+
 @query(
     "prompt_label_styles",
-    "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'numbers' WHEN 1 THEN 'letters' END AS style, CASE doc_id % 3 WHEN 0 THEN [] WHEN 1 THEN ['a', 'b', 'c'] ELSE ['1'] END AS labels FROM documents",
+    rf"""WITH p AS (
+        SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Pick.' || chr(10) || '(1). ' || text || chr(10) || '(2). ' || source || chr(10) || '(3). ' || lang
+            WHEN 1 THEN 'Pick.' || chr(10) || 'a) ' || text || chr(10) || 'b) ' || source || chr(10) || 'c) ' || lang ELSE text END AS prompt
+        FROM documents
+    ), h AS (SELECT *, {_style_hits('123')} AS numbers, {_style_hits('abc')} AS letters FROM p)
+    SELECT doc_id, CASE WHEN numbers >= 2 AND numbers > letters THEN 'numbers' WHEN letters >= 2 AND letters > numbers THEN 'letters' END AS style,
+        list_sort(list_distinct(regexp_extract_all(prompt, '(?m)^\s*(?:\(|\[)?([A-Za-z]|\d+)(?:\)|\]|\s*[.):])\s+', 1))) AS labels
+    FROM h""",
 )
 def prompt_label_styles(spark, folder):
+    """Label style and labels of prompts whose options are document texts, and of the bare texts."""
     form = F.col("doc_id") % 3
-    prompt = F.when(form == 0, F.lit("Pick.\n(1). x\n(2). y\n(3). z")).when(form == 1, F.lit("Pick.\na) x\nb) y\nc) z")).otherwise("Pick.\n1) only")
+
+    def listed(first: str, second: str, third: str) -> Column:
+        return F.concat(F.lit(f"Pick.\n{first} "), "text", F.lit(f"\n{second} "), "source", F.lit(f"\n{third} "), "lang")
+
+    prompt = F.when(form == 0, listed("(1).", "(2).", "(3).")).when(form == 1, listed("a)", "b)", "c)")).otherwise(F.col("text"))
     return docs(spark, folder).select(
-        "doc_id", text.prompt_label_style(prompt, F.lit(3)).alias("style"), text.prompt_labels(prompt).alias("labels")
+        "doc_id", text.prompt_label_style(prompt, F.lit(3)).alias("style"), F.sort_array(text.prompt_labels(prompt)).alias("labels")
     )
 
 
