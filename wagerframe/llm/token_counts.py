@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,57 +37,90 @@ def _slices(values: np.ndarray, starts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
 
+class Numbered(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 class Block:
-    """Pre-token frequencies of consecutive documents, turned into postings by pre-token."""
+    """The words of consecutive documents, turned into postings by pre-token."""
 
-    def __init__(self, number: int, block_docs: int, block_postings: int, hot_docs: int, spread: int):
+    def __init__(self, number: int, block_docs: int, block_words: int, hot_docs: int, spread: int):
         self.number, self.hot_docs, self.spread = number, hot_docs, spread
-        self.block_docs, self.block_postings = block_docs, block_postings
+        self.block_docs, self.block_words = block_docs, block_words
         self.ids: list[int | None] = []
         self.sizes: list[int] = []
-        self.index: dict[str, int] = {}
-        self.token, self.doc, self.count = array("I"), array("H"), array("I")
+        self.lengths: list[int] = []
+        self.index = Numbered()
+        self.words = array("I")
 
     def full(self) -> bool:
-        return len(self.ids) >= self.block_docs or len(self.token) >= self.block_postings
+        return len(self.ids) >= self.block_docs or len(self.words) >= self.block_words
 
-    def add(self, doc_id: int | None, size: int, frequencies: Counter) -> None:
-        index = self.index
-        self.token.extend([index.setdefault(t, len(index)) for t in frequencies])
-        self.count.extend(frequencies.values())
-        self.doc.extend([len(self.ids)] * len(frequencies))
+    def add(self, doc_id: int | None, size: int, words: list[str]) -> None:
+        self.words.extend(map(self.index.__getitem__, words))
+        self.lengths.append(len(words))
         self.ids.append(doc_id)
         self.sizes.append(size)
 
-    def batches(self) -> Iterator[pa.RecordBatch]:
+    def batches(self, split: Callable[[str], list[str]]) -> Iterator[pa.RecordBatch]:
         schema = _schema(POSTINGS)
         header = {"block": self.number, "token": None, "salt": self.number, "ids": self.ids, "sizes": self.sizes}
         yield pa.RecordBatch.from_pylist([header], schema=schema)
-        token = np.frombuffer(self.token, dtype=np.uint32) if self.token else np.zeros(0, np.uint32)
-        order = np.argsort(token, kind="stable")
-        lengths = np.bincount(token, minlength=len(self.index))
+        if not self.words:
+            return
+        # Frequencies of the (word, document) pairs, then of (pre-token, document).
+        docs = np.repeat(np.arange(len(self.ids), dtype=np.uint64), self.lengths)
+        pairs = (np.frombuffer(self.words, dtype=np.uint32).astype(np.uint64) << np.uint64(16)) | docs
+        pairs, counts = np.unique(pairs, return_counts=True)
+        tokens = Numbered()
+        of_word = [[tokens[t] for t in split(word)] for word in self.index]
+        sizes = np.asarray([len(x) for x in of_word])
+        flat = np.fromiter((t for x in of_word for t in x), dtype=np.uint64, count=int(sizes.sum()))
+        first = np.cumsum(sizes) - sizes
+        word = (pairs >> np.uint64(16)).astype(np.int64)
+        times = sizes[word]
+        # Entry k of a pair's word lies k places after that word's first pre-token.
+        step = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        keys = (flat[np.repeat(first[word], times) + step] << np.uint64(16)) | np.repeat(pairs & np.uint64(0xFFFF), times)
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], np.repeat(counts, times)[order]
+        begins = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        counts = np.add.reduceat(counts, begins).astype(np.uint32) if len(keys) else np.zeros(0, np.uint32)
+        keys = keys[begins]
+        lengths = np.bincount((keys >> np.uint64(16)).astype(np.int64), minlength=len(tokens))
         starts = np.concatenate([[0], np.cumsum(lengths)])
-        doc = np.frombuffer(self.doc, dtype=np.uint16)[order] if self.doc else np.zeros(0, np.uint16)
-        count = np.frombuffer(self.count, dtype=np.uint32)[order] if self.count else np.zeros(0, np.uint32)
         salt = np.where(lengths >= self.hot_docs, self.number + self.spread, self.number // self.spread)
-        n = len(self.index)
+        n = len(tokens)
         none = pa.nulls(n, pa.list_(pa.int64()))
         columns = [
-            pa.array(np.full(n, self.number)), pa.array(list(self.index), pa.string()), pa.array(salt.astype(np.int64)),
-            _slices(doc, starts), _slices(count, starts), none, none,
+            pa.array(np.full(n, self.number)), pa.array(list(tokens), pa.string()), pa.array(salt.astype(np.int64)),
+            _slices((keys & np.uint64(0xFFFF)).astype(np.uint16), starts), _slices(counts, starts), none, none,
         ]
         whole = pa.RecordBatch.from_arrays(columns, schema=schema)
         for begin in range(0, n, 10_000):
             yield whole.slice(begin, 10_000)
 
 
+def _values(column: pa.Array, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all entries of a binary array without nulls, one after another, and how many each has."""
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    width = np.dtype(dtype).itemsize
+    data = column.buffers()[2]
+    whole = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    return np.frombuffer(whole.tobytes(), dtype=dtype), np.diff(offsets) // width
+
+
 def count_tokens(
     docs: DataFrame,
     name: str = "word_bpe_49k.json",
     path: str | None = None,
     limit: int = 2048,
     block_docs: int = 60_000,
-    block_postings: int = 4_000_000,
+    block_words: int = 4_000_000,
     hot_docs: int = 64,
     spread: int = 4096,
 ) -> DataFrame:
@@ -102,7 +135,7 @@ def count_tokens(
     A pre-token found in ``hot_docs`` or more documents of a block is counted for
     that block on its own, others for ``spread`` blocks together, so no pre-token
     gathers the postings of the corpus in one task. A block ends at ``block_docs``
-    documents (65,535 at most) or ``block_postings`` postings, which bounds the
+    documents (65,535 at most) or ``block_words`` words, which bounds the
     memory of all three steps by that and one document.
 
     Null texts are empty and have no tokens; null ids stay null; repeated rows are
@@ -115,62 +148,64 @@ def count_tokens(
     bounded_batches(spark)
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_word = vocabularies.pre_tokenizer(name, path).of_word
-        first = TaskContext.get().partitionId() << 24
-        number = 0
-        block = Block(first, block_docs, block_postings, hot_docs, spread)
+        split = vocabularies.word_splitter(name, path).split
+        number = TaskContext.get().partitionId() << 24
+        block = Block(number, block_docs, block_words, hot_docs, spread)
         for batch in batches:
             for doc_id, text, size in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                words = re.findall(r"[^ \t\n\r\f\v]+", text) if OTHER_SPACE.search(text) else text.split()
-                frequencies: Counter = Counter()
-                for word, n in Counter(words).items():
-                    for token in of_word[word]:
-                        frequencies[token] += n
-                block.add(doc_id, size, frequencies)
+                odd = not text.isascii() or any(c in text for c in "\x1c\x1d\x1e\x1f")
+                words = re.findall(r"[^ \t\n\r\f\v]+", text) if odd and OTHER_SPACE.search(text) else text.split()
+                block.add(doc_id, size, words)
                 if block.full():
-                    yield from block.batches()
+                    yield from block.batches(split)
                     number += 1
-                    block = Block(first + number, block_docs, block_postings, hot_docs, spread)
+                    block = Block(number, block_docs, block_words, hot_docs, spread)
         if block.ids:
-            yield from block.batches()
+            yield from block.batches(split)
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n_pieces = vocabularies.pre_tokenizer(name, path).n_pieces
+        n_pieces = vocabularies.word_splitter(name, path).n_pieces
         schema = _schema(PARTIALS)
-        sums: dict[int, np.ndarray] = {}
-        held, last, pieces = 0, None, 0
+        most, cells = 128, 1 << 16
+        sums = np.zeros(most * cells, dtype=np.int64)
+        place: dict[int, int] = {}
+        last, pieces = None, 0
 
         def flush() -> pa.RecordBatch:
             rows = []
-            for block, vector in sums.items():
+            for block, k in place.items():
+                vector = sums[k * cells : (k + 1) * cells]
                 at = np.flatnonzero(vector)
                 rows.append({"block": block, "at": at.astype(np.uint16).tobytes(), "counts": vector[at].tobytes()})
-            sums.clear()
+                vector[:] = 0
+            place.clear()
             return pa.RecordBatch.from_pylist(rows, schema=schema)
 
         for batch in batches:
-            columns = {field: batch.column(field) for field in ("block", "token", "at", "counts")}
-            headers = [k for k, t in enumerate(columns["token"].is_null().to_pylist()) if t]
-            if headers:
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(f.name).take(pa.array(headers)) for f in schema], schema=schema
-                )
-            for block, token, at, counts in zip(*(c.to_pylist() for c in columns.values()), strict=True):
-                if token is None:
-                    continue
+            is_header = batch.column("token").is_null()
+            if is_header.true_count:
+                heads = batch.filter(is_header)
+                yield pa.RecordBatch.from_arrays([heads.column(f.name) for f in schema], schema=schema)
+                batch = batch.filter(pc.invert(is_header))
+            counted = []
+            for token in batch.column("token").to_pylist():
                 if token != last:
                     last, pieces = token, n_pieces(token)
-                vector = sums.get(block)
-                if vector is None:
-                    vector = sums[block] = np.zeros(65_536, dtype=np.int64)
-                    held += 1
-                if len(at) == 2:
-                    vector[at[0] + 256 * at[1]] += pieces * int.from_bytes(counts, "little")
-                else:
-                    vector[np.frombuffer(at, dtype="<u2")] += pieces * np.frombuffer(counts, dtype="<u4").astype(np.int64)
-            if held >= 128:
-                yield flush()
-                held = 0
+                counted.append(pieces)
+            at, lengths = _values(batch.column("at"), "<u2")
+            counts, _ = _values(batch.column("counts"), "<u4")
+            values = counts.astype(np.int64) * np.repeat(np.asarray(counted, dtype=np.int64), lengths)
+            blocks, which = np.unique(batch.column("block").to_numpy(), return_inverse=True)
+            # Blocks that do not fit beside those already summed wait for a flush.
+            for begin in range(0, len(blocks), most):
+                some = blocks[begin : begin + most].tolist()
+                if len(place.keys() | set(some)) > most:
+                    yield flush()
+                slots = np.full(len(blocks), -1)
+                slots[begin : begin + most] = [place.setdefault(block, len(place)) for block in some]
+                slot = np.repeat(slots[which], lengths)
+                now = slot >= 0
+                np.add.at(sums, slot[now] * cells + at[now], values[now])
         yield flush()
 
     def total(partials: pa.Table) -> pa.Table:

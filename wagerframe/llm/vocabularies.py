@@ -7,9 +7,10 @@ import struct
 from functools import lru_cache
 
 #: Entries of a generation of a cache; about 200 bytes each.
-CACHE = 250_000
+CACHE = 500_000
 #: Longer pieces of text are tokenized but not kept.
 KEPT_CHARS = 100
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII punctuation
 
 
 @lru_cache(maxsize=4)
@@ -43,6 +44,35 @@ class Recent(dict):
         return value
 
 
+class PreTokens:
+    """Byte-level pre-tokens of texts, by the tokenizer's own normalizer and pre-tokenizer.
+
+    Words of letters with ASCII punctuation behind them, which are most, split in
+    one place; their letters are mapped by a table that was asked of the library
+    letter by letter. Letters that do not map one to one are left to the library.
+    """
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        self.added = sorted((t.content for t in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        mapped = {c: self.of_text(c) for c in map(chr, range(0x250)) if c.isalpha()}
+        letters = {c: m[0] for c, m in mapped.items() if len(m) == 1}
+        self.letters = {ord(c): m for c, m in letters.items()}
+        self.known = re.compile(f"[{''.join(map(re.escape, letters))}]+")
+
+    def of_text(self, text: str) -> list[str]:
+        if self.tokenizer.normalizer is not None:
+            text = self.tokenizer.normalizer.normalize_str(text)
+        return [mapped for mapped, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+
+    def of_plain_word(self, word: str) -> tuple[str, str] | None:
+        """The mapped letters of a word and the marks behind them; None where the library must split it."""
+        letters = word.rstrip(MARKS)
+        if letters.isalpha() and (letters.isascii() or self.known.fullmatch(letters)):
+            return letters.translate(self.letters), word[len(letters) :]
+        return None
+
+
 class Encoder:
     """Ids of whole texts, equal to ``tokenizer.encode(text, add_special_tokens=False).ids``.
 
@@ -55,17 +85,16 @@ class Encoder:
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
-        added = (re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values())
-        self.whole = re.compile("|".join([r"\s \s", r" \Z", *added]))
-        letters = [c for c in map(chr, range(0x250)) if c.isalpha()]
-        self.letters = {ord(c): self._mapped(c)[0] for c in [*letters, " "]}
-        self.plain = re.compile(f"([{''.join(map(re.escape, letters))}]+)([,.]?)")
-        self.pre_tokens = Recent(self._pre_token)
+        self.pre_tokens = PreTokens(tokenizer)
+        self.space = self.pre_tokens.of_text(" ")[0]
+        self.maybe, self.whole = re.compile(r" \s"), re.compile(r"\s \s")
         self.words = Recent(self._word)
+        self.marks = Recent(self._any)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
-        if self.whole.search(text):
+        odd = text.endswith(" ") or (self.maybe.search(text) and self.whole.search(text))
+        if odd or any(added in text for added in self.pre_tokens.added):
             return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
         first, *rest = text.split(" ")
         return self._any(first) + b"".join(map(self.words.__getitem__, rest))
@@ -74,20 +103,16 @@ class Encoder:
     def pack(ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _mapped(self, text: str) -> list[str]:
-        return [mapped for mapped, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
-
     def _word(self, word: str) -> bytes:
-        """Ids of a word after a space; letters with at most one mark behind them need no splitting by the library."""
-        plain = self.plain.fullmatch(word)
+        """Ids of a word after a space."""
+        plain = self.pre_tokens.of_plain_word(word)
         if plain is None:
             return self._any(" " + word)
-        letters, mark = plain.groups()
-        ids = self.pre_tokens[(" " + letters).translate(self.letters)]
-        return ids + self.pre_tokens[mark] if mark else ids
+        ids = self._pre_token(self.space + plain[0])
+        return ids + self.marks[plain[1]] if plain[1] else ids
 
     def _any(self, text: str) -> bytes:
-        return b"".join(map(self.pre_tokens.__getitem__, self._mapped(text))) if text else b""
+        return b"".join(map(self._pre_token, self.pre_tokens.of_text(text))) if text else b""
 
     def _pre_token(self, mapped: str) -> bytes:
         return self.pack([t.id for t in self.tokenizer.model.tokenize(mapped)])
@@ -98,7 +123,7 @@ def encoder(name: str, path: str | None) -> Encoder:
     return Encoder(load(name, path))
 
 
-class PreTokenizer:
+class WordSplitter:
     """Pre-tokens of white-space separated words, and the number of pieces of a pre-token.
 
     For tokenizers whose normalizer and pre-tokenizer treat such words one by one
@@ -110,24 +135,25 @@ class PreTokenizer:
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
-        added = sorted((t.content for t in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
-        self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        self.of_word = Recent(self._of_word)
+        self.pre_tokens = PreTokens(tokenizer)
+        self.added = re.compile("|".join(map(re.escape, self.pre_tokens.added))) if self.pre_tokens.added else None
 
-    def _of_word(self, word: str) -> tuple[str, ...]:
+    def split(self, word: str) -> list[str]:
+        plain = self.pre_tokens.of_plain_word(word)
+        if plain is not None:
+            return [*plain] if plain[1] else [plain[0]]
         out: list[str] = []
         for k, part in enumerate(self.added.split(word) if self.added else [word]):
             if k:
                 out.append(self.ADDED)
             if part:
-                plain = self.tokenizer.normalizer.normalize_str(part)
-                out += [mapped for mapped, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(plain)]
-        return tuple(out)
+                out += self.pre_tokens.of_text(part)
+        return out
 
     def n_pieces(self, pre_token: str) -> int:
         return 1 if pre_token == self.ADDED else len(self.tokenizer.model.tokenize(pre_token))
 
 
 @lru_cache(maxsize=2)
-def pre_tokenizer(name: str, path: str | None) -> PreTokenizer:
-    return PreTokenizer(load(name, path))
+def word_splitter(name: str, path: str | None) -> WordSplitter:
+    return WordSplitter(load(name, path))
