@@ -222,6 +222,11 @@ def _non_answer(cell: Column) -> Column:
 
 
 def _last_label(body: Column, patterns: list[str], valid: Column, veto=None) -> Column:
+    if veto is None and len(patterns) == 1:  # nothing around the mentions is looked at
+        found = F.regexp_extract_all(body, F.lit(_U + patterns[0]), F.lit(1))
+        known = F.filter(F.transform(found, text.spoken_token), lambda label: F.array_contains(valid, label))
+        return F.try_element_at(known, F.lit(-1))
+
     def keep(m: Column) -> Column:
         known = F.array_contains(valid, m["label"])
         return known if veto is None else known & ~veto(m)

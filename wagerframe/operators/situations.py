@@ -284,6 +284,18 @@ def violations(df: DataFrame) -> DataFrame:
     return named.filter(F.col("rule").isNotNull())
 
 
+def stale_labels(df: DataFrame, letters: Column, stored: dict[str, str]) -> DataFrame:
+    """(situation_id, rule) of label arrays that differ from those recomputed from the scored options.
+
+    ``stored`` maps names of ``label_arrays`` to the columns that hold them.
+    """
+    again = label_arrays(F.col("options"), letters)
+    broken = F.array_compact(
+        F.array(*[F.when(~F.col(column).eqNullSafe(again[name]), F.lit(name)) for name, column in stored.items()])
+    )
+    return df.select("situation_id", F.explode(broken).alias("rule"))
+
+
 def attach_prompts(options: DataFrame, prompts: DataFrame, keys: list[str]) -> DataFrame:
     """Option rows with the prompt of their situation and subset; options without one keep nulls.
 

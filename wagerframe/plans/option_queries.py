@@ -354,6 +354,33 @@ def label_arrays(spark, folder):
     return scored.select("situation_id", *[c.alias(n) for n, c in arrays.items()])
 
 
+def _labels_sql(name: str, yes: bool) -> str:
+    return f"coalesce(list(label ORDER BY option_index) FILTER ({'' if yes else 'NOT '}({_LABELS[name]})), [])"
+
+
+@query(
+    "stale_labels",
+    with_options(
+        f"""SELECT situation_id, rule FROM (
+        SELECT situation_id, {_labels_sql('cara', True)} AS a, {_labels_sql('linear', False)} AS b
+        FROM (SELECT *, CASE WHEN situation_id % 2 = 0 THEN chr(97 + option_index) ELSE (option_index + 1)::VARCHAR END AS label FROM scored) GROUP BY situation_id
+        ), (SELECT unnest(['cara_correct', 'linear_incorrect']) AS rule)
+        WHERE (rule = 'cara_correct' AND situation_id % 5 = 0 AND a <> list_reverse(a))
+           OR (rule = 'linear_incorrect' AND situation_id % 7 = 0 AND len(b) > 0)"""
+    ),
+)
+def stale_labels(spark, folder):
+    """Stored label arrays against recomputed ones; some situations store them reversed or cut."""
+    key = F.col("situation_id")
+    letters = key % 2 == 0
+    scored = sit.score(situations(spark, folder))
+    arrays = sit.label_arrays(F.col("options"), letters)
+    cut = F.slice(arrays["linear_incorrect"], F.lit(2), F.lit(26))
+    stored = scored.withColumn("cara_stored", F.when(key % 5 == 0, F.reverse(arrays["cara_correct"])).otherwise(arrays["cara_correct"]))
+    stored = stored.withColumn("linear_stored", F.when(key % 7 == 0, cut).otherwise(arrays["linear_incorrect"]))
+    return sit.stale_labels(stored, letters, {"cara_correct": "cara_stored", "linear_incorrect": "linear_stored"})
+
+
 @query(
     "wealth_shift",
     with_options(

@@ -9,7 +9,7 @@ from wagerframe.operators import situations as sit
 from wagerframe.plans.policy_queries import BUNDLE_SQL, SCORED_SQL, rounded
 from wagerframe.plans.registry import query, table
 from wagerframe.plans.views import answer_rows, situations
-from wagerframe.session import shared_folder
+from wagerframe.session import save, shared_folder
 from wagerframe.streaming import jobs
 
 
@@ -37,6 +37,17 @@ def stream_scored_metrics(spark, folder):
     return rounded(policy.metrics(spark.read.parquet(f"{place}/results")))
 
 
+@query("stream_policy_by_run", SCORED_SQL + f"SELECT run_id, {BUNDLE_SQL} FROM res GROUP BY run_id")
+def stream_policy_by_run(spark, folder):
+    """Metrics per run from the sums that each batch of answers leaves."""
+    place = workspace(spark)
+    schema = table(spark, folder, "lineitem").schema
+    incoming = answer_rows(jobs.read_files(spark, folder, schema, "lineitem.parquet"))
+    key = save(policy.answer_key(sit.roll_up(sit.score(situations(spark, folder)))), "answer-key")
+    finish(jobs.keep_policy_sums(incoming, key, ["run_id"], f"{place}/sums", f"{place}/checkpoint"))
+    return rounded(jobs.running_policy(spark, f"{place}/sums", ["run_id"]))
+
+
 @query(
     "stream_running_metrics",
     "SELECT event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total, max(value) AS top FROM events GROUP BY event_type",

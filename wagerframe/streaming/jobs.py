@@ -54,6 +54,27 @@ def score_batches(
     return answers.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def keep_policy_sums(
+    answers: DataFrame, key: DataFrame, dims: list[str], table: str, checkpoint: str, finish_reason: str | None = "finish_reason"
+) -> StreamingQuery:
+    """Score new answers batch by batch and keep only the additive state of their metrics.
+
+    A batch adds one row per combination of ``dims`` and overwrites its own
+    partition, so a replay counts once. ``running_policy`` merges the states.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        scored = policy.score_answers(batch, key, finish_reason)
+        policy.partial_sums(scored, dims).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+
+    return answers.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def running_policy(spark: SparkSession, table: str, dims: list[str]) -> DataFrame:
+    """The metric bundle over all batches so far."""
+    return policy.merge_sums(spark.read.parquet(table).drop("batch"), dims)
+
+
 def read_results(spark: SparkSession, results: str, keys: list[str], sequence: list[str]) -> DataFrame:
     """Latest result per key over all batches."""
     return ranking.latest(spark.read.parquet(results).drop("batch"), keys, sequence)
