@@ -188,6 +188,27 @@ def sft_label_examples(spark, folder):
     return built.select("situation_id", "target_label", F.col("target").contains(" is best.").alias("single"))
 
 
+@query(
+    "sft_examples_in_order",
+    with_options(
+        _SETS
+        + f""", l AS (SELECT situation_id, chr(96 + v) AS target_label, len(low_best) = 1 AS single, {uniform_sql(4, "(situation_id || '-' || chr(96 + v))", 'spread')} AS u
+            FROM (SELECT *, unnest(low_best) AS v FROM bucketed)),
+        r AS (SELECT *, row_number() OVER (PARTITION BY situation_id ORDER BY u) AS k, count(*) OVER (PARTITION BY situation_id) AS n FROM l)
+        SELECT situation_id, target_label, single, row_number() OVER (ORDER BY (k - 0.5)::DOUBLE / n, u) AS position FROM r"""
+    ),
+)
+def sft_examples_in_order(spark, folder):
+    """Training examples as they are fed: one per correct label, its completion, situations spread apart."""
+    scored = sit.score(situations(spark, folder))
+    labels = sit.label_arrays(F.col("options"), F.lit(True))["cara_correct"]
+    rows = scored.select("situation_id", labels.alias("labels")).select("situation_id", "labels", F.explode("labels").alias("target_label"))
+    built = rows.withColumn("target", text.assistant_completion(F.col("target_label"), F.col("labels")))
+    slim = built.select("situation_id", "target_label", F.col("target").contains(" is best.").alias("single"))
+    key = F.concat_ws("-", "situation_id", "target_label")
+    return ranking.spread_positions(slim, "situation_id", draws.uniform(4, key, "spread"))
+
+
 @query(
     "drop_bad_situations",
     """WITH b AS (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING bool_or(l_returnflag = 'R' AND l_linenumber = 7) OR count(*) <> max(l_linenumber)
