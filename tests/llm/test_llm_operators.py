@@ -238,16 +238,17 @@ def test_token_counts(spark, sizes):
 
 def test_packing(spark):
     library = vocabularies.load("byte_bpe_50k.json", None)
-    rows = [*awkward_rows(), *[(1000 + k, words(k % 300), "en", "a", 0) for k in range(400)]]
-    found = packing.pack(clashing(spark.createDataFrame(rows, SCHEMA)), buckets=8).toPandas()
+    rows = [*awkward_rows(), *[(1000 + k, words(k % 300), "en", "a", 0) for k in range(400)], ((1 << 60) + 1, "large id", None, None, 0)]
+    found = packing.pack(clashing(spark.createDataFrame(rows, SCHEMA)), buckets=8)
+    found = found.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1))).toPandas()
     expected = Counter()
     for i, t, *_ in rows:
         ids = [*library.encode(t or "", add_special_tokens=False).ids, 0]
         cuts = [0, *range((len(ids) - 1) % 2048 + 1, len(ids) + 1, 2048)]
         for piece, (a, b) in enumerate(zip(cuts, cuts[1:])):
-            expected[i, piece, a, b - a, zlib.crc32(np.asarray(ids[a:b], dtype="<u4").tobytes())] += 1
+            expected[-1 if i is None else i, piece, a, b - a, zlib.crc32(np.asarray(ids[a:b], dtype="<u4").tobytes())] += 1
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    assert Counter((None if r[0] != r[0] else int(r[0]), *map(int, r[1:])) for r in found[columns].itertuples(index=False)) == expected
+    assert Counter(tuple(map(int, r)) for r in found[columns].itertuples(index=False)) == expected
     for _, part in found.groupby("sequence_id"):
         part = part.sort_values("offset")
         assert list(part["offset"]) == [0, *np.cumsum(part["length"])[:-1]] and part["length"].sum() <= 2048

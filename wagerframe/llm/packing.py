@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,23 +22,25 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def token_pieces(docs: DataFrame, capacity: int, name: str, path: str | None, end_id: int) -> DataFrame:
     """Pieces of at most ``capacity`` ids: whole documents, or full pieces after a first one that may be shorter."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = vocabularies.encoder(name, path)
-        end = np.asarray([end_id], dtype="<u4").tobytes()
+        end = struct.pack("<I", end_id)
+        schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
         for batch in batches:
-            rows: list[tuple] = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = encoder.encode(text or "") + end
+            columns: list[list] = [[], [], [], [], []]
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                ids = encoder.encode(text) + end
                 total = len(ids) // 4
                 begin, upto, piece = 0, (total - 1) % capacity + 1, 0
                 while begin < total:
-                    rows.append((doc_id, piece, begin, upto - begin, zlib.crc32(ids[4 * begin : 4 * upto])))
+                    row = (doc_id, piece, begin, upto - begin, zlib.crc32(ids[4 * begin : 4 * upto]))
+                    for column, value in zip(columns, row, strict=True):
+                        column.append(value)
                     begin, upto, piece = upto, upto + capacity, piece + 1
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield out.astype({"doc_id": "Int64"})
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(cut, PIECES)
 
 
 def plan_bins(counts: np.ndarray, rounds: int = 8) -> list[tuple[int, list[int]]]:
@@ -151,19 +154,21 @@ def pack(
         .drop("bucket", "first", "in_bucket")
     )
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sequence, offset = np.zeros(len(batch), dtype=np.int64), np.zeros(len(batch), dtype=np.int64)
-            rank = batch["rank"].to_numpy()
-            for length, at in batch.groupby("length").indices.items():
-                rows = ranges[length]
+            rank, lengths = batch.column("rank").to_numpy(), batch.column("length").to_numpy()
+            sequence, offset = np.zeros(len(rank), dtype=np.int64), np.zeros(len(rank), dtype=np.int64)
+            for length in np.unique(lengths):
+                at = np.flatnonzero(lengths == length)
+                rows = ranges[int(length)]
                 k = np.searchsorted(rows[:, 0], rank[at], side="right") - 1
                 sequence[at] = rows[k, 1] + rank[at] - rows[k, 0]
                 offset[at] = rows[k, 2]
-            yield batch.drop(columns="rank").assign(sequence_id=sequence, offset=offset)
+            kept = [batch.column(c) for c in columns]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], names=[*columns, "sequence_id", "offset"])
 
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    return ranked.select(*columns, "rank").mapInPandas(place, PIECES + ", sequence_id long, offset long")
+    return ranked.select(*columns, "rank").mapInArrow(place, PIECES + ", sequence_id long, offset long")
 
 
 @query("op7_best_fit_packing")
