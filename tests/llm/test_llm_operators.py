@@ -433,6 +433,16 @@ def test_estimate_resists_outliers(spark):
     assert all(abs(row[f"m{i}"] - m) < 60 for i, m in enumerate([100, 200, 300, 400]))
 
 
+def test_copies_are_not_the_norm(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, " ".join(f"w{rng.integers(1000, 10000)}" for _ in range(rng.integers(60, 200))), "en", "s", 0) for k in range(200)]
+    junk = " ".join(f"#{k}" if k % 2 else f"word{k}" for k in range(100))
+    rows += [(1000 + k, junk, "en", "s", 0) for k in range(100)]  # a third of the group
+    left = quality.drop_low_quality(spark.createDataFrame(rows, SCHEMA))
+    ids = {r.doc_id for r in left.collect()}
+    assert not [i for i in ids if i >= 1000] and len(ids) > 195
+
+
 # 10 mixing
 
 

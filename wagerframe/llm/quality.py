@@ -26,6 +26,9 @@ CUT = 23.51
 #: Share of rows that an estimate rests on, and what makes its covariance consistent at the
 #: normal distribution: share / P(chi2 with 6 degrees <= chi2 quantile of the share with 4).
 SHARE, CONSISTENT = 0.75, 1.486
+#: The same for just over half of the rows, so that copies of up to nearly half of a group do not
+#: make the norm; the SQL of op9 rests on the three quarters above.
+HALF_SHARE, HALF_CONSISTENT = 0.51, 2.077
 
 
 def repeated_words(words: Column) -> Column:
@@ -129,17 +132,17 @@ class Estimator:
     """Minimum covariance determinant per group, by concentration steps.
 
     ``rows`` has ``group``, ``salt`` and the coordinates. The start takes, per
-    group, the ``SHARE`` of rows nearest the coordinatewise medians in units of
+    group, the ``share`` of rows nearest the coordinatewise medians in units of
     their median absolute deviations; a concentration step takes the mean and
-    covariance of the chosen rows and chooses the ``SHARE`` nearest in the new
+    covariance of the chosen rows and chooses the ``share`` nearest in the new
     metric, which never raises the determinant. The choice is made by a histogram
     of distances per group, so no group is sorted; rows of the last chosen cell
     are all taken. Estimates join the rows by group and salt, so a group that holds
     most rows spreads over ``salts`` tasks.
     """
 
-    def __init__(self, rows: DataFrame, salts: int = 16):
-        self.rows, self.salts = rows, salts
+    def __init__(self, rows: DataFrame, salts: int = 16, share: float = HALF_SHARE, consistent: float = HALF_CONSISTENT):
+        self.rows, self.salts, self.share, self.consistent = rows, salts, share, consistent
 
     def with_estimates(self, estimates: DataFrame) -> DataFrame:
         salted = estimates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(self.salts - 1))))
@@ -178,7 +181,7 @@ class Estimator:
             cells.groupBy("group", "cell")
             .agg(F.count(F.lit(1)).alias("n"))
             .withColumns({"_upto": F.sum("n").over(upto), "_all": F.sum("n").over(by)})
-            .filter(F.col("_upto") >= SHARE * F.col("_all"))
+            .filter(F.col("_upto") >= self.share * F.col("_all"))
             .groupBy("group")
             .agg(F.min("cell").alias("last"))
         )
@@ -189,22 +192,29 @@ class Estimator:
             *[F.sum((F.col(f"x{i}") * F.col(f"x{j}")).cast("decimal(20,0)")).cast("double").alias(f"p{i}{j}") for i, j in PAIRS],
         )
         means = sums.select("*", *[F.expr(f"s{i} / n").alias(f"m{i}") for i in range(len(NAMES))])
-        return self.factors(means, _covariance())
+        return self.factors(means, _covariance(self.consistent))
 
 
-def _covariance() -> dict[tuple[int, int], str]:
+def _covariance(consistent: float) -> dict[tuple[int, int], str]:
     """SQL of the covariances from n, the products p and the means m."""
-    return {(i, j): f"{CONSISTENT}D * (p{i}{j} / n - m{i} * m{j})" + (f" + {_floor(i)}" if i == j else "") for i, j in PAIRS}
+    return {(i, j): f"{consistent}D * (p{i}{j} / n - m{i} * m{j})" + (f" + {_floor(i)}" if i == j else "") for i, j in PAIRS}
 
 
-def judge(docs: DataFrame, min_rows: int = 50, steps: int = 4, salts: int = 16) -> DataFrame:
+def judge(
+    docs: DataFrame,
+    min_rows: int = 50,
+    steps: int = 4,
+    salts: int = 16,
+    share: float = HALF_SHARE,
+    consistent: float = HALF_CONSISTENT,
+) -> DataFrame:
     """Statistics and verdict of every row of ``docs``.
 
     Rows that pass the base rules (50 words or more, at most half of them inside
     repeated 3-word windows) form groups of language and source. Groups of fewer
     than ``min_rows`` rows are pooled per language, and then over languages. A
     row is rejected when its squared Mahalanobis distance, by its group's robust
-    estimate, is above ``CUT``. Coordinates in which most rows agree (no symbols,
+    estimate from the ``share`` of rows that lie closest, is above ``CUT``. Coordinates in which most rows agree (no symbols,
     no repeats) keep the least deviations of ``COORDINATES``.
 
     Returns ``doc_id``, the five counts, ``base_failed``, ``distance`` (null if
@@ -237,7 +247,7 @@ def judge(docs: DataFrame, min_rows: int = 50, steps: int = 4, salts: int = 16)
         ),
         "quality-rows",
     )
-    estimator = Estimator(placed.filter(~F.col("base_failed")).select("group", "salt", *NAMES), salts)
+    estimator = Estimator(placed.filter(~F.col("base_failed")).select("group", "salt", *NAMES), salts, share, consistent)
     estimates = estimator.start()
     for _ in range(steps):
         estimates = estimator.concentrate(estimates)
@@ -328,7 +338,7 @@ def _twin(min_rows: int = 50, steps: int = 4) -> str:
             t{k} AS (SELECT grp, min(cell) AS last FROM (
                 SELECT grp, cell, sum(c) OVER (PARTITION BY grp ORDER BY cell ROWS UNBOUNDED PRECEDING) AS upto, sum(c) OVER (PARTITION BY grp) AS total
                 FROM (SELECT grp, cell, count(*) AS c FROM c{k} GROUP BY ALL)) WHERE upto >= {SHARE} * total GROUP BY grp),
-            e{k + 1} AS MATERIALIZED ({chained(f'(SELECT *, {means} FROM {chosen})', 'grp, ' + names, _cholesky(plain(_covariance())))})"""
+            e{k + 1} AS MATERIALIZED ({chained(f'(SELECT *, {means} FROM {chosen})', 'grp, ' + names, _cholesky(plain(_covariance(CONSISTENT))))})"""
         )
     judged = chained(f"(SELECT * FROM passing JOIN e{steps} USING (grp))", f"doc_id, {DISTANCE} AS distance", _solve())
     return (
@@ -341,6 +351,6 @@ def _twin(min_rows: int = 50, steps: int = 4) -> str:
 
 @query("op9_quality_rules", _twin())
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    return judge(table(spark, folder, "documents")).select(
+    return judge(table(spark, folder, "documents"), share=SHARE, consistent=CONSISTENT).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
