@@ -365,6 +365,26 @@ def test_digest_index(spark):
     assert index.ingest(empty(spark), "none").count() == 0
 
 
+def test_index_under_other_shuffle_partitions(spark):
+    path = shared_folder(spark, "test-index")
+    docs = spark.createDataFrame([(k, f"text {k}", "en", "a", 0) for k in range(200)], SCHEMA)
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        index = exact_dedup.DigestIndex(spark, path)
+        assert index.ingest(docs, "first").filter("kept").count() == 200
+        for n in ("4", "16"):
+            spark.sql(f"DROP TABLE {index.table}")  # as in a session with a catalog of its own
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            again = exact_dedup.DigestIndex(spark, path)
+            assert again.ingest(docs, f"copies at {n}").filter("kept").count() == 0
+            assert again.buckets == 8 and again.entries().count() == 200
+        with pytest.raises(ValueError, match="8 buckets"):
+            exact_dedup.DigestIndex(spark, path, buckets=16)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+
+
 def test_index_is_read_without_a_shuffle(spark):
     index = exact_dedup.DigestIndex(spark, shared_folder(spark, "test-index"), buckets=4)
     index.ingest(awkward(spark), "first")

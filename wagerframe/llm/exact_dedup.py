@@ -33,7 +33,9 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 class DigestIndex:
     """Digests seen so far, as a Parquet table bucketed and sorted by digest.
 
-    ``path`` holds the files, so that a later session opens the same index. A
+    ``path`` holds the files and, in ``_buckets``, into how many buckets they are
+    dealt, so that a later session opens the same index whatever its shuffle
+    partitions; another count asked for, or declared by the catalog, is an error. A
     batch is deduplicated by a sort-merge anti-join: only the batch's digests
     are shuffled, the index is read bucket by bucket. Rows carry the name of
     their batch; giving a batch again (after a lost driver, say) finds its own
@@ -42,12 +44,38 @@ class DigestIndex:
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
         self.spark, self.path = spark, path
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = self._stored_buckets(buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
+        if buckets and buckets != self.buckets:
+            raise ValueError(f"{path} has {self.buckets} buckets, not {buckets}")
         self.table = "digest_index_" + uuid.uuid5(uuid.NAMESPACE_URL, path).hex
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.table} (digest STRING, keep_id BIGINT, group_size BIGINT, batch STRING)"
             f" USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}'"
         )
+        told = {row["col_name"]: row["data_type"] for row in spark.sql(f"DESCRIBE TABLE EXTENDED {self.table}").collect()}
+        if told.get("Num Buckets") != str(self.buckets):
+            raise ValueError(f"{path} has {self.buckets} buckets, its table in the catalog {told.get('Num Buckets')}")
+
+    def _stored_buckets(self, new: int) -> int:
+        """The bucket count written beside the files; ``new`` is written where there are none yet."""
+        jvm = self.spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(self.path)
+        store = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        file = jvm.org.apache.hadoop.fs.Path(folder, "_buckets")
+        if store.exists(file):
+            stream = store.open(file)
+            try:
+                return stream.readInt()
+            finally:
+                stream.close()
+        if store.exists(folder) and len(store.listStatus(folder)):
+            raise ValueError(f"{self.path} has files, but no bucket count")
+        stream = store.create(file, False)
+        try:
+            stream.writeInt(new)
+        finally:
+            stream.close()
+        return new
 
     def entries(self) -> DataFrame:
         return self.spark.table(self.table)
