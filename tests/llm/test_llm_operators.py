@@ -385,6 +385,16 @@ def test_index_under_other_shuffle_partitions(spark):
         spark.conf.set("spark.sql.shuffle.partitions", partitions)
 
 
+def test_decisions_come_from_the_index(spark):
+    class Other(exact_dedup.DigestIndex):
+        def entries(self):
+            return super().entries().withColumn("keep_id", F.col("keep_id") + 1000)
+
+    docs = spark.createDataFrame([(1, "a b", "en", "a", 0), (2, "ab", "en", "a", 0), (3, "c", "en", "a", 0)], SCHEMA)
+    found = Other(spark, shared_folder(spark, "test-index"), buckets=4).ingest(docs, "first").collect()
+    assert sorted((r._id, r.keep_id, r.group_size, r.kept) for r in found) == [(1, 1001, 2, True), (2, 1001, 2, False), (3, 1003, 1, True)]
+
+
 def test_index_is_read_without_a_shuffle(spark):
     index = exact_dedup.DigestIndex(spark, shared_folder(spark, "test-index"), buckets=4)
     index.ingest(awkward(spark), "first")

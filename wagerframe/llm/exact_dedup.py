@@ -84,7 +84,8 @@ class DigestIndex:
         """Decide every row of ``docs`` and append its new digests.
 
         Of equal texts the row with the most code points, then the smallest id
-        (null last), stays, unless an earlier batch holds the digest. Of repeated
+        (null last), stays, unless an earlier batch holds the digest. New digests are
+        appended first; decisions are taken from the index as read back. Of repeated
         rows exactly one stays. Returns ``_id, digest, keep_id, group_size, kept``;
         ``group_size`` counts this batch. An empty table gives an empty result.
         """
@@ -95,26 +96,20 @@ class DigestIndex:
             .agg(F.max_by(F.struct("_id", "_row"), order).alias("best"), F.count(F.lit(1)).alias("group_size"))
             .select("digest", F.col("best._id").alias("keep_id"), F.col("best._row").alias("keep_row"), "group_size")
         )
-        before = (
-            self.entries()
-            .filter(F.col("batch") != batch)
-            .select("digest", F.col("keep_id").alias("old_id"), F.lit(True).alias("old"))
-        )
-        best = save(
-            best.join(before.hint("merge"), "digest", "left").select(
-                "digest",
-                F.when(F.col("old"), F.col("old_id")).otherwise(F.col("keep_id")).alias("keep_id"),
-                F.when(F.col("old").isNull(), F.col("keep_row")).alias("keep_row"),
-                "group_size",
-            ),
-            "digest-decisions",
-        )
+        best = save(best, "digest-groups").repartition(self.buckets, "digest")
         fresh = best.join(self.entries().hint("merge"), "digest", "left_anti")
         (
             fresh.select("digest", "keep_id", "group_size", F.lit(batch).alias("batch"))
             .repartition(self.buckets, "digest")
             .write.insertInto(self.table)
         )
+        entries = self.entries().select("digest", F.col("keep_id").alias("index_id"), "batch")
+        best = best.join(entries.hint("merge"), "digest").select(
+            "digest",
+            F.col("index_id").alias("keep_id"),
+            F.when(F.col("batch") == batch, F.col("keep_row")).alias("keep_row"),
+            "group_size",
+        )
         return rows.join(best, "digest").select(
             "_id",
             "digest",
