@@ -308,6 +308,15 @@ def test_temperature_and_sparsity():
     assert model.predict("rika") [0] == "a"
 
 
+def test_rare_language_is_fitted():
+    texts, labels = ["kako rika"] * 40 + ["schung ein"] * 40, ["a"] * 40 + ["b"] * 40
+    first = int(np.random.Generator(np.random.PCG64(7)).permutation(81)[0])  # lies in a fifth drawn over all rows
+    texts.insert(first, "zzyzx qvuq")
+    labels.insert(first, "c")
+    model = language.train(texts, labels, np.ones(1 << language.BITS))
+    assert model.predict("zzyzx qvuq")[0] == "c"
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(6)
     rows, labels = [], []

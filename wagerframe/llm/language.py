@@ -110,14 +110,21 @@ class LanguageModel:
 
 
 def train(texts: list[str], labels: list[str], idf: np.ndarray, rounds: int = 4, calibration: float = 0.2, seed: int = 7) -> LanguageModel:
-    """Multinomial logistic regression on part of the rows; the temperature is set on the rest."""
+    """Multinomial logistic regression on part of the rows; the temperature is set on the rest.
+
+    The rest is drawn within each language, and at least one row of each is left to fit.
+    """
     languages = sorted(set(labels))
     classes = np.asarray([languages.index(x) for x in labels], dtype=np.int64)
     rows = [features(text, idf) for text in texts]
     draw = np.random.Generator(np.random.PCG64(seed))
     order = draw.permutation(len(rows))
-    apart = int(len(rows) * calibration) if len(rows) >= 10 * len(languages) else 0
-    held, fit = order[:apart], order[apart:]
+    apart = np.zeros(len(rows), dtype=bool)
+    if len(rows) >= 10 * len(languages):
+        for c in range(len(languages)):
+            own = order[classes[order] == c]
+            apart[own[: min(int(len(own) * calibration), len(own) - 1)]] = True
+    held, fit = order[apart[order]], order[~apart[order]]
     bias = 1 << BITS
     learner = FollowTheRegularisedLeader(bias + 1, len(languages), alpha=0.5, l1=0.05, l2=0.01)
     for _ in range(rounds):
