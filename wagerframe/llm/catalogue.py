@@ -9,6 +9,7 @@ from wagerframe.llm import (  # noqa: F401  (imported for registration)
     near_dedup,
     packing,
     quality,
+    resampling,
     sharding,
     token_counts,
     toxicity,
