@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from wagerframe.llm import (  # noqa: F401  (imported for registration)
+    collocations,
     exact_dedup,
     language,
     mixing,
