@@ -14,6 +14,7 @@ from wagerframe.llm import (  # noqa: F401  (imported for registration)
     sharding,
     token_counts,
     toxicity,
+    vector_search,
     warc,
 )
 from wagerframe.llm.registry import QUERIES, TWINS
