@@ -23,12 +23,10 @@ NAMES = [name for name, _, _ in COORDINATES]
 PAIRS = [(i, j) for i in range(len(NAMES)) for j in range(i + 1)]
 #: Chi-square quantile 0.9999 of four degrees of freedom.
 CUT = 23.51
-#: Share of rows that an estimate rests on, and what makes its covariance consistent at the
-#: normal distribution: share / P(chi2 with 6 degrees <= chi2 quantile of the share with 4).
-SHARE, CONSISTENT = 0.75, 1.486
-#: The same for just over half of the rows, so that copies of up to nearly half of a group do not
-#: make the norm; the SQL of op9 rests on the three quarters above.
-HALF_SHARE, HALF_CONSISTENT = 0.51, 2.077
+#: Share of rows that an estimate rests on, just over half, so that copies of up to nearly half of a
+#: group do not make the norm; and what makes its covariance consistent at the normal
+#: distribution: share / P(chi2 with 6 degrees <= chi2 quantile of the share with 4).
+SHARE, CONSISTENT = 0.51, 2.077
 
 
 def repeated_words(words: Column) -> Column:
@@ -141,7 +139,7 @@ class Estimator:
     most rows spreads over ``salts`` tasks.
     """
 
-    def __init__(self, rows: DataFrame, salts: int = 16, share: float = HALF_SHARE, consistent: float = HALF_CONSISTENT):
+    def __init__(self, rows: DataFrame, salts: int = 16, share: float = SHARE, consistent: float = CONSISTENT):
         self.rows, self.salts, self.share, self.consistent = rows, salts, share, consistent
 
     def with_estimates(self, estimates: DataFrame) -> DataFrame:
@@ -205,8 +203,8 @@ def judge(
     min_rows: int = 50,
     steps: int = 4,
     salts: int = 16,
-    share: float = HALF_SHARE,
-    consistent: float = HALF_CONSISTENT,
+    share: float = SHARE,
+    consistent: float = CONSISTENT,
 ) -> DataFrame:
     """Statistics and verdict of every row of ``docs``.
 
@@ -351,6 +349,6 @@ def _twin(min_rows: int = 50, steps: int = 4) -> str:
 
 @query("op9_quality_rules", _twin())
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    return judge(table(spark, folder, "documents"), share=SHARE, consistent=CONSISTENT).select(
+    return judge(table(spark, folder, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
