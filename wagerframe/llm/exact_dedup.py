@@ -110,7 +110,9 @@ class DigestIndex:
             F.when(F.col("batch") == batch, F.col("keep_row")).alias("keep_row"),
             "group_size",
         )
-        return rows.join(best, "digest").select(
+        # Written, so that both sides of the join are exchanged and a digest of many rows can be split.
+        best = save(best, "digest-decisions")
+        return rows.join(best.hint("merge"), "digest").select(
             "_id",
             "digest",
             "keep_id",
