@@ -48,8 +48,8 @@ class Numbered(dict):
 class Block:
     """The words of consecutive documents, turned into postings by pre-token."""
 
-    def __init__(self, number: int, block_docs: int, block_words: int, hot_docs: int, spread: int):
-        self.number, self.hot_docs, self.spread = number, hot_docs, spread
+    def __init__(self, number: int, together: int, block_docs: int, block_words: int, hot_docs: int):
+        self.number, self.together, self.hot_docs = number, together, hot_docs
         self.block_docs, self.block_words = block_docs, block_words
         self.ids: list[int | None] = []
         self.sizes: list[int] = []
@@ -93,7 +93,7 @@ class Block:
         keys = keys[begins]
         lengths = np.bincount((keys >> np.uint64(16)).astype(np.int64), minlength=len(tokens))
         starts = np.concatenate([[0], np.cumsum(lengths)])
-        salt = np.where(lengths >= self.hot_docs, self.number + self.spread, self.number // self.spread)
+        salt = np.where(lengths >= self.hot_docs, -1 - self.number, self.together)
         n = len(tokens)
         none = pa.nulls(n, pa.list_(pa.int64()))
         columns = [
@@ -133,8 +133,8 @@ def count_tokens(
     where they arise. Last, the partial sums of a block meet.
 
     A pre-token found in ``hot_docs`` or more documents of a block is counted for
-    that block on its own, others for ``spread`` blocks together, so no pre-token
-    gathers the postings of the corpus in one task. A block ends at ``block_docs``
+    that block on its own, others for the blocks of ``spread`` input tasks together, so
+    no pre-token gathers the postings of the corpus in one task. A block ends at ``block_docs``
     documents (65,535 at most) or ``block_words`` words, which bounds the
     memory of all three steps by that and one document.
 
@@ -149,8 +149,9 @@ def count_tokens(
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = vocabularies.word_splitter(name, path).split
-        number = TaskContext.get().partitionId() << 24
-        block = Block(number, block_docs, block_words, hot_docs, spread)
+        task = TaskContext.get().partitionId()
+        number = task << 24
+        block = Block(number, task // spread, block_docs, block_words, hot_docs)
         for batch in batches:
             for doc_id, text, size in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 odd = not text.isascii() or any(c in text for c in "\x1c\x1d\x1e\x1f")
@@ -159,7 +160,7 @@ def count_tokens(
                 if block.full():
                     yield from block.batches(split)
                     number += 1
-                    block = Block(number, block_docs, block_words, hot_docs, spread)
+                    block = Block(number, task // spread, block_docs, block_words, hot_docs)
         if block.ids:
             yield from block.batches(split)
 
