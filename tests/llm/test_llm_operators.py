@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import zstandard
-from helpers import SCHEMA, awkward, awkward_rows, empty, words
+from helpers import SCHEMA, awkward, awkward_rows, empty, folder_of, words
 from pyspark.sql import functions as F
 
 from wagerframe.llm import exact_dedup, language, mixing, near_dedup, packing, quality, sharding, token_counts, toxicity, vocabularies, warc
@@ -236,6 +236,17 @@ def test_token_counts(spark, sizes):
     assert token_counts.count_tokens(empty(spark)).count() == 0
 
 
+def test_rare_pre_tokens_of_all_tasks_meet():
+    rows = [(k, f"common common rare{k % 7} {words(3, k % 11)}") for k in range(400)]
+    blocks = [token_counts.Block(n << 24, 0, 100, 1000, 64) for n in range(8)]
+    for k, text in rows:
+        blocks[k % 8].add(k, len(text), text.split())
+    split = vocabularies.word_splitter("word_bpe_49k.json", None).split
+    postings = [r for b in blocks for batch in b.batches(split) for r in batch.to_pylist() if r["token"] is not None]
+    tokens, keys = {r["token"] for r in postings}, {(r["token"], r["salt"]) for r in postings}
+    assert len(postings) > 3 * len(tokens) and len(keys) == len(tokens)
+
+
 def test_packing(spark):
     library = vocabularies.load("byte_bpe_50k.json", None)
     rows = [*awkward_rows(), *[(1000 + k, words(k % 300), "en", "a", 0) for k in range(400)], ((1 << 60) + 1, "large id", None, None, 0)]
@@ -347,6 +358,25 @@ def test_counterfactual_penalty():
     assert gap[0.0] > 0.5 and gap[5.0] < 0.2 * gap[0.0]
 
 
+def test_neutral_mentions_in_texts_without_terms(spark):
+    # No text names a group, but toxic words share their beginnings with names of groups.
+    rng = np.random.default_rng(4)
+    other = lambda: " ".join(f"wo{'abcdefghij'[rng.integers(10)]}{'klmnopqrst'[rng.integers(10)]}rd" for _ in range(8))
+    texts = [f"{other()} {w}!" for w in ("germanz", "muslimz", "christianz", "blackz") for _ in range(60)]
+    texts += [other() for _ in range(400)]
+    labels = [1] * 240 + [0] * 400
+    clean = [other() for _ in range(50)]
+    before, after = (toxicity.train(texts, labels, penalty=p) for p in (0.0, 1.0))
+    assert before.pairs == after.pairs == len(toxicity.IDENTITY_TERMS) * 640
+    assert toxicity.neutral_mention_errors(before, clean) > 0.02
+    assert toxicity.neutral_mention_errors(after, clean) < 0.5 * toxicity.neutral_mention_errors(before, clean)
+    hits = [after.score(f"{other()} {w}") > 0.5 for w in ("germanz", "muslimz", "christianz", "blackz") for _ in range(20)]
+    assert np.mean(hits) > 0.95
+    marks = spark.createDataFrame([(k, int(v)) for k, v in enumerate(labels)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert toxicity.learn_toxicity(docs, marks).pairs == before.pairs
+
+
 # 8 exact copies
 
 
@@ -472,14 +502,16 @@ def test_estimate_resists_outliers(spark):
     assert all(abs(row[f"m{i}"] - m) < 60 for i, m in enumerate([100, 200, 300, 400]))
 
 
-def test_copies_are_not_the_norm(spark):
+def test_copies_are_not_the_norm(spark, tmp_path):
     rng = np.random.default_rng(3)
     rows = [(k, " ".join(f"w{rng.integers(1000, 10000)}" for _ in range(rng.integers(60, 200))), "en", "s", 0) for k in range(200)]
     junk = " ".join(f"#{k}" if k % 2 else f"word{k}" for k in range(100))
     rows += [(1000 + k, junk, "en", "s", 0) for k in range(100)]  # a third of the group
-    left = quality.drop_low_quality(spark.createDataFrame(rows, SCHEMA))
-    ids = {r.doc_id for r in left.collect()}
-    assert not [i for i in ids if i >= 1000] and len(ids) > 195
+    docs = spark.createDataFrame(rows, SCHEMA)
+    judged = quality.op9_quality_rules(spark, folder_of(tmp_path, documents=docs)).filter("kept")
+    for left in (quality.drop_low_quality(docs), judged):
+        ids = {r.doc_id for r in left.collect()}
+        assert not [i for i in ids if i >= 1000] and len(ids) > 195
 
 
 # 10 mixing

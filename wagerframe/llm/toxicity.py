@@ -49,20 +49,36 @@ def text_features(words: set[str]) -> set[str]:
     return {f for word in words for f in word_features(word)}
 
 
-def counterfactuals(text: str, exchange: dict[str, list[str]], k: int) -> Iterator[tuple[set[str], set[str]]]:
-    """Word sets of the text's sentences that name a group, and of the same sentences with other groups named."""
+def counterfactuals(text: str, terms: list[list[str]], exchange: dict[str, list[str]], k: int) -> Iterator[tuple[set[str], set[str]]]:
+    """Word sets of the text's sentences and of counterfactual forms of them.
+
+    A sentence that names a group meets itself with other groups named. In a text
+    that names none, one sentence (the ``k``-th, counted around) meets itself with
+    a neutral mention put in: one term of every group of terms, in turn.
+    """
+    plain, named = [], False
     for at, sentence in enumerate(SENTENCE.findall(text.lower())):
         words = WORDS.findall(sentence)
         if any(word in exchange for word in words):
+            named = True
             turn = lambda i, w: exchange[w][(k + at + i) % len(exchange[w])]
             yield set(words), {turn(i, w) if w in exchange else w for i, w in enumerate(words)}
+        elif words:
+            plain.append(set(words))
+    if plain and not named:
+        words = plain[k % len(plain)]
+        for group in terms:
+            yield words, words | {group[k % len(group)]}
 
 
 class ToxicityModel:
-    """A weight per feature that has one, and an intercept; scores depend on which words occur, not how often."""
+    """A weight per feature that has one, and an intercept; scores depend on which words occur, not how often.
+
+    ``pairs`` counts the counterfactual pairs that were regularised.
+    """
 
-    def __init__(self, weights: dict[str, float], intercept: float):
-        self.weights, self.intercept = weights, intercept
+    def __init__(self, weights: dict[str, float], intercept: float, pairs: int = 0):
+        self.weights, self.intercept, self.pairs = weights, intercept, pairs
         self.known: dict[str, tuple[str, ...]] = {}
 
     def logit(self, words: set[str]) -> float:
@@ -83,6 +99,14 @@ class ToxicityModel:
         return float(1.0 / (1.0 + np.exp(-np.clip(logit, -500, 500))))
 
 
+def neutral_mention_errors(model: ToxicityModel, texts: list[str], terms: list[list[str]] = IDENTITY_TERMS) -> float:
+    """Of texts that the model leaves alone, the share (over texts and terms) that one neutral mention turns toxic."""
+    sets = [set(WORDS.findall((text or "").lower())) for text in texts]
+    clean = [words for words in sets if model.logit(words) < 0.0]
+    flagged = sum(model.logit(words | {term}) >= 0.0 for words in clean for group in terms for term in group)
+    return flagged / max(1, len(clean) * sum(map(len, terms)))
+
+
 def evidence(toxic: int, clean: int, all_toxic: int, all_clean: int) -> float:
     """The log likelihood ratio statistic of a feature's occurrence against the label."""
     both, rows = toxic + clean, all_toxic + all_clean
@@ -106,9 +130,11 @@ def train(
 
     Features whose occurrence tells less about the label than ``least_evidence``
     (15.1 is the chi-square quantile 0.9999 of one degree of freedom) get no
-    weight, so a text's many rare words cannot be learned by heart. Beside the log loss of the labelled texts, every pair of a sentence and its
-    swapped form adds ``penalty / 2 * (difference of their logits)**2``, which
-    moves weight away from the terms that were swapped.
+    weight, so a text's many rare words cannot be learned by heart. Beside the log
+    loss of the labelled texts, every pair of a sentence and its counterfactual form
+    adds ``penalty / 2 * (difference of their logits)**2``, which moves weight away
+    from the terms that were swapped or put in, and from the beginnings that they share
+    with other words.
     """
     held = [text_features(set(WORDS.findall((text or "").lower()))) for text in texts]
     toxic = Counter(f for features, label in zip(held, labels, strict=True) if label for f in features)
@@ -119,11 +145,15 @@ def train(
     at = lambda features: np.asarray(sorted(index[f] for f in features if f in index), dtype=np.int64)
     rows = [at(features) for features in held]
     exchange = swaps(terms)
-    pairs = []
+    pairs, met = [], 0
     for k, text in enumerate(texts):
-        for words, swapped in counterfactuals(text or "", exchange, k):
-            here, there = text_features(words), text_features(swapped)
-            plus, minus = at(here - there), at(there - here)
+        for words, other in counterfactuals(text or "", terms, exchange, k):
+            met += 1
+            gone, new = text_features(words - other) & index.keys(), text_features(other - words) & index.keys()
+            if not gone and not new:
+                continue  # neither form has a feature of its own that could hold weight
+            shared = text_features(words & other)
+            plus, minus = at(gone - new - shared), at(new - gone - shared)
             pairs.append((np.concatenate([plus, minus]), np.concatenate([np.ones(len(plus)), -np.ones(len(minus))])))
     bias = len(index)
     learner = FollowTheRegularisedLeader(bias + 1, 1, alpha=1.0, l1=0.2, l2=0.05)
@@ -141,7 +171,7 @@ def train(
             if error:
                 learner.update(where, weights, (values * error)[:, None])
     weights = learner.weights()[:, 0]
-    return ToxicityModel({f: float(weights[i]) for f, i in index.items() if weights[i]}, float(weights[bias]))
+    return ToxicityModel({f: float(weights[i]) for f, i in index.items() if weights[i]}, float(weights[bias]), met)
 
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 3000, penalty: float = 1.0) -> ToxicityModel:
@@ -161,7 +191,8 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 3000, pe
         sample = sample.sort_by([("doc_id", "ascending"), ("toxic", "ascending"), ("text", "ascending")])
         model = train(sample.column("text").to_pylist(), sample.column("toxic").to_pylist(), penalty=penalty)
         features = sorted(model.weights)
-        return pa.table({"feature": pa.array([*features, ""]), "weight": pa.array([*(model.weights[f] for f in features), model.intercept])})
+        weights = [*(model.weights[f] for f in features), model.intercept, float(model.pairs)]
+        return pa.table({"feature": pa.array([*features, "", None]), "weight": pa.array(weights)})
 
     bounded_batches(docs.sparkSession)
     sample = docs.select("doc_id", "text").join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id")
@@ -172,8 +203,8 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 3000, pe
         .collect()  # the features of the sample that carry weight
     )
     weights = {row["feature"]: row["weight"] for row in fitted}
-    intercept = weights.pop("", -1.0)
-    return ToxicityModel(weights, intercept)
+    intercept, pairs = weights.pop("", -1.0), int(weights.pop(None, 0))
+    return ToxicityModel(weights, intercept, pairs)
 
 
 def score_toxicity(
