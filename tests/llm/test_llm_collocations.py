@@ -48,7 +48,7 @@ def corpus(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string")
 
 
-@pytest.mark.parametrize("small", [{}, {"block_tokens": 50, "split": 2, "fan": 3, "step": 16}])
+@pytest.mark.parametrize("small", [{}, {"block_tokens": 50, "fan": 3, "most": 20, "step": 16}])
 def test_against_twin(spark, tmp_path, small):
     docs = corpus(spark)
     folder = folder_of(tmp_path, documents=docs)

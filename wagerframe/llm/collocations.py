@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import struct
 from array import array
@@ -53,6 +54,17 @@ def _tokens(text: bytes, step: int) -> Iterator[list[bytes]]:
         begin = end
 
 
+def _low_bytes(values: np.ndarray, bits: int) -> bytes:
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : -(-bits // 8)]).tobytes()
+
+
+def _from_bytes(data: memoryview, n: int, bits: int) -> np.ndarray:
+    whole = np.zeros((n, 8), dtype=np.uint8)
+    width = -(-bits // 8)
+    whole[:, :width] = np.frombuffer(data, dtype=np.uint8, count=n * width).reshape(n, width)
+    return whole.view("<u8").reshape(n).astype(np.uint64)
+
+
 class Block:
     """Words of one language, numbered as they come; 0 is a break.
 
@@ -69,7 +81,7 @@ class Block:
     def row(self, number: int) -> pa.RecordBatch:
         stream = np.frombuffer(self.stream, dtype=np.uint32)
         counts = np.bincount(stream[self.context :], minlength=len(self.index))[1:]
-        width = 2 if len(self.index) <= 1 << 16 else 4
+        width = max(1, -(-len(self.index).bit_length() // 8))
         words = pa.array([list(self.index)[1:]], pa.list_(pa.binary())).cast(pa.list_(pa.string()))
         columns = [
             pa.array([number], pa.int64()),
@@ -77,7 +89,7 @@ class Block:
             pa.array([self.context], pa.int32()),
             pa.array([width], pa.int32()),
             pa.array([int(counts.sum())], pa.int64()),
-            pa.array([stream.astype(f"<u{width}").tobytes()], pa.binary()),
+            pa.array([_low_bytes(stream, 8 * width)], pa.binary()),
             words,
             pa.array([counts], pa.list_(pa.int64())),
         ]
@@ -102,7 +114,7 @@ def text_blocks(docs: DataFrame, block_tokens: int, step: int) -> DataFrame:
                     block.stream.extend(map(block.index.__getitem__, tokens))
                     recent = (recent + tokens)[1 - LONGEST :]
                 block.stream.append(0)
-                if len(block.stream) >= block_tokens or sum(len(b.stream) for b in opened.values()) >= 4 * block_tokens:
+                if len(block.stream) >= block_tokens or sum(len(b.stream) for b in opened.values()) >= 2 * block_tokens:
                     for full in opened.values():
                         yield full.row(number)
                         number += 1
@@ -192,18 +204,7 @@ def summed(high: np.ndarray, low: np.ndarray, counts: np.ndarray | None, half: i
 
 # --- counting quotient filters ---------------------------------------------------
 
-HEADER = struct.Struct("<QQBBB")
-
-
-def _low_bytes(values: np.ndarray, bits: int) -> bytes:
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : -(-bits // 8)]).tobytes()
-
-
-def _from_bytes(data: memoryview, n: int, bits: int) -> np.ndarray:
-    whole = np.zeros((n, 8), dtype=np.uint8)
-    width = -(-bits // 8)
-    whole[:, :width] = np.frombuffer(data, dtype=np.uint8, count=n * width).reshape(n, width)
-    return whole.view("<u8").reshape(n).astype(np.uint64)
+HEADER = struct.Struct("<QQQBBB")
 
 
 def encode(high: np.ndarray, low: np.ndarray, counts: np.ndarray, high_bits: int, low_bits: int) -> bytes:
@@ -211,8 +212,9 @@ def encode(high: np.ndarray, low: np.ndarray, counts: np.ndarray, high_bits: int
 
     The quotient is the first bits of a key, about one value per key: a bit per
     quotient tells whether it is occupied and a bit per key whether its run ends
-    there, so the quotient itself is not stored. The remainder is stored in full, and a
-    counter in one byte, with those of 255 and more in a list of their own. Nothing is lost.
+    there, so the quotient itself is not stored. The remainder is stored in full. A bit
+    per key tells counters above 1, which have one byte each, and eight more from 255 on.
+    Nothing is lost.
     """
     n = len(high)
     q = min(high_bits, max(n, 1).bit_length())
@@ -221,14 +223,17 @@ def encode(high: np.ndarray, low: np.ndarray, counts: np.ndarray, high_bits: int
     occupied = np.zeros(1 << q, dtype=bool)
     occupied[quotients] = True
     ends = np.concatenate([quotients[1:] != quotients[:-1], [True]]) if n else np.zeros(0, bool)
-    large = counts[counts >= 255].astype("<u8")
+    several = counts > 1
+    more = counts[several]
+    large = more[more >= 255].astype("<u8")
     parts = [
-        HEADER.pack(n, len(large), q, high_bits, low_bits),
+        HEADER.pack(n, len(more), len(large), q, high_bits, low_bits),
         np.packbits(occupied).tobytes(),
         np.packbits(ends).tobytes(),
         _low_bytes(high & _mask(rest), rest),
         _low_bytes(low, low_bits),
-        np.minimum(counts, 255).astype(np.uint8).tobytes(),
+        np.packbits(several).tobytes(),
+        np.minimum(more, 255).astype(np.uint8).tobytes(),
         large.tobytes(),
     ]
     return b"".join(parts)
@@ -236,7 +241,7 @@ def encode(high: np.ndarray, low: np.ndarray, counts: np.ndarray, high_bits: int
 
 def decode(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys (high, low), ascending, and counts of a filter."""
-    n, n_large, q, high_bits, low_bits = HEADER.unpack_from(data)
+    n, n_more, n_large, q, high_bits, low_bits = HEADER.unpack_from(data)
     rest = high_bits - q
     view = memoryview(data)[HEADER.size :]
 
@@ -250,8 +255,11 @@ def decode(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     quotients = occupied[np.cumsum(ends) - ends].astype(np.uint64)
     high = (quotients << np.uint64(rest)) | _from_bytes(take(n * -(-rest // 8)), n, rest)
     low = _from_bytes(take(n * -(-low_bits // 8)), n, low_bits)
-    counts = np.frombuffer(take(n), np.uint8).astype(np.int64)
-    counts[counts == 255] = np.frombuffer(take(8 * n_large), "<u8").astype(np.int64)
+    several = np.unpackbits(np.frombuffer(take(-(-n // 8)), np.uint8), count=n).astype(bool)
+    more = np.frombuffer(take(n_more), np.uint8).astype(np.int64)
+    more[more == 255] = np.frombuffer(take(8 * n_large), "<u8").astype(np.int64)
+    counts = np.ones(n, np.int64)
+    counts[several] = more
     return high, low, counts
 
 
@@ -273,7 +281,7 @@ def _filters(part: int, shard: int, keys: tuple, high_bits: int, split: int, hal
     return pa.table({"shard": pa.array(shards, pa.int64()), "part": pa.array([part] * len(shards), pa.int64()), "filter": pa.array(blobs, pa.binary())})
 
 
-def _block_filters(bits: int, split: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _block_filters(bits: int, split: int, part: int = 1 << 18) -> Callable[[pa.Table, pa.Table], pa.Table]:
     half = 3 * bits // 2
 
     def build(blocks: pa.Table, known: pa.Table) -> pa.Table:
@@ -282,20 +290,20 @@ def _block_filters(bits: int, split: int) -> Callable[[pa.Table, pa.Table], pa.T
         block = blocks.to_pylist()[0]
         ids = np.zeros(block["n_entries"] + 1, dtype=np.uint64)
         ids[known.column("local").to_numpy()] = known.column("id").to_numpy().astype(np.uint64)
-        stream = ids[np.frombuffer(block["stream"], dtype=f"<u{block['width']}")]
-        highs, lows = [], []
+        width = block["width"]
+        stream = ids[_from_bytes(block["stream"], len(block["stream"]) // width, 8 * width)]
+        highs, lows = [ids[:0]], [ids[:0]]
         for n in range(2, LONGEST + 1):
-            size = len(stream) - n + 1
-            if size <= 0:
-                continue
-            words = [stream[k : k + size] for k in range(n)]
-            valid = np.logical_and.reduce([w > 0 for w in words])
-            valid[: max(0, block["context"] - n + 1)] = False
-            words = [w[valid] for w in words] + [np.zeros(int(valid.sum()), np.uint64)] * (LONGEST - n)
-            high, low = pack(words, bits)
-            highs.append(high)
-            lows.append(low)
-        high, low = permute(np.concatenate(highs or [ids[:0]]), np.concatenate(lows or [ids[:0]]), half)
+            for begin in range(max(0, block["context"] - n + 1), len(stream) - n + 1, part):
+                size = min(part, len(stream) - n + 1 - begin)
+                words = [stream[begin + k : begin + k + size] for k in range(n)]
+                valid = np.logical_and.reduce([w > 0 for w in words])
+                words = [w[valid] for w in words] + [np.zeros(int(valid.sum()), np.uint64)] * (LONGEST - n)
+                high, low = permute(*pack(words, bits), half)
+                highs.append(high)
+                lows.append(low)
+        high, low = np.concatenate(highs), np.concatenate(lows)
+        del stream, highs, lows
         return _filters(block["block"], 0, summed(high, low, None, half), half, split, half)
 
     return build
@@ -311,20 +319,27 @@ def _merged_filters(half: int, known_bits: int, split: int) -> Callable[[pa.Tabl
     return merge
 
 
-def merge_filters(filters: DataFrame, blocks: int, half: int, split: int, fan: int) -> tuple[DataFrame, int]:
+def _split_bits(parts: int, entries: float, fan: int, most: int, half: int) -> int:
+    """Into how many bits' worth of shards to cut parts, so that ``fan`` of them merge to about ``most`` entries."""
+    return min(half, max(0, math.ceil(math.log2(max(1.0, min(parts, fan) * entries / most)))))
+
+
+def merge_filters(filters: DataFrame, parts: int, entries: float, bits: int, half: int, fan: int, most: int) -> tuple[DataFrame, int]:
     """One filter per shard, and how many first bits of a key name the shard.
 
-    Each round merges the sorted filters of about ``fan`` parts of a shard, then
-    cuts the result by ``split`` more bits, so that merged filters stay as large as
-    those of a block however many blocks there are. The last round cuts no more.
+    ``filters`` come from ``parts`` blocks of about ``entries`` entries, cut by the
+    first ``bits`` bits. Each round merges the sorted filters of about ``fan`` parts of a
+    shard, then cuts the result by further bits, so that no merge holds many more than
+    ``most`` entries however many blocks there are. The last round cuts no more.
     """
-    bits, parts = split, blocks
+    cut = bits
     while True:
+        entries = min(parts, fan) * entries / 2**cut
         parts = -(-parts // fan)
-        further = 0 if parts <= 1 else min(split, half - 1 - bits)
+        cut = 0 if parts <= 1 else _split_bits(parts, entries, fan, most, half - bits)
         dealt = filters.withColumn("part", F.pmod(F.xxhash64("part"), F.lit(parts)).cast("long"))
-        filters = dealt.groupBy("shard", "part").applyInArrow(_merged_filters(half, bits, further), FILTERS)
-        bits += further
+        filters = dealt.groupBy("shard", "part").applyInArrow(_merged_filters(half, bits, cut), FILTERS)
+        bits += cut
         if parts <= 1:
             return filters, bits
 
@@ -357,7 +372,7 @@ def cut_score(a: Column, left: Column, right: Column) -> Column:
 
 
 def phrase_counts(
-    docs: DataFrame, least: int = 10, block_tokens: int = 1 << 19, split: int = 8, fan: int = 256, step: int = 1 << 18
+    docs: DataFrame, least: int = 10, block_tokens: int = 1 << 21, fan: int = 1024, most: int = 1 << 20, step: int = 1 << 18
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Phrases of 2 and 3 words found at least ``least`` times, the words they are made of, and words per language.
 
@@ -378,11 +393,13 @@ def phrase_counts(
     if bits > 42:
         raise ValueError("more than 2**42 words: ids do not fit a packed phrase")
     half = 3 * bits // 2
-    split = min(split, half - 1)
     known = postings.join(words.hint("merge"), ["lang", "word"]).select(F.col("block").alias("held_by"), "local", "id")
     streams = blocks.select("block", "context", "width", "stream", F.size("words").alias("n_entries"))
+    parts, tokens = blocks.agg(F.count("*"), F.sum("n_words")).first()
+    entries = (LONGEST - 1) * (tokens or 0) / max(parts, 1)
+    split = _split_bits(parts, entries, fan, most, half)
     filters = streams.groupBy("block").cogroup(known.groupBy("held_by")).applyInArrow(_block_filters(bits, split), FILTERS)
-    filters, shard_bits = merge_filters(filters, blocks.count(), half, split, fan)
+    filters, shard_bits = merge_filters(filters, parts, entries, split, half, fan, most)
     phrases = save(counted_phrases(filters, shard_bits, bits, least), "phrase-counts")
     return phrases, words, blocks.groupBy("lang").agg(F.sum("n_words").alias("n"))
 
