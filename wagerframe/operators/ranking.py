@@ -184,3 +184,41 @@ def position_slice(df: DataFrame, position: str, start: int | None = None, end:
 def head(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
     """First ``n`` rows by an order; planned as a top-n per task and one merge."""
     return df.orderBy(*order).limit(n)
+
+
+def smallest(df: DataFrame, n: int, draw: Column, ties: list[Column], digit_bits: int = 12, few: int = 10_000) -> DataFrame:
+    """The ``n`` rows of smallest hash draw in [0, 1), ties by ``ties``; no task merges ``n`` rows.
+
+    A radix selection: the draws' first ``digit_bits`` bits are counted (one number
+    per digit reaches the driver), the digit that holds the n-th row is counted by its
+    next bits, and so on until at most ``few`` rows share the digits so far. Rows before
+    them are taken by a filter, and only those few are ordered. Draws that tie
+    in all their bits are ranked by ``rank_within`` instead, however many they are.
+    """
+    if n <= 0:
+        return df.limit(0)
+    bits = 52
+    keyed = df.withColumn("_bits", F.floor(draw * float(1 << bits)).cast("long"))
+    prefix, left, need = 0, bits, n
+    while True:
+        inside = F.shiftright("_bits", left) == prefix
+        width = min(digit_bits, left)
+        digit = F.shiftright("_bits", left - width).alias("digit")
+        counts = {r["digit"]: r["n"] for r in keyed.filter(inside).groupBy(digit).agg(F.count("*").alias("n")).collect()}
+        for value in sorted(counts):
+            if need <= counts[value]:
+                break
+            need -= counts[value]
+        else:
+            return df  # fewer rows than asked for
+        prefix, left, found = value, left - width, counts[value]
+        if left == 0 or found <= few:
+            break
+    before = keyed.filter(F.shiftright("_bits", left) < prefix)
+    last = keyed.filter(F.shiftright("_bits", left) == prefix)
+    order = [F.col("_bits"), *ties]
+    if found <= few:
+        last = last.orderBy(*order).limit(need)
+    else:
+        last = rank_within(last, [], order, "_place").filter(F.col("_place") <= need).drop("_place")
+    return before.unionByName(last).drop("_bits")

@@ -655,4 +655,4 @@ def mean_difference_vectors(spark, folder):
 def steering_contrasts(spark, folder):
     """A seeded top-n of non-null contrasts."""
     e = table(spark, folder, "embeddings").filter((F.col("label") == 0) & F.col("embedding").isNotNull())
-    return ranking.head(e, 100, [draws.uniform(11, F.col("vec_id"), "contrast")]).select("vec_id", "label")
+    return ranking.smallest(e, 100, draws.uniform(11, F.col("vec_id"), "contrast"), [F.col("vec_id")]).select("vec_id", "label")

@@ -108,9 +108,9 @@ def seeded_sample(spark, folder):
 
 @query(
     "two_pool_mix",
-    f"""WITH u AS (SELECT o_orderkey, 'unmodified' AS source FROM orders WHERE o_orderstatus <> 'P' ORDER BY {uniform_sql(9, 'o_orderkey', 'sample')} LIMIT 140),
-    m AS (SELECT o_orderkey, 'modified' AS source FROM orders WHERE o_orderstatus = 'P' ORDER BY {uniform_sql(1009, 'o_orderkey', 'sample')} LIMIT 60)
-    SELECT *, row_number() OVER (ORDER BY {uniform_sql(2009, 'o_orderkey', 'sample')}) AS position FROM (SELECT * FROM u UNION ALL SELECT * FROM m)""",
+    f"""WITH u AS (SELECT o_orderkey, 'unmodified' AS source FROM orders WHERE o_orderstatus <> 'P' ORDER BY {uniform_sql(9, 'o_orderkey', 'mix/unmodified')} LIMIT 140),
+    m AS (SELECT o_orderkey, 'modified' AS source FROM orders WHERE o_orderstatus = 'P' ORDER BY {uniform_sql(9, 'o_orderkey', 'mix/modified')} LIMIT 60)
+    SELECT *, row_number() OVER (ORDER BY {uniform_sql(9, 'o_orderkey', 'mix/order')}) AS position FROM (SELECT * FROM u UNION ALL SELECT * FROM m)""",
 )
 def two_pool_mix(spark, folder):
     pool = orders(spark, folder).select("o_orderkey", "o_orderstatus")
@@ -119,23 +119,61 @@ def two_pool_mix(spark, folder):
     return sampling.two_pool_mix(unmodified, modified, 200, 30, 9, "o_orderkey")
 
 
-def _whole(sample, full):
-    """Rows of a sample, and whether every situation in it is complete."""
-    inside = sample.groupBy("l_orderkey").agg(F.count("*").alias("a"))
-    outside = full.groupBy("l_orderkey").agg(F.count("*").alias("b"))
-    return inside.join(outside, "l_orderkey").agg(F.sum("a").alias("rows"), F.min(F.col("a") == F.col("b")).alias("whole"))
+@query(
+    "mix_sizes_by_percent",
+    """WITH p AS (SELECT count(*) FILTER (WHERE o_orderstatus = 'P') AS m, count(*) FILTER (WHERE o_orderstatus <> 'P') AS u FROM orders),
+    t AS (SELECT percent, floor(least(1000000, CASE WHEN percent > 0 THEN m * 100.0 / percent ELSE 1e18 END,
+      CASE WHEN percent < 100 THEN u * 100.0 / (100 - percent) ELSE 1e18 END))::BIGINT AS total
+      FROM p, (VALUES (0), (10), (35), (50), (90), (100)) v(percent))
+    SELECT percent, round_even(total * percent / 100.0, 0)::BIGINT AS modified, total - round_even(total * percent / 100.0, 0)::BIGINT AS unmodified FROM t""",
+)
+def mix_sizes_by_percent(spark, folder):
+    """The largest mixes of the two pools at several percentages."""
+    is_modified = F.col("o_orderstatus") == "P"
+    pools = orders(spark, folder).agg(F.count_if(is_modified).alias("modified"), F.count_if(~is_modified).alias("unmodified"))
+    sizes = [
+        sampling.mix_sizes(pools, 1_000_000, p).select(F.lit(p).alias("percent"), "modified", "unmodified") for p in (0, 10, 35, 50, 90, 100)
+    ]
+    out = sizes[0]
+    for more in sizes[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _taken_sql(n: int, seed: int) -> str:
+    """Situations of most rows' size, and one of the size that is left over, each first by hash."""
+    return f"""WITH g AS (SELECT l_orderkey, count(*) AS size FROM lineitem GROUP BY l_orderkey),
+    b AS (SELECT size AS a FROM g GROUP BY size HAVING count(*) >= size ORDER BY size * count(*) DESC, size LIMIT 1),
+    takes AS (SELECT a AS size, {n} // a AS take FROM b UNION ALL SELECT {n} % a, 1 FROM b WHERE {n} % a > 0),
+    r AS (SELECT l_orderkey, size, row_number() OVER (PARTITION BY size ORDER BY {uniform_sql(seed, 'l_orderkey', 'group')}) AS k FROM g)
+    SELECT l_orderkey, size AS rows FROM r JOIN takes USING (size) WHERE k <= take"""
+
+
+def _situations_of(sample):
+    return sample.groupBy("l_orderkey").agg(F.count("*").alias("rows"))
 
 
-@query("exact_rows_whole_situations", "SELECT least(501, count(*))::BIGINT AS rows, true AS whole FROM lineitem")
+@query("exact_rows_whole_situations", _taken_sql(501, 4))
 def exact_rows_whole_situations(spark, folder):
-    full = lines(spark, folder)
-    return _whole(sampling.exact_rows(full, 501, "l_orderkey", 4), full)
+    return _situations_of(sampling.exact_rows(lines(spark, folder), 501, "l_orderkey", 4))
 
 
-@query("capped_rows_whole_situations", "SELECT least(777, count(*))::BIGINT AS rows, true AS whole FROM lineitem")
+@query("capped_rows_whole_situations", _taken_sql(777, 4))
 def capped_rows_whole_situations(spark, folder):
-    full = lines(spark, folder)
-    return _whole(sampling.capped_rows(full, 777, "l_orderkey", 4), full)
+    return _situations_of(sampling.capped_rows(lines(spark, folder), 777, "l_orderkey", 4))
+
+
+@query(
+    "nearest_row_totals",
+    """WITH c AS (SELECT count(*) FILTER (WHERE n = 4) AS fours, count(*) FILTER (WHERE n = 6) AS sixes FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey)),
+    t AS (SELECT DISTINCT 4 * i + 6 * j AS total FROM c, range(0, 140) a(i), range(0, 100) b(j) WHERE i <= fours AND j <= sixes)
+    SELECT total::BIGINT AS total, abs(total - 501)::BIGINT AS distance FROM t WHERE total > 0 AND total <> 501 ORDER BY abs(total - 501), total LIMIT 6""",
+)
+def nearest_row_totals(spark, folder):
+    """501 rows cannot be made of orders with four or six lines; the nearest totals that can."""
+    rows = lines(spark, folder)
+    sizes = rows.groupBy("l_orderkey").agg(F.count("*").alias("n")).filter(F.col("n").isin(4, 6))
+    return sampling.nearest_feasible(rows.join(sizes, "l_orderkey", "left_semi"), 501, "l_orderkey")
 
 
 @query(
