@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wagerframe.llm.registry import query, table
-from wagerframe.llm.shared import WORD, save
+from wagerframe.llm.shared import WHITE_SPACE, save
 
 #: Points of the schedule are multiples of the golden ratio's fraction, in units of 2**-31.
 POINTS = 1 << 31
@@ -14,7 +14,9 @@ GOLDEN = 1327217885
 
 
 def n_words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    """Words of a text; each becomes one character, so no list of words is built."""
+    marks = F.regexp_replace(F.ltrim(text, F.lit(WHITE_SPACE)), r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", "w")
+    return F.coalesce(F.char_length(marks), F.lit(0)).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, epochs: int) -> DataFrame:
@@ -93,7 +95,7 @@ def schedule(targets: DataFrame, slots: int, chunk: int = 4096, cells: int = 102
         .select("place", "chunk", F.coalesce(F.sum("n").over(per_source), F.lit(0)).alias("start"))
     )
     in_chunk = Window.partitionBy("place", "chunk").orderBy("slot")
-    return placed.join(starts, ["place", "chunk"]).select(
+    return placed.join(starts.hint("merge"), ["place", "chunk"]).select(
         "place", (F.col("start") + F.row_number().over(in_chunk) - 1).alias("rank")
     )
 
@@ -104,16 +106,16 @@ def mix(
     share: float = 1.5,
     epochs: int = 2,
     block_words: int = 32,
-    digits: int = 3,
+    range_bits: int = 12,
     seed: str = "mix",
 ) -> DataFrame:
     """What a mix of the sources takes of every row of ``docs``.
 
-    The documents of a source, shuffled by a digest of (seed, id, size), form one
-    stream of words, cut into blocks of ``block_words``. The schedule's r-th slot
+    The documents of a source, shuffled by a 60-bit digest of (seed, id, size), form
+    one stream of words, cut into blocks of ``block_words``. The schedule's r-th slot
     of a source takes its block ``r mod blocks``; after ``epochs`` rounds a source
-    is used up. Streams are summed in ranges of digest prefixes (``digits`` hex
-    digits), so no source is gathered in one task.
+    is used up. Streams are summed in ``2**range_bits`` ranges of the digest, so no source is
+    gathered in one task. What meets in one task is a row per source.
 
     Returns ``doc_id, source, size, source_size, target, taken, whole_rounds, cut``:
     ``taken`` words in all, made of ``whole_rounds`` complete copies and, where the
@@ -121,12 +123,9 @@ def mix(
     texts have size 0 and nothing is taken of them; null sources are a source;
     repeated rows count each; no rows give no rows.
     """
-    sized = save(
-        docs.select("doc_id", "source", n_words(F.col("text")).alias("size")).withColumn(
-            "digest", F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string")))
-        ),
-        "mix-sizes",
-    )
+    text = F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string"))
+    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    sized = save(sized.withColumn("digest", F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")), "mix-sizes")
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = save(source_targets(sizes, weights, share, epochs), "mix-targets")
     goal = targets.agg(F.sum("target")).first()[0] or 0.0
@@ -135,7 +134,7 @@ def mix(
     placed = (
         sized.join(targets, sized["source"].eqNullSafe(targets["source"]))
         .select("doc_id", sized["source"], "size", "digest", "place", "source_size", "target")
-        .withColumn("range", F.substring("digest", 1, digits))
+        .withColumn("range", F.shiftright("digest", 60 - range_bits))
     )
     per_source = Window.partitionBy("place").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -145,19 +144,20 @@ def mix(
     )
     in_range = Window.partitionBy("place", "range").orderBy("digest", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     streams = save(
-        placed.join(offsets, ["place", "range"])
+        placed.join(offsets.hint("merge"), ["place", "range"])
         .withColumn("begin", F.col("start") + F.sum("size").over(in_range) - F.col("size"))
         .drop("range", "digest", "start"),
         "mix-streams",
     )
 
     blocks = F.ceil(F.col("source_size") / block_words)
-    used = (
+    used = save(
         schedule(targets, slots)
         .join(targets.select("place", "source_size"), "place")
         .filter(F.col("rank") < epochs * blocks)
         .groupBy("place", (F.col("rank") % blocks).alias("block"))
-        .agg(F.count(F.lit(1)).alias("times"))
+        .agg(F.count(F.lit(1)).alias("times")),
+        "mix-blocks",
     )
     first, last = F.floor(F.col("begin") / block_words), F.floor((F.col("begin") + F.col("size") - 1) / block_words)
     parts = (
@@ -170,7 +170,7 @@ def mix(
         )
     )
     taken = (
-        parts.join(used, ["place", "block"])
+        parts.join(used.hint("merge"), ["place", "block"])
         .groupBy("place", "begin")
         .agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     )
@@ -178,7 +178,7 @@ def mix(
     streams = streams.withColumn("key", F.when(F.col("size") > 0, F.col("begin")))
     return (
         streams.alias("s")
-        .join(taken.alias("t"), (F.col("s.place") == F.col("t.place")) & (F.col("s.key") == F.col("t.begin")), "left")
+        .join(taken.alias("t").hint("merge"), (F.col("s.place") == F.col("t.place")) & (F.col("s.key") == F.col("t.begin")), "left")
         .select(
             "doc_id",
             "source",
@@ -218,7 +218,7 @@ def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
         F.sequence(F.lit(1).cast("long"), rounds), lambda i: F.when(i <= F.col("whole_rounds"), F.lit(-1).cast("long")).otherwise(F.col("cut"))
     )
     words = F.regexp_extract_all("whole.text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
-    taken = rows.join(decided, same).select("whole", F.explode(copies).alias("head"))
+    taken = rows.join(decided.hint("merge"), same).select("whole", F.explode(copies).alias("head"))
     first = F.array_join(F.slice(words, F.lit(1), F.col("head").cast("int")), "")
     part = F.col("whole").withField("text", first)
     if "n_chars" in docs.columns:
@@ -263,8 +263,8 @@ def _twin(weights=(5, 2, 1), share=1.5, epochs=2, block=32, seed="mix") -> str:
         WHERE rank < {epochs} * ceil(source_size / {block})::BIGINT GROUP BY ALL
     ), streams AS (
         SELECT doc_id, place, size, source_size, target,
-               sum(size) OVER (PARTITION BY place ORDER BY md5('{seed}|' || coalesce(doc_id::VARCHAR, '') || '|' || size), doc_id, size
-                               ROWS UNBOUNDED PRECEDING)::BIGINT - size AS begin
+               sum(size) OVER (PARTITION BY place ORDER BY ('0x' || substr(md5('{seed}|' || coalesce(doc_id::VARCHAR, '') || '|' || size), 1, 15))::BIGINT,
+                               doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT - size AS begin
         FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source
     ), parts AS (
         SELECT place, begin, block, least(begin + size, (block + 1) * {block}) - greatest(begin, block * {block}) AS words
