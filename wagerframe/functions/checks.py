@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from wagerframe.functions import formats, text
+from wagerframe.functions import formats, text, wordings
 
 # Phrases that betray a reference to the task's instructions.
 META_REFERENCES = [
@@ -192,3 +192,31 @@ def prompt_options(prompt: Column) -> Column:
         lambda s: F.size(s["outcomes"]) > 0,
     )
     return F.when(F.size(found) > 0, found)
+
+
+def read_options(prompt: Column, domain: str) -> Column:
+    """``array<struct<label, outcomes array<struct<p, x>>>>`` of a text rendered in a quantity's words.
+
+    Reads by the tables that the text was written with, so every outcome comes
+    back, amounts of a billion and more to three figures. Null without options.
+    """
+    phrases = formats.verbal_phrases(domain)
+    spoken = "|".join(sorted(phrases.values(), key=len, reverse=True))
+    lead = rf"(?:{spoken})|{_NUMBER}\s+(?:probability|chance)\s+of|probability\s+{_NUMBER}\s+of"
+    pattern = rf"({lead})\s+({formats.outcome_pattern(domain)})"
+    block = F.regexp_extract(prompt, wordings.options_block(domain), 1)
+    lines = F.filter(F.split(block, "\n"), lambda v: v.rlike(_LINE))
+
+    def outcomes(line: Column) -> Column:
+        body = F.regexp_extract(line, _LINE, 2)
+
+        def one(lead: Column, amount: Column) -> Column:
+            chance = F.coalesce(
+                formats.phrase_probability(lead, phrases), formats.text_probability(F.regexp_extract(lead, _NUMBER, 0))
+            )
+            return F.struct(chance.alias("p"), formats.outcome_value(amount, domain).alias("x"))
+
+        return F.zip_with(F.regexp_extract_all(body, F.lit(pattern), F.lit(1)), F.regexp_extract_all(body, F.lit(pattern), F.lit(2)), one)
+
+    found = F.transform(lines, lambda v: F.struct(F.lower(F.regexp_extract(v, _LINE, 1)).alias("label"), outcomes(v).alias("outcomes")))
+    return F.when(F.size(found) > 0, found)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +34,8 @@ VERBAL_PHRASES = {
     5: "Almost certainly won't give",
     0: "Certainly won't give",
 }
+#: Outcomes of the other quantities are results, not gifts.
+RESULT_PHRASES = {percent: phrase.replace("give", "result in") for percent, phrase in VERBAL_PHRASES.items()}
 PROBABILITY_STYLES = ["pct_probability", "pct_chance", "decimal_probability", "decimal_chance"]
 
 
@@ -72,18 +77,6 @@ def lives(value: Column) -> Column:
     )
 
 
-def lives_outcome(value: Column) -> Column:
-    size = F.abs(value)
-    body = F.when(size < 1e9, _grouped(size, 1)).otherwise(_scientific(size))
-    unit = F.when(is_whole(size) & (F.rint(size) == 1), "life").otherwise("lives")
-    direction = F.when(value > 0, "more").otherwise("fewer")
-    return (
-        F.when(F.isnan(value), "saving NaN lives")
-        .when(size < 1e-9, "saving 0 additional lives")
-        .otherwise(F.concat_ws(" ", F.lit("saving"), body, direction, unit))
-    )
-
-
 def gpu_hours(value: Column) -> Column:
     size = F.abs(value)
     body = F.when(size < 1e9, _grouped(size, 2)).otherwise(_scientific(size))
@@ -92,24 +85,77 @@ def gpu_hours(value: Column) -> Column:
     )
 
 
-def gpu_hours_outcome(value: Column) -> Column:
+@dataclass(frozen=True)
+class OutcomeWords:
+    """How outcomes of a quantity are worded, for writing and for reading alike.
+
+    A size stands between the two parts of ``gain`` or ``loss``; ``units`` (one, many)
+    follow where the quantity counts things.
+    """
+
+    gain: tuple[str, str]
+    loss: tuple[str, str]
+    zero: str
+    nan: str
+    decimals: int = 2
+    units: tuple[str, str] | None = None
+
+
+# The outcome words of each quantity.
+OUTCOME_WORDS = {
+    "money": OutcomeWords(("$", ""), ("-$", ""), "$0", "$NaN"),
+    "gpu_hours": OutcomeWords(("gaining ", " GPU-hours"), ("losing ", " GPU-hours"), "gaining 0 GPU-hours", "gaining NaN GPU-hours"),
+    "lives_saved": OutcomeWords(
+        ("saving ", " more "), ("saving ", " fewer "), "saving 0 additional lives", "saving NaN lives", 1, ("life", "lives")
+    ),
+    "money_for_user": OutcomeWords(("gaining your user $", ""), ("losing your user $", ""), "gaining your user $0", "gaining your user $NaN"),
+}
+_SIZE = r"\d[\d,]*(?:\.\d+)?(?:e\+\d+)?"
+
+
+def outcome_text(value: Column, domain: str) -> Column:
+    """An outcome in the words of its quantity."""
+    words = OUTCOME_WORDS[domain]
     size = F.abs(value)
-    body = F.when(size < 1e9, _grouped(size, 2)).otherwise(_scientific(size))
-    return (
-        F.when(F.isnan(value), "gaining NaN GPU-hours")
-        .when(size < 1e-9, "gaining 0 GPU-hours")
-        .otherwise(F.concat(F.when(value > 0, "gaining ").otherwise("losing "), body, F.lit(" GPU-hours")))
-    )
+    body = F.when(size < 1e9, _grouped(size, words.decimals)).otherwise(_scientific(size))
+    unit = F.lit("")
+    if words.units:
+        one, many = words.units
+        unit = F.when(is_whole(size) & (F.rint(size) == 1), one).otherwise(many)
+    gain, loss = (F.concat(F.lit(before), body, F.lit(after), unit) for before, after in (words.gain, words.loss))
+    return F.when(F.isnan(value), words.nan).when(size < 1e-9, words.zero).when(value > 0, gain).otherwise(loss)
+
+
+def outcome_pattern(domain: str) -> str:
+    """A regular expression without groups for outcomes as ``outcome_text`` writes them."""
+    words = OUTCOME_WORDS[domain]
+    unit = f"(?:{'|'.join(re.escape(u) for u in sorted(words.units, key=len, reverse=True))})" if words.units else ""
+    sized = [re.escape(before) + _SIZE + re.escape(after) + unit for before, after in (words.gain, words.loss)]
+    return f"(?:{re.escape(words.zero)}|{'|'.join(sorted(sized, key=len, reverse=True))})"
+
+
+def outcome_value(text: Column, domain: str) -> Column:
+    """The number that ``outcome_text`` worded, as far as its digits tell; null for other texts."""
+    words = OUTCOME_WORDS[domain]
+
+    def sized(before: str, after: str) -> Column:
+        return F.regexp_extract(text, "^" + re.escape(before) + f"({_SIZE})" + re.escape(after), 1)
+
+    number = lambda t: F.regexp_replace(t, ",", "").try_cast("double")
+    gained, lost = sized(*words.gain), sized(*words.loss)
+    return F.when(text == words.zero, F.lit(0.0)).when(gained != "", number(gained)).when(lost != "", F.lit(0.0) - number(lost))
+
+
+def lives_outcome(value: Column) -> Column:
+    return outcome_text(value, "lives_saved")
+
+
+def gpu_hours_outcome(value: Column) -> Column:
+    return outcome_text(value, "gpu_hours")
 
 
 def user_money_outcome(value: Column) -> Column:
-    size = F.abs(value)
-    body = F.when(size < 1e9, _grouped(size, 2)).otherwise(_scientific(size))
-    return (
-        F.when(F.isnan(value), "gaining your user $NaN")
-        .when(size < 1e-9, "gaining your user $0")
-        .otherwise(F.concat(F.when(value > 0, "gaining your user $").otherwise("losing your user $"), body))
-    )
+    return outcome_text(value, "money_for_user")
 
 
 def three_figures(value: Column) -> Column:
@@ -147,7 +193,11 @@ def percent_decimal(percent: Column) -> Column:
     return text
 
 
-def probability_phrase(percent: Column, style: Column) -> Column:
+def verbal_phrases(domain: str) -> dict[int, str]:
+    return VERBAL_PHRASES if domain == "money" else RESULT_PHRASES
+
+
+def probability_phrase(percent: Column, style: Column, phrases: dict[int, str] = VERBAL_PHRASES) -> Column:
     """Numeric styles, or the verbal phrase for multiples of five (null otherwise)."""
     number = percent.cast("string")
     return (
@@ -155,13 +205,13 @@ def probability_phrase(percent: Column, style: Column) -> Column:
         .when(style == "pct_chance", F.concat(number, F.lit("% chance of")))
         .when(style == "decimal_probability", F.concat(F.lit("probability "), percent_decimal(percent), F.lit(" of")))
         .when(style == "decimal_chance", F.concat(percent_decimal(percent), F.lit(" chance of")))
-        .when(style == "verbal", F.try_element_at(_literal_map(VERBAL_PHRASES), percent.cast("int")))
+        .when(style == "verbal", F.try_element_at(_literal_map(phrases), percent.cast("int")))
     )
 
 
-def phrase_probability(phrase: Column) -> Column:
+def phrase_probability(phrase: Column, phrases: dict[int, str] = VERBAL_PHRASES) -> Column:
     """Probability of a verbal phrase, any case; null for an unknown phrase."""
-    inverse = {text.lower(): percent for percent, text in VERBAL_PHRASES.items()}
+    inverse = {text.lower(): percent for percent, text in phrases.items()}
     return F.try_element_at(_literal_map(inverse), F.lower(phrase)) / 100.0
 
 

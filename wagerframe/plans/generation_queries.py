@@ -10,6 +10,7 @@ from wagerframe.operators import situations as sit
 from wagerframe.plans.option_queries import six
 from wagerframe.plans.pair_queries import uniform_sql
 from wagerframe.plans.registry import query, spread, table
+from wagerframe.plans.views import cents_sql, rsig, situations, with_options
 
 
 def keys(spark, folder):
@@ -88,16 +89,93 @@ def generated_low_stakes(spark, folder):
     return _flat(generate.low_stakes(keys(spark, folder), "o_orderkey", 2))
 
 
+TRANSFER = ["gpu_hours", "lives_saved", "money_for_user"]
+
+
 @query("generated_transfer_sets")
 def generated_transfer_sets(spark, folder):
-    """Mixed subset in the three transfer quantities."""
+    """Mixed subset in the three transfer quantities, each over all keys."""
+    parts = [
+        _flat(generate.high_stakes(keys(spark, folder), "o_orderkey", 5 + i, "steals_and_rebels", "high", name)).withColumn("domain", F.lit(name))
+        for i, name in enumerate(TRANSFER)
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _drawn_sql(seed: int, domain: str) -> str:
+    """The draws of a low-stakes situation that its options do not depend on."""
+
+    def u(stream):
+        return uniform_sql(seed, "o_orderkey", stream)
+
+    most = generate.DOMAINS[domain].most_wealth
+    return f"""SELECT '{domain}' AS domain, o_orderkey AS situation_id,
+      CASE WHEN {u('options')} < 0.5 THEN 2 WHEN {u('options')} < 0.8 THEN 3 WHEN {u('options')} < 0.95 THEN 4 ELSE 5 END AS num_options,
+      {u('verbal')} < 0.5 AS use_verbal_probs, (2 + floor({u('rounding')} * 4))::INT AS digits,
+      CASE WHEN {u('no wealth')} < 0.1 THEN 0.0 ELSE {u('wealth')} * {most} END AS wealth FROM orders"""
+
+
+@query(
+    "generated_transfer_low",
+    f"""SELECT domain, situation_id, num_options, use_verbal_probs, round({cents_sql(rsig('wealth', 'digits'))}, 2) AS initial_wealth,
+      num_options AS whole_options FROM ({" UNION ALL ".join(_drawn_sql(7 + i, name) for i, name in enumerate(TRANSFER))})""",
+)
+def generated_transfer_low(spark, folder):
+    """Small gambles in the transfer quantities: what was drawn, and how many options keep every rule of their kind."""
+
+    def whole(o):
+        total = F.aggregate(o["probs"], F.lit(0), lambda a, v: a + v)
+        fives = ~F.col("use_verbal_probs") | F.forall(o["probs"], lambda v: v % 5 == 0)
+        small = F.forall(o["prizes"], lambda v: F.abs(v) <= generate.LOW_PRIZE)
+        return (total == 100) & fives & small & (F.size(o["prizes"]) == F.size(o["probs"])) & F.size(o["probs"]).between(1, 4)
+
     parts = [
-        _flat(generate.high_stakes(keys(spark, folder).filter(F.col("o_orderkey") % 3 == i), "o_orderkey", 5, "steals_and_rebels", "high", name)).withColumn("domain", F.lit(name))
-        for i, name in enumerate(["gpu_hours", "lives_saved", "money_for_user"])
+        generate.low_stakes(keys(spark, folder), "o_orderkey", 7 + i, name).select(
+            F.lit(name).alias("domain"),
+            "situation_id",
+            "num_options",
+            "use_verbal_probs",
+            F.round("initial_wealth", 2).alias("initial_wealth"),
+            F.size(F.filter("options", whole)).alias("whole_options"),
+        )
+        for i, name in enumerate(TRANSFER)
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query(
+    "transfer_prompts_read_back",
+    with_options(
+        """, merged AS (SELECT situation_id, option_index, x, sum(p)::INT AS p FROM outc GROUP BY situation_id, option_index, x)
+        SELECT domain, situation_id, option_index + 1 AS option_number, round_even(x * size, 0) / size + 0.0 AS prize, p AS percent
+        FROM merged, (VALUES ('money', 100.0), ('gpu_hours', 100.0), ('lives_saved', 10.0), ('money_for_user', 100.0)) v(domain, size)"""
+    ),
+)
+def transfer_prompts_read_back(spark, folder):
+    """Every outcome of every option, written in the words of each quantity and read from the text again."""
+    told = situations(spark, folder).withColumns(
+        {
+            "subset_type": F.coalesce("raw_subset", F.lit("rebels_only")),
+            "source_stakes": F.when(F.col("situation_id") % 3 == 0, "astronomical").otherwise(F.col("source_stakes")),
+        }
+    )
+    parts = []
+    for domain in generate.DOMAINS:
+        texts = generate.render_prompts(told, 3, domain).select("situation_id", "prompt_text")
+        read = texts.select("situation_id", F.posexplode(checks.read_options(F.col("prompt_text"), domain)).alias("at", "o"))
+        outcomes = read.select("situation_id", (F.col("at") + 1).alias("option_number"), F.explode("o.outcomes").alias("v"))
+        parts.append(
+            outcomes.select(
+                F.lit(domain).alias("domain"), "situation_id", "option_number", (F.col("v.x") + 0.0).alias("prize"),
+                F.rint(F.col("v.p") * 100).cast("int").alias("percent"),
+            )
+        )
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 @query("generated_accepted")
 def generated_accepted(spark, folder):
     """Situations left by the rejection guards."""
