@@ -1,5 +1,7 @@
 """Golden readings of free-text answers."""
 
+import time
+
 import pytest
 
 from wagerframe.functions import answers
@@ -77,7 +79,7 @@ def test_explicit_only(spark):
     df = spark.createDataFrame(
         [('{"answer":"2"}', 3), ("I would pick option 2.", 3), ("x\n(b)", 2)], "response string, num_options int"
     )
-    got = [r[0] for r in df.select(answers.explicit_choice(df.response, df.num_options)["choice"]).collect()]
+    got = [r.explicit and r.explicit.choice for r in answers.explicit_choice(df).collect()]
     assert got == ["2", None, "b"]
 
 
@@ -97,3 +99,13 @@ def test_marks_in_a_text_are_not_mentions(spark):
     )
     assert [r[2:] for r in got.collect()] == [r[2:] for r in clean.collect()]
     assert got.first().choice is None
+
+
+def test_long_answers_take_time_in_proportion(spark):
+    said = "Thus the answer is option 2, given my aims. "
+    turned = "If you fear losses, that might change."
+    rows = [(said * 800 + "Goodbye", 3), (said * 800 + turned, 3), (said * 3 + "word " * 20_000, 3), (turned + " " + said, 3)]
+    df = spark.createDataFrame(rows, "response string, num_options int")
+    start = time.time()
+    assert [r.choice for r in answers.parse_choice(df).collect()] == ["2", None, "2", "2"]
+    assert time.time() - start < 60

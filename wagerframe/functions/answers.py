@@ -1,9 +1,9 @@
 """From a free-text answer to the chosen option, as one cascade of Catalyst expressions.
 
 The cascade runs from explicit forms (JSON, box, short line) to prose. Each tier
-lists *mentions*: a label with the text before and after it. Weak mentions are
-vetoed when their sentence hedges or when later text turns the choice into a
-condition. The last mention that survives decides the tier, and the first tier
+lists *mentions*: a label with its sentence and its place in the text. Weak
+mentions are vetoed when their sentence hedges or when later text turns the choice
+into a condition. The last mention that survives decides the tier, and the first tier
 that decides is the answer. Only Unicode NFKC folding of non-ASCII text leaves
 the JVM, in an Arrow batch that carries just those texts.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wagerframe.functions import text
-from wagerframe.functions.lottery import let, settle
+from wagerframe.functions.lottery import settle
 
 # Vocabulary and patterns of the answer language.
 SAFE_WHEN_TRUNCATED = ["json", "boxed", "short_answer_line", "bare_token"]
@@ -143,158 +143,240 @@ def normalised(cell: Column) -> Column:
     return text.strip_right(F.regexp_replace(body, r"[*_`]+", ""))
 
 
-# --- mentions ----------------------------------------------------------------
+# --- expressions as text -------------------------------------------------------
+#
+# The cascade is one large expression. It is put together as SQL text, which the
+# session parses once per stage; built from Column objects it would take longer to
+# plan than to run.
 
 
-def _mentions(body: Column, pattern: str) -> Column:
-    """Every match of ``pattern`` as ``struct(label, lead, hit, rest)``.
+def _q(value: str) -> str:
+    """A string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    Matches are wrapped in control characters and the text is split on them, so
-    the text on both sides stays at hand for the vetoes.
+
+def _rlike(cell: str, pattern: str) -> str:
+    return f"rlike({cell}, {_q(_U + pattern)})"
+
+
+def _let(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` for the value, which is computed once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _when(condition: str, value: str) -> str:
+    return f"CASE WHEN {condition} THEN {value} END"
+
+
+def _first_of(*choices: str) -> str:
+    return f"coalesce({', '.join(choices)})"
+
+
+def _spoken(token: str) -> str:
+    """Text form of ``text.spoken_token``."""
+    word = f"regexp_replace({token}, '^(?:option|answer)', '')"
+    return _let(word, "word", f"coalesce(try_element_at({text.SPOKEN_NUMBERS}, word), word)")
+
+
+def _said(label: str, strategy: str) -> str:
+    return f"get(transform(filter(array({label}), said -> said IS NOT NULL), said -> named_struct('choice', said, 'strategy', '{strategy}')), 0)"
+
+
+# --- mentions ------------------------------------------------------------------
+
+_BREAK = r"[\n.!?]"
+_TO_BREAK, _FROM_BREAK = r"^[^\n.!?]*", r"[^\n.!?]*\z"
+
+
+def _mentions(body: str, pattern: str, valid: str) -> str:
+    """Matches of ``pattern`` with a valid label, as ``struct(label, left, hit, right, stop)``.
+
+    ``left`` and ``right`` are the rest of the match's sentence and ``stop`` is where
+    the match ends, counted in characters; no mention carries more of the text, so
+    a long text costs in proportion to its length. Matches are wrapped in control
+    characters and the text is split on them once.
     """
-    marked = F.regexp_replace(body, F.lit(_U + pattern), F.lit(f"{_START}$0{_MID}$1{_END}"))
-
-    def at(parts: Column, plain: Column, i: Column) -> Column:
-        part = F.get(parts, i)
-        return F.struct(
-            text.spoken_token(F.regexp_extract(part, f"{_MID}([^{_END}]*){_END}", 1)).alias("label"),
-            F.array_join(F.slice(plain, F.lit(1), i), "").alias("lead"),
-            F.substring_index(part, _MID, 1).alias("hit"),
-            F.concat(
-                F.substring_index(part, _END, -1),
-                F.array_join(F.slice(plain, i + 2, F.greatest(F.size(plain) - i - 1, F.lit(0))), ""),
-            ).alias("rest"),
-        )
-
-    def listed(parts: Column) -> Column:
-        plain = F.transform(parts, lambda part: F.regexp_replace(part, f"{_MID}[^{_END}]*{_END}", ""))
-        found = let(
-            plain,
-            lambda clean: F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: at(parts, clean, i)),
-        )
-        return F.when(F.size(parts) > 1, found)
-
-    return let(F.split(marked, _START), listed)
-
-
-def _all_mentions(body: Column, patterns: list[str]) -> Column:
-    none = F.array().cast("array<struct<label:string,lead:string,hit:string,rest:string>>")
-    return F.concat(*[F.coalesce(_mentions(body, p), none) for p in patterns])
-
-
-def _whole_sentence(m: Column) -> Column:
-    left = F.regexp_extract(m["lead"], r"[^\n.!?]*\z", 0)
-    right = F.regexp_extract(m["rest"], r"^[^\n.!?]*", 0)
-    return F.struct(
-        F.length(left).alias("at"), text.strip_blank(F.concat(left, m["hit"], right)).alias("whole")
+    marked = f"regexp_replace({body}, {_q(_U + pattern)}, {_q(f'{_START}$0{_MID}$1{_END}')})"
+    label = _spoken(f"regexp_extract(part, {_q(f'{_MID}([^{_END}]*){_END}')}, 1)")
+    plain = f"regexp_replace(part, {_q(f'{_MID}[^{_END}]*{_END}')}, '')"
+    cells = (
+        f"transform(split({marked}, {_q(_START)}), part -> named_struct('label', {label}, "
+        f"'hit', substring_index(part, {_q(_MID)}, 1), 'tail', substring_index(part, {_q(_END)}, -1), 'plain', {plain}))"
+    )
+    # Per part: whether it has a sentence break, what lies before its first and behind its last one, its length.
+    pieces = (
+        f"transform(cells, c -> named_struct('closed', rlike(c.plain, {_q(_BREAK)}), 'first', regexp_extract(c.plain, {_q(_TO_BREAK)}, 0), "
+        f"'last', regexp_extract(c.plain, {_q(_FROM_BREAK)}, 0), 'size', length(c.plain)))"
     )
+    before = "coalesce(array_max(filter(sequence(0, size(pieces) - 1), k -> k < i AND get(pieces, k).closed)), 0)"
+    after = "coalesce(array_min(filter(sequence(0, size(pieces) - 1), k -> k > i AND get(pieces, k).closed)), size(pieces) - 1)"
+    left = _let(before, "b", "array_join(transform(slice(pieces, b + 1, i - b), p -> p.last), '')")
+    onward = _let(after, "e", "array_join(transform(slice(pieces, i + 2, greatest(e - i, 0)), p -> p.first), '')")
+    right = (
+        f"CASE WHEN rlike(get(cells, i).tail, {_q(_BREAK)}) THEN regexp_extract(get(cells, i).tail, {_q(_TO_BREAK)}, 0) "
+        f"ELSE concat(get(cells, i).tail, {onward}) END"
+    )
+    stop = "aggregate(slice(pieces, 1, i), 0, (total, p) -> total + p.size) + length(get(cells, i).hit)"
+    one = f"named_struct('label', get(cells, i).label, 'left', {left}, 'hit', get(cells, i).hit, 'right', {right}, 'stop', {stop})"
+    known = f"filter(sequence(1, size(cells) - 1), n -> array_contains({valid}, get(cells, n).label))"
+    found = _let(known, "found", _when("size(found) > 0", _let(pieces, "pieces", f"transform(found, i -> {one})")))
+    return _when(_rlike(body, pattern), _let(cells, "cells", _when("size(cells) > 1", found)))
+
+
+_NO_MENTIONS = "cast(array() AS array<struct<label:string,left:string,hit:string,right:string,stop:int>>)"
 
 
-def _hedged(m: Column, refuse_non_answer: bool = False) -> Column:
+def _all_mentions(body: str, patterns: list[str], valid: str) -> str:
+    return f"concat({', '.join(f'coalesce({_mentions(body, p, valid)}, {_NO_MENTIONS})' for p in patterns)})"
+
+
+def _hedged(m: str, refuse_non_answer: bool = False) -> str:
     """The sentence of a mention hedges, or puts a condition around it.
 
     Offsets of the mention are those of the untrimmed sentence, applied to the
     trimmed one.
     """
+    before, after = f"substr(whole, 1, length({m}.left))", f"substr(whole, length({m}.left) + length({m}.hit) + 1)"
+    bad = [_rlike("whole", HEDGES), _rlike(before, HEDGED_BEFORE), _rlike(after, HEDGED_AFTER)]
+    if refuse_non_answer:
+        bad.append(_rlike("whole", NON_ANSWER))
+    return _let(_trimmed(f"concat({m}.left, {m}.hit, {m}.right)"), "whole", f"({' OR '.join(bad)})")
 
-    def vetoed(s: Column) -> Column:
-        before = F.substr(s["whole"], F.lit(1), s["at"])
-        after = F.substr(s["whole"], s["at"] + F.length(m["hit"]) + 1)
-        bad = s["whole"].rlike(_U + HEDGES) | before.rlike(_U + HEDGED_BEFORE) | after.rlike(_U + HEDGED_AFTER)
-        return bad | _non_answer(s["whole"]) if refuse_non_answer else bad
 
-    return let(_whole_sentence(m), vetoed)
+def _trimmed(cell: str) -> str:
+    return f"btrim({cell}, {_q(text.BLANKS)})"
 
 
-def _conditional_later(m: Column, chars: int | None) -> Column:
-    later = m["rest"] if chars is None else F.substr(m["rest"], F.lit(1), F.lit(chars))
-    return later.rlike(_U + r"\bif\s+you\b") & later.rlike(_U + CONDITION_WEIGHT)
+_IF_YOU = r"\bif\s+you\b"
 
 
-def _conditional_text(later: Column) -> Column:
-    return (later.rlike(_U + r"\bif\s+(?:you|the\s+agent)\b") & later.rlike(_U + CONDITION_WEIGHT)) | later.rlike(
-        _U + rf"\bfor\s+(?:a|an)\s+{ATTITUDE}"
-    )
+def _last_start(body: str, pattern: str) -> str:
+    """Where the last match of a pattern begins; -1 where there is none."""
+    before = f"regexp_extract({body}, {_q(_U + rf'(?s)^(.*)(?:{pattern})')}, 1)"
+    return f"CASE WHEN {_rlike(body, pattern)} THEN length({before}) ELSE -1 END"
+
+
+def _readings(bodies: list[str], chars: int | None) -> str:
+    """Texts, each with the place from which on nothing turns a choice into a condition any more."""
+    turn = f"least({_last_start('body', _IF_YOU)}, {_last_start('body', CONDITION_WEIGHT)})" if chars is None else "cast(NULL AS int)"
+    return f"transform(array_distinct(array({', '.join(bodies)})), body -> named_struct('body', body, 'turn', {turn}))"
+
+
+def _conditional_later(reading: str, m: str, chars: int | None) -> str:
+    """Text behind a mention turns the choice into a condition."""
+    if chars is None:
+        return f"{reading}.turn >= {m}.stop"
+    later = f"substr({reading}.body, {m}.stop + 1, {chars})"
+    return _let(later, "later", f"({_rlike('later', _IF_YOU)} AND {_rlike('later', CONDITION_WEIGHT)})")
 
 
-def _non_answer(cell: Column) -> Column:
-    return cell.rlike(_U + NON_ANSWER)
+def _conditional_text(later: str) -> str:
+    you = rf"\bif\s+(?:you|the\s+agent)\b"
+    return f"(({_rlike(later, you)} AND {_rlike(later, CONDITION_WEIGHT)}) OR {_rlike(later, rf'\bfor\s+(?:a|an)\s+{ATTITUDE}')})"
 
 
-def _last_label(body: Column, patterns: list[str], valid: Column, veto=None) -> Column:
+def _last_label(body: str, patterns: list[str], valid: str, veto: str | None = None) -> str:
+    """Label of the last mention; ``veto`` is a condition on a mention ``m``."""
     if veto is None and len(patterns) == 1:  # nothing around the mentions is looked at
-        found = F.regexp_extract_all(body, F.lit(_U + patterns[0]), F.lit(1))
-        known = F.filter(F.transform(found, text.spoken_token), lambda label: F.array_contains(valid, label))
-        return F.try_element_at(known, F.lit(-1))
+        found = f"transform(regexp_extract_all({body}, {_q(_U + patterns[0])}, 1), token -> {_spoken('token')})"
+        return f"try_element_at(filter({found}, known -> array_contains({valid}, known)), -1)"
+    found = _all_mentions(body, patterns, valid)
+    if veto is not None:
+        found = f"filter({found}, m -> NOT ({veto}))"
+    return f"try_element_at({found}, -1).label"
 
-    def keep(m: Column) -> Column:
-        known = F.array_contains(valid, m["label"])
-        return known if veto is None else known & ~veto(m)
 
-    return F.try_element_at(F.filter(_all_mentions(body, patterns), keep), F.lit(-1))["label"]
+#: Words that a label may follow without a blank.
+_LEADS = r"(?:option|answer|choice|selection|final|is|be)([a-z0-9]+)"
 
 
-def _said(label: Column, strategy: str) -> Column:
-    return F.when(label.isNotNull(), F.struct(label.alias("choice"), F.lit(strategy).alias("strategy")))
+def _speaks(body: str, compact: str, valid: str) -> str:
+    """Some run of letters and digits could be a valid label; a text without one needs no cascade."""
+    runs = f"concat(regexp_extract_all({body}, '[a-z0-9]+', 0), regexp_extract_all({body}, {_q(_LEADS)}, 1), array({compact}))"
+    return f"exists({runs}, run -> array_contains({valid}, {_spoken('run')}))"
 
 
-# --- tiers -------------------------------------------------------------------
+# Words without which the patterns of a tier cannot match; looking for them is much cheaper than matching.
+_DECIDE = ["choos", "chose", "select", "pick", "prefer", "recommend", "suggest"]
+_PRAISE = ["best", "better", "preferred", "preferable", "optimal", "attractive", "appealing", "clear", "winner"]
+_MORE = ["higher", "highest", "greater", "greatest", "largest"]
 
 
-def _line_label(line: Column, valid: Column, limit: int | None, refuse: bool) -> Column:
-    def read(candidate: Column) -> Column:
-        label = text.spoken_token(F.nullif(F.regexp_extract(candidate, _U + SHORT_LINE, 1), F.lit("")))
-        fits = F.array_contains(valid, label)
+def _any_word(body: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({body}, '{word}')" for word in words) + ")"
+
+
+def _cues(body: str) -> str:
+    """Which tiers a text can reach at all."""
+    both = lambda a, b: f"(contains({body}, '{a}') AND contains({body}, '{b}'))"
+    decides = f"({_any_word(body, _DECIDE)} OR {both('opt', 'for')} OR {both('go', 'with')})"
+    cues = {
+        "json": both("answer", "{"),
+        "boxed": f"contains({body}, 'boxed')",
+        "marker": _any_word(body, ["final", "answer", "choice", "selection", "chosen", "selected"]),
+        "decides": decides,
+        "praises": _any_word(body, _PRAISE),
+        "compares": _any_word(body, _MORE),
+        "concludes": f"({decides} OR {_any_word(body, [*_PRAISE, *_MORE, 'correct', 'right', 'lowest'])})",
+    }
+    return f"named_struct({', '.join(f"'{name}', {cue}" for name, cue in cues.items())})"
+
+
+# --- tiers -----------------------------------------------------------------------
+
+
+def _without_number(line: str) -> str:
+    return f"regexp_replace({line}, {_q(_U + r'^\s*\d+[.:]?\s+')}, '')"
+
+
+def _line_label(line: str, valid: str, limit: int | None, refuse: bool) -> str:
+    def read(candidate: str) -> str:
+        fits = [f"array_contains({valid}, label)"]
         if limit is not None:
-            fits = (F.length(candidate) <= limit) & fits
-        return F.when(fits & ~_non_answer(candidate) if refuse else fits, label)
+            fits.append(f"length({candidate}) <= {limit}")
+        if refuse:
+            fits.append(f"NOT {_rlike(candidate, NON_ANSWER)}")
+        token = f"nullif(regexp_extract({candidate}, {_q(_U + SHORT_LINE)}, 1), '')"
+        return _let(_spoken(token), "label", _when(" AND ".join(fits), "label"))
 
-    return F.coalesce(read(line), read(_without_number(line)))
+    return _first_of(read(line), _let(_without_number(line), "bare", read("bare")))
 
 
-def _without_number(line: Column) -> Column:
-    return F.regexp_replace(line, _U + r"^\s*\d+[.:]?\s+", "")
+def _lines(body: str) -> str:
+    return f"split({body}, {_q(r'\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]')})"
 
 
-def _lines(body: Column) -> Column:
-    return F.split(body, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
+def _without_numbers(body: str) -> str:
+    return f"array_join(transform({_lines(body)}, line -> {_without_number('line')}), '\\n')"
 
 
-def _filled(values: Column) -> Column:
-    return F.filter(F.transform(values, lambda v: text.strip_blank(v)), lambda v: v != "")
+def _filled(values: str) -> str:
+    return f"filter(transform({values}, value -> {_trimmed('value')}), value -> value != '')"
 
 
-def _sentences(body: Column) -> Column:
-    return _filled(F.split(body, _U + r"(?<=[.!?])\s+|\n+"))
+def _sentences(body: str) -> str:
+    return _filled(f"split({body}, {_q(_U + r'(?<=[.!?])\s+|\n+')})")
 
 
-def _last(values: Column, n: int | None) -> Column:
-    if n is None:
-        return values
-    return F.slice(values, F.greatest(F.size(values) - n + 1, F.lit(1)), F.lit(n))
+def _last(values: str, n: int | None) -> str:
+    return values if n is None else _let(values, "all", f"slice(all, greatest(size(all) - {n} + 1, 1), {n})")
 
 
-def _short_line(lines: Column, valid: Column, limit: int | None, refuse: bool = False) -> Column:
-    labels = F.array_compact(F.transform(lines, lambda line: _line_label(line, valid, limit, refuse)))
-    return _said(F.try_element_at(labels, F.lit(-1)), "short_answer_line")
+def _short_line(lines: str, valid: str, limit: int | None, refuse: bool = False) -> str:
+    labels = f"array_compact(transform({lines}, line -> {_line_label('line', valid, limit, refuse)}))"
+    return _said(f"try_element_at({labels}, -1)", "short_answer_line")
 
 
-def _echo(lines: Column, valid: Column) -> Column:
-    line = F.get(lines, F.lit(0))
-    label = text.spoken_token(F.nullif(F.regexp_extract(line, _U + ECHO_LINE, 1), F.lit("")))
-    body = text.strip_blank(F.regexp_extract(line, _U + ECHO_LINE, 2))
-    others = F.transform(
-        F.regexp_extract_all(body, F.lit(_U + rf"{OPEN}{TOKEN}{CLOSE}[.:]\s"), F.lit(1)), text.spoken_token
-    )
+def _echo(lines: str, valid: str) -> str:
+    label = _spoken(f"nullif(regexp_extract(line, {_q(_U + ECHO_LINE)}, 1), '')")
+    body = _trimmed(f"regexp_extract(line, {_q(_U + ECHO_LINE)}, 2)")
+    others = f"transform(regexp_extract_all(body, {_q(_U + rf'{OPEN}{TOKEN}{CLOSE}[.:]\s')}, 1), token -> {_spoken('token')})"
     fits = (
-        (F.size(lines) == 1)
-        & F.array_contains(valid, label)
-        & (F.length(body) >= 12)
-        & body.rlike(_U + ECHO_WORDS)
-        & ~body.rlike(_U + REASONING_START)
-        & ~F.arrays_overlap(others, valid)
+        f"array_contains({valid}, label) AND length(body) >= 12 AND {_rlike('body', ECHO_WORDS)} "
+        f"AND NOT {_rlike('body', REASONING_START)} AND NOT arrays_overlap({others}, {valid})"
     )
-    return _said(F.when(fits, label), "option_echo_line")
+    read = _let(f"get({lines}, 0)", "line", _let(label, "label", _let(body, "body", _when(fits, "label"))))
+    return _said(_when(f"size({lines}) = 1", read), "option_echo_line")
 
 
 def _best_patterns(more_best: str, more_degree: str, comparison: bool, extra: list[str]) -> list[str]:
@@ -351,67 +433,44 @@ _MODAL_CHOICE = (
 )
 
 
-def _following(sentences: Column, i: Column, most: int | None) -> Column:
+def _following(sentences: str, i: str, most: int | None) -> str:
     """The sentences behind number ``i``, at most ``most``, as one text."""
-    return F.array_join(F.slice(sentences, i + 2, F.size(sentences) if most is None else F.lit(most)), " ")
-
-
-def _sentence_tier(sentences: Column, valid: Column, following: int | None) -> Column:
-    def read(sentence: Column, i: Column) -> Column:
-        later = _following(sentences, i, following)
-        best = _last_label(sentence, [_conclusion("") + CLAUSE_STOP % "|with"], valid)
-        modal = _last_label(sentence, [_MODAL_CHOICE + CLAUSE_STOP % ""], valid)
-        named = F.filter(
-            _all_mentions(
-                sentence,
-                [rf"\boption\s*{OPEN}(?:the\s+)?{TOKEN}\s*(?:option|one)?{CLOSE}", rf"\bthe\s+{TOKEN}\s+(?:option|one)\b"],
-            ),
-            lambda m: F.array_contains(valid, m["label"]),
-        )
-        single = (
-            (F.size(F.array_distinct(F.transform(named, lambda m: m["label"]))) == 1)
-            & sentence.rlike(_U + SENTENCE_CUE)
-            & F.forall(named, lambda m: ~_hedged(m))
-        )
-        cue = F.when(single, F.get(named, F.lit(0))["label"])
-        return F.when(
-            ~_conditional_text(later),
-            F.coalesce(
-                _said(best, "best_choice_is"),
-                _said(modal, "decision_modal"),
-                _said(cue, "single_option_sentence_cue"),
-            ),
-        )
-
-    return F.try_element_at(F.array_compact(F.transform(sentences, read)), F.lit(-1))
-
-
-def _final_sentence(sentences: Column, styled: Column, style: Column) -> Column:
-    last = F.try_element_at(sentences, F.lit(-1))
-    decides = last.rlike(_U + DECISION_CUE)
-    ambiguous = F.arrays_overlap(
-        F.transform(
-            F.regexp_extract_all(
-                last, F.lit(_U + rf"\b(?:or|and)\s+(?:option\s*)?{OPEN}{TOKEN}{CLOSE}(?=\s*(?:$|[\n\r.,;:!)]))"), F.lit(1)
-            ),
-            text.spoken_token,
-        ),
-        styled,
-    )
-    named = F.filter(_all_mentions(last, [OPTION + r"\b"]), lambda m: F.array_contains(styled, m["label"]))
-    one_named = (F.size(F.array_distinct(F.transform(named, lambda m: m["label"]))) == 1) & F.forall(
-        named, lambda m: ~_hedged(m)
+    return f"array_join(slice({sentences}, {i} + 2, {f'size({sentences})' if most is None else most}), ' ')"
+
+
+def _one_named(named: str) -> str:
+    """All mentions have the same label and none of them hedges."""
+    return f"size(array_distinct(transform({named}, m -> m.label))) = 1 AND forall({named}, m -> NOT {_hedged('m')})"
+
+
+def _sentence_tier(sentences: str, valid: str, following: int | None) -> str:
+    named = _all_mentions(
+        "sentence",
+        [rf"\boption\s*{OPEN}(?:the\s+)?{TOKEN}\s*(?:option|one)?{CLOSE}", rf"\bthe\s+{TOKEN}\s+(?:option|one)\b"],
+        valid,
     )
-    numbers = F.array_distinct(
-        F.filter(
-            F.regexp_extract_all(last, F.lit(_U + r"(?<![\w.])([0-9]+)(?![\w.%])"), F.lit(1)),
-            lambda v: F.array_contains(styled, v),
-        )
+    single = _when(_rlike("sentence", SENTENCE_CUE), _let(named, "named", _when(_one_named("named"), "get(named, 0).label")))
+    read = _first_of(
+        _said(_last_label("sentence", [_conclusion("") + CLAUSE_STOP % "|with"], valid), "best_choice_is"),
+        _said(_last_label("sentence", [_MODAL_CHOICE + CLAUSE_STOP % ""], valid), "decision_modal"),
+        _said(single, "single_option_sentence_cue"),
     )
-    label = F.when(one_named, F.get(named, F.lit(0))["label"]).when(
-        (style == "numbers") & (F.size(numbers) == 1), F.get(numbers, F.lit(0))
+    later = _let(_following(sentences, "at", following), "later", _conditional_text("later"))
+    decided = _let(read, "read", _when(f"read IS NOT NULL AND NOT {later}", "read"))
+    return f"try_element_at(array_compact(transform({sentences}, (sentence, at) -> {decided})), -1)"
+
+
+def _final_sentence(sentences: str, styled: str, style: str) -> str:
+    choice = rf"\b(?:or|and)\s+(?:option\s*)?{OPEN}{TOKEN}{CLOSE}(?=\s*(?:$|[\n\r.,;:!)]))"
+    others = f"transform(regexp_extract_all(sentence, {_q(_U + choice)}, 1), token -> {_spoken('token')})"
+    numbers = f"array_distinct(filter(regexp_extract_all(sentence, {_q(_U + r'(?<![\w.])([0-9]+)(?![\w.%])')}, 1), v -> array_contains({styled}, v)))"
+    label = (
+        f"CASE WHEN {_one_named('named')} THEN get(named, 0).label "
+        f"WHEN {style} = 'numbers' AND size({numbers}) = 1 THEN get({numbers}, 0) END"
     )
-    return _said(F.when(decides & ~ambiguous, label), "final_sentence_option")
+    read = _let(_all_mentions("sentence", [OPTION + r"\b"], styled), "named", label)
+    decides = f"{_rlike('sentence', DECISION_CUE)} AND NOT arrays_overlap({others}, {styled})"
+    return _said(_let(f"try_element_at({sentences}, -1)", "sentence", _when(decides, read)), "final_sentence_option")
 
 
 def parse_choice(
@@ -432,78 +491,74 @@ def parse_choice(
     With ``finish_reason`` given, answers cut off by length keep only explicit
     readings of the full cascade and otherwise go through the stricter rescue one.
     """
-    kept = df.columns
-    out = df
-    for name, expression in _stages(response, num_options, label_style, finish_reason, windows):
-        out = out.withColumn(name, expression)
-    out = settle(out.select(*kept, "_found"), "_found")
-    return out.select(*kept, F.col("_found.choice").alias(choice), F.col("_found.strategy").alias(strategy))
-
-
-def _stages(
-    response: str, num_options: str, label_style: str | None, finish_reason: str | None, windows: Windows
-) -> list[tuple[str, Column]]:
-    """Named intermediate columns of the cascade."""
+    kept = [c for c in df.columns if c not in (choice, strategy)]
     style = F.col(label_style) if label_style else F.lit(None).cast("string")
-    body, valid, tail = F.col("_text"), F.col("_valid"), F.col("_tail")
-    explicit = F.coalesce(
-        _said(_last_label(body, [JSON_ANSWER], valid), "json"),
-        _said(_last_label(body, [BOXED], valid), "boxed"),
+    out = df.select(
+        *kept,
+        F.lower(normalised(folded(F.col(response)))).alias("_text"),
+        text.label_domain(F.col(num_options)).alias("_valid"),
+        text.label_domain(F.col(num_options), style).alias("_styled"),
+        style.alias("_style"),
+    ).withColumn("_compact", text.spoken_label(F.regexp_replace("_text", _U + r"\s+", "")))
+    for stage in _stages(windows):
+        out = out.selectExpr("*", *[f"{sql} AS {name}" for name, sql in stage.items()])
+    found = "_found"
+    if finish_reason:
+        quoted = ", ".join(_q(name) for name in SAFE_WHEN_TRUNCATED)
+        cut = F.coalesce(F.col(finish_reason) == "length", F.lit(False)) & F.expr(f"_speaks AND NOT coalesce(_found.strategy IN ({quoted}), false)")
+        out = out.withColumn("_cut", F.coalesce(cut, F.lit(False)))
+        for stage in _rescue_stages(windows):
+            out = out.selectExpr("*", *[f"{sql} AS {name}" for name, sql in stage.items()])
+        found = "_saved"
+    out = settle(out.select(*kept, found), found)
+    return out.select(*kept, F.col(f"{found}.choice").alias(choice), F.col(f"{found}.strategy").alias(strategy))
+
+
+def _weak(patterns: list[str], strategy: str, windows: Windows, of: str = "_readings", rescue: bool = False) -> str:
+    veto = f"{_hedged('m', rescue)} OR {_conditional_later('reading', 'm', windows.later_chars)}"
+    labels = f"array_compact(transform({of}, reading -> {_last_label('reading.body', patterns, '_valid', veto)}))"
+    return _said(f"get({labels}, 0)", strategy)
+
+
+def _explicit(cue: str = "_cues") -> str:
+    return _first_of(
+        _when(f"{cue}.json", _said(_last_label("_text", [JSON_ANSWER], "_valid"), "json")),
+        _when(f"{cue}.boxed", _said(_last_label("_text", [BOXED], "_valid"), "boxed")),
     )
-    tail_chars = windows.tail_chars
-    last_part = body if tail_chars is None else F.substr(body, F.greatest(F.length(body) - tail_chars + 1, F.lit(1)))
-    readings, changed = F.array_distinct(F.array(tail, F.col("_bare_tail"))), F.col("_bare_tail") != tail
-
-    def weak(patterns: list[str], name: str, bodies=readings, rescue=False) -> Column:
-        def veto(m: Column) -> Column:
-            return _hedged(m, rescue) | _conditional_later(m, windows.later_chars)
-
-        labels = F.array_compact(F.transform(bodies, lambda body: _last_label(body, patterns, valid, veto)))
-        return _said(F.get(labels, F.lit(0)), name)
-
-    styled = text.label_domain(F.col(num_options), style)
-    compact = text.spoken_label(F.regexp_replace(body, _U + r"\s+", ""))
-    full = F.coalesce(
-        F.col("_explicit"),
-        _short_line(_last(F.col("_lines"), windows.tail_lines), valid, windows.short_line_chars),
-        _echo(F.col("_lines"), valid),
-        weak(_marker_patterns(), "answer_marker"),
-        weak(_verb_patterns(agent=False), "decision_verb"),
-        weak(_COMPARE, "decision_comparison"),
-        weak(_best_patterns("", "", True, []), "option_is_best"),
-        weak(_MADE_BEST, "option_is_best"),
-        weak(_VALUE_TIER, "expected_value_dominance"),
-        _sentence_tier(F.col("_sents"), valid, windows.tail_sentences),
-        F.when(changed, _sentence_tier(F.col("_bare_sents"), valid, windows.tail_sentences)),
-        _said(F.when(F.array_contains(valid, compact), compact), "bare_token"),
-        _final_sentence(F.col("_sents"), styled, style),
+
+
+def _stages(windows: Windows) -> list[dict[str, str]]:
+    """Named intermediate columns of the full cascade, step by step."""
+    chars, n = windows.tail_chars, windows.tail_sentences
+    last_part = "_text" if chars is None else f"substr(_text, greatest(length(_text) - {chars} + 1, 1))"
+    full = _first_of(
+        "_explicit",
+        _short_line(_last("_lines", windows.tail_lines), "_valid", windows.short_line_chars),
+        _echo("_lines", "_valid"),
+        _when("_cues.marker", _weak(_marker_patterns(), "answer_marker", windows)),
+        _when("_cues.decides", _weak(_verb_patterns(agent=False), "decision_verb", windows)),
+        _when("_cues.decides", _weak(_COMPARE, "decision_comparison", windows)),
+        _when("_cues.praises", _weak(_best_patterns("", "", True, []), "option_is_best", windows)),
+        _when("_cues.praises", _weak(_MADE_BEST, "option_is_best", windows)),
+        _when("_cues.compares", _weak(_VALUE_TIER, "expected_value_dominance", windows)),
+        _when("_cues.concludes", _sentence_tier("_sents", "_valid", n)),
+        _when("_cues.concludes AND _bare_tail != _tail", _sentence_tier("_bare_sents", "_valid", n)),
+        _said(_when("array_contains(_valid, _compact)", "_compact"), "bare_token"),
+        _when("_cues.decides", _final_sentence("_sents", "_styled", "_style")),
     )
-    stages = [
-        ("_text", F.lower(normalised(folded(F.col(response))))),
-        ("_valid", text.label_domain(F.col(num_options))),
-        ("_explicit", explicit),
-        ("_tail", F.when(F.col("_explicit").isNull(), last_part)),
-        ("_bare_tail", F.array_join(F.transform(_lines(tail), _without_number), "\n")),
-        ("_lines", _filled(_lines(tail))),
-        ("_sents", _last(_sentences(tail), windows.tail_sentences)),
-        ("_bare_sents", _last(_sentences(F.col("_bare_tail")), windows.tail_sentences)),
-        ("_found", F.when(text.strip_blank(F.col(response)) != "", full)),
+    return [
+        {"_speaks": f"coalesce({_speaks('_text', '_compact', '_valid')}, false)"},
+        {"_cues": _when("_speaks", _cues("_text"))},
+        {"_explicit": _when("_speaks", _explicit())},
+        {"_tail": _when("_speaks AND _explicit IS NULL", last_part)},
+        {"_bare_tail": _without_numbers("_tail"), "_lines": _filled(_lines("_tail")), "_sents": _last(_sentences("_tail"), n)},
+        {"_readings": _readings(["_tail", "_bare_tail"], windows.later_chars), "_bare_sents": _last(_sentences("_bare_tail"), n)},
+        {"_found": _when("_speaks", full)},
     ]
-    if finish_reason:
-        safe = F.coalesce(F.col("_found.strategy").isin(SAFE_WHEN_TRUNCATED), F.lit(False))
-        cut = F.coalesce((F.col(finish_reason) == "length") & ~safe, F.lit(False))
-        stages += [
-            ("_cut", cut),
-            ("_whole", F.when(F.col("_cut"), body)),
-            ("_bare", F.array_join(F.transform(_lines(F.col("_whole")), _without_number), "\n")),
-            ("_found", F.when(F.col("_cut"), _rescue(weak, valid, windows)).otherwise(F.col("_found"))),
-        ]
-    return stages
-
-
-def _rescue(weak, valid: Column, windows: Windows) -> Column:
-    """Cascade for answers cut off by length: explicit commitments anywhere in the text."""
-    whole, bare = F.col("_whole"), F.col("_bare")
+
+
+def _rescue_stages(windows: Windows) -> list[dict[str, str]]:
+    """The cascade for answers cut off by length: explicit commitments anywhere in the text."""
     strong_degree = "|overwhelmingly"
     extra_best = r"|clear(?:er)?\s+choice|winner"
     ranked = (
@@ -511,40 +566,38 @@ def _rescue(weak, valid: Column, windows: Windows) -> Column:
         rf"(?:\s+is|\s+would\s+be|\s+seems\s+to\s+be)?\s+{NAMED_ONE}"
     )
 
-    def tier(patterns: list[str], name: str) -> Column:
-        return weak(patterns, name, F.array_distinct(F.array(whole, bare)), True)
-
-    sentences = _sentences(whole)
-
-    def veto(m: Column) -> Column:
-        return _hedged(m, True)
-
-    def read(sentence: Column, i: Column) -> Column:
-        later = _following(sentences, i, windows.later_sentences)
-        best = _last_label(sentence, [_conclusion(r"|clear(?:est)?|winner")], valid, veto)
-        modal = _last_label(sentence, [_MODAL_CHOICE], valid, veto)
-        return F.when(
-            ~_non_answer(sentence) & ~_conditional_text(later),
-            F.coalesce(_said(best, "best_choice_is"), _said(modal, "decision_modal")),
-        )
-
-    return F.coalesce(
-        _short_line(_filled(_lines(whole)), valid, windows.rescue_line_chars, refuse=True),
-        tier(_marker_patterns(), "answer_marker"),
-        tier(_verb_patterns(agent=True), "decision_verb"),
-        tier(_best_patterns(extra_best, strong_degree, False, [ranked]), "option_is_best"),
-        tier([_HAS_HIGHEST, _OPTION_WITH_HIGHEST], "expected_value_dominance"),
-        F.try_element_at(F.array_compact(F.transform(sentences, read)), F.lit(-1)),
+    def tier(patterns: list[str], name: str) -> str:
+        return _weak(patterns, name, windows, "_rescued", True)
+
+    veto = _hedged("m", True)
+    read = _first_of(
+        _said(_last_label("sentence", [_conclusion(r"|clear(?:est)?|winner")], "_valid", veto), "best_choice_is"),
+        _said(_last_label("sentence", [_MODAL_CHOICE], "_valid", veto), "decision_modal"),
+    )
+    later = _let(_following("_whole_sents", "at", windows.later_sentences), "later", _conditional_text("later"))
+    decided = _let(read, "read", _when(f"read IS NOT NULL AND NOT {_rlike('sentence', NON_ANSWER)} AND NOT {later}", "read"))
+    rescued = _first_of(
+        _short_line(_filled(_lines("_whole")), "_valid", windows.rescue_line_chars, refuse=True),
+        _when("_cues.marker", tier(_marker_patterns(), "answer_marker")),
+        _when("_cues.decides", tier(_verb_patterns(agent=True), "decision_verb")),
+        _when("_cues.praises", tier(_best_patterns(extra_best, strong_degree, False, [ranked]), "option_is_best")),
+        _when("_cues.compares", tier([_HAS_HIGHEST, _OPTION_WITH_HIGHEST], "expected_value_dominance")),
+        _when("_cues.concludes", f"try_element_at(array_compact(transform(_whole_sents, (sentence, at) -> {decided})), -1)"),
     )
+    return [
+        {"_whole": _when("_cut", "_text")},
+        {"_bare": _without_numbers("_whole"), "_whole_sents": _sentences("_whole")},
+        {"_rescued": _readings(["_whole", "_bare"], windows.later_chars)},
+        {"_saved": f"CASE WHEN _cut THEN {rescued} ELSE _found END"},
+    ]
 
 
-def explicit_choice(response: Column, num_options: Column, windows: Windows = Windows()) -> Column:
-    """JSON, box and short-line readings only, for callers that accept nothing weaker."""
-    body = F.lower(normalised(response))
-    valid = text.label_domain(num_options)
-    lines = _last(_filled(_lines(body)), windows.tail_lines)
-    return F.coalesce(
-        _said(_last_label(body, [JSON_ANSWER], valid), "json"),
-        _said(_last_label(body, [BOXED], valid), "boxed"),
-        _short_line(lines, valid, windows.short_line_chars),
-    )
+def explicit_choice(
+    df: DataFrame, response: str = "response", num_options: str = "num_options", out: str = "explicit", windows: Windows = Windows()
+) -> DataFrame:
+    """Add ``struct<choice, strategy>`` by JSON, box and short-line readings only, for callers that accept nothing weaker."""
+    kept = [c for c in df.columns if c != out]
+    read = df.select(*kept, F.lower(normalised(F.col(response))).alias("_text"), text.label_domain(F.col(num_options)).alias("_valid"))
+    read = read.selectExpr("*", f"{_cues('_text')} AS _cues", f"{_filled(_lines('_text'))} AS _lines")
+    line = _short_line(_last("_lines", windows.tail_lines), "_valid", windows.short_line_chars)
+    return read.selectExpr(*[f"`{c}`" for c in kept], f"{_first_of(_explicit(), line)} AS `{out}`")

@@ -7,16 +7,16 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_BLANKS = " \t\n\r\f\x0b"
+BLANKS = " \t\n\r\f\x0b"
 
 
 def strip_blank(cell: Column) -> Column:
     """Trim every kind of blank, not only spaces."""
-    return F.btrim(cell, F.lit(_BLANKS))
+    return F.btrim(cell, F.lit(BLANKS))
 
 
 def strip_right(cell: Column) -> Column:
-    return F.rtrim(cell, F.lit(_BLANKS))
+    return F.rtrim(cell, F.lit(BLANKS))
 
 
 # --- flags and scalars -------------------------------------------------------
@@ -176,10 +176,10 @@ def spoken_label(token: Column) -> Column:
     edge = "[ \\t\\r\\n'\"`*_\\[\\](){}<>.,;:!?]+"
     word = F.regexp_replace(F.lower(token), f"^{edge}|{edge}$", "")
     word = F.regexp_replace(F.regexp_replace(word, r"^(?:option|answer)\s*", ""), f"^{edge}|{edge}$", "")
-    return F.coalesce(F.try_element_at(F.expr(_SPOKEN_NUMBERS), word), word)
+    return F.coalesce(F.try_element_at(F.expr(SPOKEN_NUMBERS), word), word)
 
 
-_SPOKEN_NUMBERS = "map(%s)" % ", ".join(
+SPOKEN_NUMBERS = "map(%s)" % ", ".join(
     f"'{word}', '{i}'" for words in (ROMAN, ORDINAL) for i, word in enumerate(words, 1)
 )
 
@@ -187,7 +187,7 @@ _SPOKEN_NUMBERS = "map(%s)" % ", ".join(
 def spoken_token(token: Column) -> Column:
     """:func:`spoken_label` for a bare lower-case token of letters and digits."""
     word = F.regexp_replace(token, "^(?:option|answer)", "")
-    return F.coalesce(F.try_element_at(F.expr(_SPOKEN_NUMBERS), word), word)
+    return F.coalesce(F.try_element_at(F.expr(SPOKEN_NUMBERS), word), word)
 
 
 def bucket_label(cell: Column) -> Column:

@@ -39,11 +39,11 @@ def score_answers(
     responses: DataFrame,
     key: DataFrame,
     finish_reason: str | None = "finish_reason",
-    windows: answers.Windows = answers.PUBLISHED,
+    windows: answers.Windows = answers.Windows(),
 ) -> DataFrame:
     """Join answers to their situation, read the choice, look the option up.
 
-    ``windows`` says how much of an answer is read; as it is, the published metrics' share.
+    Whole answers are read; ``answers.PUBLISHED`` as ``windows`` gives the published metrics.
 
     The option is an element of the situation's own array, so one join on the
     situation finds both the label domain and the option. A situation with very

@@ -8,8 +8,8 @@ from wagerframe.functions import answers, text
 from wagerframe.operators import policy, ranking
 from wagerframe.operators import situations as sit
 from wagerframe.plans.option_queries import _SETS, six
-from wagerframe.plans.registry import query, table
-from wagerframe.plans.views import OPTIONS_SQL, RESPONSES_SQL, responses, situations
+from wagerframe.plans.registry import query, spread, table
+from wagerframe.plans.views import OPTIONS_SQL, RESPONSES_SQL, long_answers, long_answers_sql, responses, situations
 
 FIELDS = ["subset_type", "probability_format", "source_stakes"]
 RATES = [
@@ -113,13 +113,20 @@ def answer_strategies(spark, folder):
         F.col("o_orderkey").alias("situation_id"), (2 + F.col("o_custkey") % 4).cast("int").alias("num_options")
     )
     parsed = answers.parse_choice(
-        responses(spark, folder).join(counts, "situation_id", "left"), finish_reason="finish_reason", windows=answers.PUBLISHED
+        responses(spark, folder).join(counts, "situation_id", "left"), finish_reason="finish_reason"
     )
     return parsed.groupBy("strategy", "finish_reason").agg(
         F.count("*").alias("answers"), F.countDistinct("choice").alias("labels")
     )
 
 
+@query("long_answer_strategies", long_answers_sql())
+def long_answer_strategies(spark, folder):
+    """Every strategy, on whole documents with the answer at one of their ends."""
+    parsed = answers.parse_choice(spread(long_answers(spark, folder), "doc_id"), label_style="label_style")
+    return parsed.select("doc_id", "choice", "strategy")
+
+
 @query(
     "explicit_answers",
     f"""WITH {RESPONSES_SQL} SELECT situation_id, run_id, seq,
@@ -131,7 +138,7 @@ def explicit_answers(spark, folder):
         F.col("o_orderkey").alias("situation_id"), (2 + F.col("o_custkey") % 4).cast("int").alias("num_options")
     )
     joined = responses(spark, folder).join(counts, "situation_id", "left")
-    read = joined.withColumn("_r", answers.explicit_choice(F.col("response"), F.col("num_options"), answers.PUBLISHED))
+    read = answers.explicit_choice(joined, out="_r")
     return read.select(
         "situation_id", "run_id", "seq", F.col("_r.choice").alias("choice"), F.col("_r.strategy").alias("strategy")
     )

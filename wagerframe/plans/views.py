@@ -348,3 +348,47 @@ runs AS (
          CASE WHEN event_type = 'error' THEN 'failed' ELSE 'succeeded' END AS status
   FROM events)
 """
+
+
+# Statements whose reading is known: strategy, text with {n} (number) and {l} (letter) for the label and {m} for another number, whether
+# the label read is the letter, and what stands around them: the document before or behind them, or nothing.
+LONG_ANSWERS = [
+    ("json", 'I compared them all. {{"answer":"{n}"}}', False, "behind"),
+    ("boxed", "All told: \\boxed{{{l}}}", True, "before"),
+    ("short_answer_line", "Answer: ({n})", False, "behind"),
+    ("option_echo_line", "({l}) 40% chance of $5, otherwise nothing", True, "alone"),
+    ("answer_marker", "Thus the answer is option {n}, given my aims.", False, "behind"),
+    ("decision_verb", "I would definitely pick option {l} because it is safe.", True, "before"),
+    ("decision_comparison", "We would prefer {n} over {m}.", False, "behind"),
+    ("option_is_best", "Given the spread, option {n} seems to be the most attractive choice.", False, "before"),
+    ("expected_value_dominance", "Option {l} has the highest expected utility of $90, clearly.", True, "behind"),
+    ("best_choice_is", "The more attractive option is {n}, at $5.", False, "behind"),
+    ("decision_modal", "I should pick option {l} overall.", True, "behind"),
+    ("single_option_sentence_cue", "In short, option {l} brings the lowest risk.", True, "behind"),
+    ("bare_token", "{{{n}}}", False, "alone"),
+    ("final_sentence_option", "All in all, {n} is what I should pick today.", False, "before"),
+]
+
+
+def long_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as answers to four options: a statement at one end of the whole text, which is made one line without digits."""
+    docs = table(spark, folder, "documents")
+    form, number = F.col("doc_id") % len(LONG_ANSWERS), 1 + F.col("doc_id") % 4
+    parts = {"n": number.cast("string"), "l": F.char(F.lit(96) + number), "m": (1 + number % 4).cast("string")}
+    filler = F.concat(F.lit("My notes: "), F.regexp_replace(F.coalesce("text", F.lit("")), r"[0-9\n\r]", " "))
+    response = F.lit(None).cast("string")
+    for i, (_, statement, _, place) in enumerate(LONG_ANSWERS):
+        marked = statement.format(n="\x00n\x00", l="\x00l\x00", m="\x00m\x00").split("\x00")
+        said = F.concat(*[parts[p] if k % 2 else F.lit(p) for k, p in enumerate(marked) if p])
+        whole = {"alone": said, "behind": F.concat_ws("\n", said, filler), "before": F.concat_ws("\n", filler, said)}[place]
+        response = F.when(form == i, whole).otherwise(response)
+    style = F.when(form == len(LONG_ANSWERS) - 1, "numbers")
+    return docs.select("doc_id", response.alias("response"), F.lit(4).alias("num_options"), style.alias("label_style"))
+
+
+def long_answers_sql() -> str:
+    strategy = " ".join(f"WHEN {i} THEN '{name}'" for i, (name, *_) in enumerate(LONG_ANSWERS))
+    letters = ", ".join(str(i) for i, (_, _, letter, _) in enumerate(LONG_ANSWERS) if letter)
+    n = len(LONG_ANSWERS)
+    return f"""SELECT doc_id, CASE WHEN doc_id % {n} IN ({letters}) THEN chr((97 + doc_id % 4)::INT) ELSE (1 + doc_id % 4)::VARCHAR END AS choice,
+    CASE doc_id % {n} {strategy} END AS strategy FROM documents"""
