@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from wagerframe.functions import checks, draws, lottery
-from wagerframe.operators import generate
+from wagerframe.operators import generate, quotas
 from wagerframe.operators import situations as sit
-from wagerframe.plans.option_queries import six
+from wagerframe.operators.ranking import one_row
+from wagerframe.plans.option_queries import _SETS, six
 from wagerframe.plans.pair_queries import uniform_sql
 from wagerframe.plans.registry import query, spread, table
 from wagerframe.plans.views import cents_sql, rsig, situations, with_options
@@ -226,6 +229,75 @@ def generated_prompts_read_back(spark, folder):
     return read.select(same.alias("same")).agg(F.count("*").alias("situations"), F.count_if(F.col("same")).alias("read_back"))
 
 
+# Two hundred situations: minima of the buckets and of the situations with two and with three options.
+ORDER_QUOTA = quotas.Quota(200, {"lin_only": 100, "010_only": 15, "both": 10}, {2: 60, 3: 60})
+
+
+def _quota_sql(quota: quotas.Quota) -> str:
+    """Attempts up to which the quota can be filled: running counts per cell, and the least cut of the flow between minima."""
+    buckets, sizes = list(quota.buckets), list(quota.options)
+    cells = {(b, o): f"c{i}_{o}" for i, b in enumerate(buckets) for o in (0, *sizes)}
+    size = f"CASE WHEN num_options IN ({', '.join(map(str, sizes))}) THEN num_options ELSE 0 END"
+    sums = ", ".join(
+        f"sum((bucket = '{b}' AND {size} = {o})::INT) OVER (ORDER BY situation_id ROWS UNBOUNDED PRECEDING) AS {name}" for (b, o), name in cells.items()
+    )
+    cuts = []
+    for chosen in itertools.product([0, 1], repeat=len(buckets) + len(sizes)):
+        held, reached = chosen[: len(buckets)], chosen[len(buckets) :]
+        terms = [str(quota.buckets[b]) for b, h in zip(buckets, held) if not h] + [str(quota.options[o]) for o, r in zip(sizes, reached) if r]
+        terms += [cells[b, o] for b, h in zip(buckets, held) for o, r in zip(sizes, reached) if h and not r]
+        cuts.append(" + ".join(terms) or "0")
+    rules = [" + ".join(cells[b, o] for o in (0, *sizes)) + f" >= {n}" for b, n in quota.buckets.items()]
+    rules += [" + ".join(cells[b, o] for b in buckets) + f" >= {n}" for o, n in quota.options.items()]
+    rules.append(" + ".join(cells.values()) + f" >= {quota.total}")
+    needed = sum(quota.buckets.values()) + sum(quota.options.values())
+    rules.append(f"{needed} - least({', '.join(cuts)}) <= {quota.total}")
+    return f""", r AS (SELECT situation_id, bucket, row_number() OVER (ORDER BY situation_id) AS attempt, {sums} FROM bucketed),
+    a AS (SELECT min(attempt) AS attempts FROM r WHERE {" AND ".join(rules)})
+    SELECT attempts, {quota.total}::BIGINT AS kept, attempts - {quota.total} AS rejected,
+      (SELECT count(*) FROM r WHERE attempt <= attempts AND bucket NOT IN ({", ".join(f"'{b}'" for b in buckets)}))::BIGINT AS in_no_allowed_bucket,
+      true AS minima_met, true AS within_attempts FROM a"""
+
+
+def _told(report, kept, quota, key, last):
+    """The report, and whether the kept situations meet every minimum and come from the attempts counted."""
+    held = [F.count_if(F.col("bucket") == b) >= n for b, n in quota.buckets.items()]
+    held += [F.count_if(F.col("num_options") == o) >= n for o, n in quota.options.items()] + [F.count("*") == quota.total]
+    met = held[0]
+    for rule in held[1:]:
+        met = met & rule
+    facts = kept.agg(met.alias("minima_met"), F.max(key).alias("_last"))
+    told = report.withColumn("_f", one_row(facts)).withColumn("minima_met", F.col("_f.minima_met"))
+    return told.withColumn("within_attempts", F.col("_f._last") <= last).drop("_f")
+
+
+@query("quota_until_filled", with_options(_SETS + _quota_sql(ORDER_QUOTA)))
+def quota_until_filled(spark, folder):
+    """How many situations must be looked at until two hundred with all minima can be kept."""
+    rolled = sit.roll_up(sit.score(situations(spark, folder))).select("situation_id", "bucket", "num_options")
+    kept, report = quotas.fill_quota(rolled, ORDER_QUOTA, "situation_id", "bucket", "num_options")
+    last = rolled.agg(F.max("situation_id")).scalar()
+    return _told(report, kept, ORDER_QUOTA, "situation_id", last)
+
+
+@query(
+    "generated_until_quota",
+    "SELECT (count(*) // 10)::BIGINT AS kept, true AS minima_met, true AS within_attempts, true AS counts_agree FROM orders",
+)
+def generated_until_quota(spark, folder):
+    """Small gambles for a tenth of the orders: a third of them in each of two buckets, three tenths each of two and of three options."""
+    total = table(spark, folder, "orders").count() // 10
+    quota = quotas.Quota(total, {"lin_only": total // 3, "010_only": total // 3}, {2: total * 3 // 10, 3: total * 3 // 10})
+
+    def make(attempts):
+        made = generate.low_stakes(attempts, "attempt", 11, "gpu_hours").withColumn("raw_subset", F.lit("rebels_only"))
+        return sit.roll_up(sit.score(made, "exact")).select("situation_id", "num_options", "bucket")
+
+    made, report = quotas.generate_until(spark, make, quota)
+    told = _told(report, made, quota, "situation_id", F.col("attempts"))
+    return told.select("kept", "minima_met", "within_attempts", (F.col("attempts") == F.col("kept") + F.col("rejected")).alias("counts_agree"))
+
+
 @query("generated_buckets")
 def generated_buckets(spark, folder):
     """Utility buckets of the small gambles, on exact values."""
