@@ -178,3 +178,16 @@ def test_nesting_loses_no_option(spark):
 def test_no_options_have_no_labels(spark):
     df = spark.createDataFrame([(0,), (2,)], "n int")
     assert [r[0] for r in df.select(text.label_domain(df.n)).collect()] == [[], ["a", "b", "1", "2"]]
+
+
+def test_median_of_a_heavy_tail(spark):
+    # A million Pareto values in one group: nearly all of the range is empty.
+    heavy = spark.range(1_000_000).select(F.lit("p").alias("g"), F.pow(1.0 - (F.col("id") * 7919 % 1_000_003) / 1_000_003.0, -4.0).alias("v"))
+    few = spark.createDataFrame([("a", 1.0), ("a", 4.0), ("b", 2.0), ("c", None), (None, 3.0), (None, 3.0), (None, 9.0), ("b", 2.0)], "g string, v double")
+    ties = spark.range(5000).select(F.lit("t").alias("g"), F.when(F.col("id") < 2500, 1.0).otherwise(2.0).alias("v"))
+    df = heavy.unionByName(few).unionByName(ties)
+    exact = {r.g: r.m for r in df.groupBy("g").agg(F.median("v").alias("m")).collect() if r.m is not None}
+    got = {r.g: r.m for r in pairs.exact_median(df, ["g"], "v", "m").collect()}
+    assert got == exact and got["t"] == 1.5
+    assert pairs.exact_median(heavy, [], "v", "m").first().m == exact["p"]
+    assert pairs.exact_median(few.limit(0), [], "v", "m").first().m is None

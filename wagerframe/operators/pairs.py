@@ -113,47 +113,61 @@ def pair_metrics(df: DataFrame, dims: list[str] | None = None) -> DataFrame:
     )
 
 
-def exact_median(df: DataFrame, dims: list[str], value: str, out: str, buckets: int = 4096) -> DataFrame:
-    """Exact median per group without holding a group's values in one place.
+def _same(prefix: str, names: list[str]) -> Column:
+    match = F.lit(True)
+    for name in names:
+        match = match & F.col(name).eqNullSafe(F.col(prefix + name))
+    return match
 
-    A histogram over the group's range finds the one or two buckets with the
-    middle ranks; only their distinct values are ordered.
-    """
-    rows = df.select(*dims, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
-    facts = rows.groupBy(*[F.col(k).alias("_f" + k) for k in dims]).agg(
-        F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
-    )
 
-    def same(prefix: str, names: list[str]) -> Column:
-        match = F.lit(True)
-        for name in names:
-            match = match & F.col(name).eqNullSafe(F.col(prefix + name))
-        return match
+def exact_median(df: DataFrame, dims: list[str], value: str, out: str, cuts: int = 256, rounds: int = 1) -> DataFrame:
+    """Exact median per group without holding a group's values in one place.
 
-    if dims:
-        measured = rows.join(facts, same("_f", dims))
-    else:
-        measured = rows.withColumn("_facts", ranking.one_row(facts)).select("_v", "_facts.*")
-    width = F.col("_hi") - F.col("_lo")
-    cut = F.coalesce(F.floor(F.try_divide(F.col("_v") - F.col("_lo"), width) * buckets), F.lit(0))
-    placed = measured.withColumn("_cell", F.least(cut, F.lit(buckets - 1)))
-    cells = placed.groupBy(*dims, "_cell", "_n").agg(F.count("*").alias("_c"))
-    before = Window.partitionBy(*dims).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    low, high = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
-    cells = cells.withColumn("_b", F.coalesce(F.sum("_c").over(before), F.lit(0)))
-    middle = cells.filter((F.col("_b") <= high) & (F.col("_b") + F.col("_c") > low)).select(
-        *[F.col(k).alias("_g" + k) for k in [*dims, "_cell"]], F.col("_b")
-    )
-    near = placed.join(middle, same("_g", [*dims, "_cell"])).groupBy(*dims, "_cell", "_n", "_b", "_v").agg(
-        F.count("*").alias("_c")
+    Each round cuts a group at ``cuts`` approximate quantiles, so cells hold about
+    equally many rows however the values lie, counts exactly what lies at and between
+    the cuts, and keeps the one or two cells with the middle ranks: about a
+    ``cuts``-th of the rows. Only the distinct values left at the end are ordered; each
+    of the ``rounds`` makes them fewer.
+    """
+    keys = list(dims)
+    rows = df.select(*dims, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    n = F.col("_n")
+    targets = rows.groupBy(*dims).agg(F.count("*").alias("_n")).select(
+        *[F.col(k).alias("_t" + k) for k in keys], F.floor((n - 1) / 2).alias("_low"), F.floor(n / 2).alias("_high")
     )
-    inside = Window.partitionBy(*dims, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = near.withColumn("_at", F.col("_b") + F.coalesce(F.sum("_c").over(inside), F.lit(0)))
+    steps = [i / cuts for i in range(1, cuts)]
+    for turn in range(rounds):
+        grid = F.array_distinct(F.percentile_approx("_v", steps, 50 * cuts)).alias("_grid")
+        grids = rows.groupBy(*keys).agg(grid) if keys else rows.agg(grid)
+        if keys:
+            placed = rows.join(grids.select(*[F.col(k).alias("_g" + k) for k in keys], "_grid"), _same("_g", keys))
+        else:
+            placed = rows.withColumn("_grid", ranking.one_row(grids)["_grid"])
+        below = F.size(F.filter("_grid", lambda c: c < F.col("_v")))
+        cell = f"_cell{turn}"
+        placed = placed.select(*keys, "_v", (2 * below + F.array_contains("_grid", F.col("_v")).cast("int")).alias(cell))
+        before = Window.partitionBy(*keys).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+        counts = placed.groupBy(*keys, cell).agg(F.count("*").alias("_c"))
+        counts = counts.withColumn("_b", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+        if keys:
+            counts = counts.join(targets, _same("_t", keys))
+        else:
+            counts = counts.withColumn("_told", ranking.one_row(targets)).select("*", "_told.*")
+        targets = counts.filter((F.col("_b") <= F.col("_high")) & (F.col("_b") + F.col("_c") > F.col("_low"))).select(
+            *[F.col(k).alias("_t" + k) for k in [*keys, cell]],
+            (F.col("_low") - F.col("_b")).alias("_low"),
+            (F.col("_high") - F.col("_b")).alias("_high"),
+        )
+        keys.append(cell)
+        rows = placed.join(targets.drop("_low", "_high"), _same("_t", keys)).select(*keys, "_v")
+    values = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_c")).join(targets, _same("_t", keys))
+    inside = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = values.withColumn("_at", F.coalesce(F.sum("_c").over(inside), F.lit(0)))
 
     def holds(rank: Column) -> Column:
         return F.when((F.col("_at") <= rank) & (F.col("_at") + F.col("_c") > rank), F.col("_v"))
 
-    return ranked.groupBy(*dims).agg(((F.max(holds(low)) + F.max(holds(high))) / 2).alias(out))
+    return ranked.groupBy(*dims).agg(((F.max(holds(F.col("_low"))) + F.max(holds(F.col("_high")))) / 2).alias(out))
 
 
 def dominant_order(df: DataFrame, field: str, known: list[str]) -> DataFrame:

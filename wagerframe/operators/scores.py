@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -181,31 +183,23 @@ def best_checkpoint(records: DataFrame, metric: str, floor: float) -> DataFrame:
 def mean_difference(contrasts: DataFrame, keys: list[str]) -> DataFrame:
     """Steering direction per key: mean of ``chosen - rejected``, its norm and unit vector.
 
-    Vectors are averaged position by position, so partial sums of at most one row
-    per position leave each task.
+    Vectors are summed whole by a partial aggregate, so one vector per key leaves
+    each task. Vectors of one key must have the same length; null ones, and those
+    with a null element, are left out.
     """
-    gap = F.zip_with("chosen", "rejected", lambda a, b: a.cast("double") - b.cast("double"))
 
     def norm(v: Column) -> Column:
         return F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
 
-    pairs = contrasts.select(
-        *keys, gap.alias("gap"), norm(gap).alias("gap_norm"), norm(F.transform("chosen", lambda x: x.cast("double"))).alias("chosen_norm")
-    )
-    cells = pairs.select(*keys, "gap_norm", "chosen_norm", F.posexplode("gap").alias("pos", "value"))
-    means = cells.groupBy(*keys, "pos").agg(
-        F.avg("value").alias("mean"),
+    chosen, rejected = (F.col(c).cast("array<double>") for c in ("chosen", "rejected"))
+    whole = F.coalesce(F.forall(F.concat(chosen, rejected), lambda x: x.isNotNull()), F.lit(False))
+    gap = F.zip_with(chosen, rejected, lambda a, b: a - b)
+    pairs = contrasts.filter(whole).select(*keys, gap.alias("gap"), norm(gap).alias("gap_norm"), norm(chosen).alias("chosen_norm"))
+    out = pairs.groupBy(*keys).agg(
+        vector_to_array(Summarizer.mean(array_to_vector("gap"))).alias("direction"),
         F.avg("gap_norm").alias("mean_gap_norm"),
         F.avg("chosen_norm").alias("mean_chosen_norm"),
         F.count("*").alias("n_pairs"),
     )
-    # one element per vector position, so the list length is the vector dimension
-    vector = F.transform(F.sort_array(F.collect_list(F.struct("pos", "mean"))), lambda s: s["mean"])
-    out = means.groupBy(*keys).agg(
-        vector.alias("direction"),
-        F.max("mean_gap_norm").alias("mean_gap_norm"),
-        F.max("mean_chosen_norm").alias("mean_chosen_norm"),
-        F.max("n_pairs").alias("n_pairs"),
-    )
     out = out.withColumn("norm", norm(F.col("direction")))
     return out.withColumn("unit", F.transform("direction", lambda v: F.try_divide(v, F.col("norm"))))

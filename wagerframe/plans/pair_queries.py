@@ -635,8 +635,13 @@ _VECTORS = """WITH v AS (SELECT a.label AS layer, a.embedding AS ch, b.embedding
 @query(
     "mean_difference_vectors",
     _VECTORS
-    + """, w AS (SELECT layer, sqrt(sum(mean * mean)) AS norm, max(n)::BIGINT AS n_pairs, list(round(mean, 5) ORDER BY pos) AS direction FROM m GROUP BY layer)
-    SELECT layer, round(norm, 5) AS norm, n_pairs, direction FROM w""",
+    + """, w AS (SELECT layer, sqrt(sum(mean * mean)) AS norm, max(n)::BIGINT AS n_pairs, list(round(mean, 5) ORDER BY pos) AS direction FROM m GROUP BY layer),
+    u AS (SELECT layer, list(round(mean / norm, 5) ORDER BY pos) AS unit FROM m JOIN w USING (layer) GROUP BY layer),
+    p AS (SELECT layer, a.vec_id, sqrt(sum(pow(x::DOUBLE - y::DOUBLE, 2))) AS gap, sqrt(sum(pow(x::DOUBLE, 2))) AS chosen
+      FROM (SELECT a.label AS layer, a.vec_id, unnest(a.embedding) AS x, unnest(b.embedding) AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0) a
+      GROUP BY layer, a.vec_id),
+    q AS (SELECT layer, round(avg(gap), 5) AS mean_gap_norm, round(avg(chosen), 5) AS mean_chosen_norm FROM p GROUP BY layer)
+    SELECT layer, round(norm, 5) AS norm, n_pairs, direction, unit, mean_gap_norm, mean_chosen_norm FROM w JOIN u USING (layer) JOIN q USING (layer)""",
 )
 def mean_difference_vectors(spark, folder):
     e = table(spark, folder, "embeddings")
@@ -644,7 +649,11 @@ def mean_difference_vectors(spark, folder):
     rejected = e.filter(F.col("vec_id") % 2 == 1).select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("rejected"))
     out = scores.mean_difference(chosen.join(rejected, "vec_id"), ["layer"])
     return out.select(
-        "layer", F.round("norm", 5).alias("norm"), "n_pairs", F.transform("direction", lambda v: F.round(v, 5)).alias("direction")
+        "layer",
+        F.round("norm", 5).alias("norm"),
+        "n_pairs",
+        *[F.transform(c, lambda v: F.round(v, 5)).alias(c) for c in ("direction", "unit")],
+        *[F.round(c, 5).alias(c) for c in ("mean_gap_norm", "mean_chosen_norm")],
     )
 
 
