@@ -34,7 +34,7 @@ def stream_scored_metrics(spark, folder):
     policy.answer_key(sit.roll_up(sit.score(situations(spark, folder)))).write.parquet(f"{place}/key")
     key = spark.read.parquet(f"{place}/key")
     finish(jobs.score_batches(incoming, key, f"{place}/results", f"{place}/checkpoint"))
-    return rounded(policy.metrics(spark.read.parquet(f"{place}/results")))
+    return rounded(policy.metrics(jobs.stored_results(spark, f"{place}/results")))
 
 
 @query("stream_policy_by_run", SCORED_SQL + f"SELECT run_id, {BUNDLE_SQL} FROM res GROUP BY run_id")

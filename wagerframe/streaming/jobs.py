@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from wagerframe.operators import policy, ranking
+from wagerframe.sources.versions import BatchLog
 
 # Settings that must agree between a stored run and its continuation.
 RESUME_KEYS = [
@@ -43,13 +44,13 @@ def score_batches(
 ) -> StreamingQuery:
     """Score new answers batch by batch and stop when the input is used up.
 
-    Each batch owns one partition of the result table and overwrites it, so a
-    batch that is replayed after a failure leaves the same rows.
+    Batches go to a ``BatchLog``: one that is replayed after a failure leaves the
+    same rows, and the folders of many batches become one.
     """
+    log = BatchLog(answers.sparkSession, results)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        scored = policy.score_answers(batch, key, finish_reason)
-        scored.write.mode("overwrite").parquet(f"{results}/batch={batch_id}")
+        log.write(policy.score_answers(batch, key, finish_reason), batch_id)
 
     return answers.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -59,25 +60,34 @@ def keep_policy_sums(
 ) -> StreamingQuery:
     """Score new answers batch by batch and keep only the additive state of their metrics.
 
-    A batch adds one row per combination of ``dims`` and overwrites its own
-    partition, so a replay counts once. ``running_policy`` merges the states.
+    A batch adds one row per combination of ``dims`` to a ``BatchLog``, so a replay
+    counts once and old batches become one set of sums. ``running_policy`` merges the states.
     """
 
+    def merge(sums: DataFrame) -> DataFrame:
+        return sums.groupBy(*dims).agg(*[F.sum(c).alias(c) for c in sums.columns if c not in dims])
+
+    log = BatchLog(answers.sparkSession, table, merge)
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        scored = policy.score_answers(batch, key, finish_reason)
-        policy.partial_sums(scored, dims).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        log.write(policy.partial_sums(policy.score_answers(batch, key, finish_reason), dims), batch_id)
 
     return answers.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def running_policy(spark: SparkSession, table: str, dims: list[str]) -> DataFrame:
     """The metric bundle over all batches so far."""
-    return policy.merge_sums(spark.read.parquet(table).drop("batch"), dims)
+    return policy.merge_sums(BatchLog(spark, table).read(), dims)
+
+
+def stored_results(spark: SparkSession, results: str) -> DataFrame:
+    """All results that ``score_batches`` has stored."""
+    return BatchLog(spark, results).read()
 
 
 def read_results(spark: SparkSession, results: str, keys: list[str], sequence: list[str]) -> DataFrame:
     """Latest result per key over all batches."""
-    return ranking.latest(spark.read.parquet(results).drop("batch"), keys, sequence)
+    return ranking.latest(stored_results(spark, results), keys, sequence)
 
 
 def once_per_key(answers: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
