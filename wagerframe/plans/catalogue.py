@@ -8,6 +8,7 @@ from wagerframe.plans import (  # noqa: F401  (imported for registration)
     pair_queries,
     policy_queries,
     sampling_queries,
+    source_queries,
     streaming_queries,
     text_queries,
 )

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from wagerframe.session import save
+
 ROW_ID = "row_idx"
 
 
@@ -89,8 +91,8 @@ def read_run_results(spark: SparkSession, path: str, schema: T.StructType) -> Da
 
 
 def with_row_index(df: DataFrame, out: str = ROW_ID) -> DataFrame:
-    """Increasing row ids in read order. Land the result before use: ids are fixed once written."""
-    return df.withColumn(out, F.monotonically_increasing_id())
+    """Increasing row ids in read order, written with the rows: reading them again gives the same ids."""
+    return save(df.withColumn(out, F.monotonically_increasing_id()), "indexed-rows")
 
 
 def require_columns(df: DataFrame, required: Iterable[str], any_of: Iterable[str] = ()) -> DataFrame:
