@@ -236,6 +236,29 @@ def test_token_counts(spark, sizes):
     assert token_counts.count_tokens(empty(spark)).count() == 0
 
 
+def test_copies_of_one_text_are_compared_with_their_hub(spark):
+    rng = np.random.default_rng(8)
+    base = words(120).split()
+    rows = []
+    for k in range(1200):  # near copies of one text, each with a word of its own somewhere
+        text = list(base)
+        text[int(rng.integers(len(text)))] = f"own{k}"
+        rows.append((k, " ".join(text), "en", "s", 0))
+    chain = list(base)
+    for k in range(1200, 1230):  # a chain that leads away from the text: alike to its neighbours only
+        chain[(k - 1200) * 4 : (k - 1200) * 4 + 2] = [f"c{k}", f"d{k}"]
+        rows.append((k, " ".join(chain), "en", "s", 0))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = near_dedup.near_duplicates(docs, block_docs=40).collect()
+    whole = near_dedup.near_duplicates(docs, block_docs=5000).collect()
+    assert sorted(tuple(r) for r in found) == sorted(tuple(r) for r in whole)
+    assert sum(r.component_id == 0 for r in found) >= 1200
+    large = spark.range(1200).select(F.lit(0).alias("hub"), F.col("id").alias("rep"), F.lit(30).alias("blocks"), (F.col("id") % 30).cast("int").alias("block"))
+    assert near_dedup.star_placements(large).count() == 1200 + 30
+    rests = spark.createDataFrame([(0, 1)], "hub int, rests int")
+    assert near_dedup.rest_placements(large, large.filter("rep < 10"), rests).count() == 10 * 30 + 1200
+
+
 def test_rare_pre_tokens_of_all_tasks_meet():
     rows = [(k, f"common common rare{k % 7} {words(3, k % 11)}") for k in range(400)]
     blocks = [token_counts.Block(n << 24, 0, 100, 1000, 64) for n in range(8)]

@@ -8,7 +8,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wagerframe.llm.components import components
@@ -217,14 +217,71 @@ def candidate_groups(reps: DataFrame) -> DataFrame:
     return met.select("key", "rep").join(hubs, "key").select("hub", "rep").distinct()
 
 
+def block_count(block_docs: int, block_shingles: int) -> Column:
+    return F.ceil(F.greatest(F.count(F.lit(1)) / block_docs, F.sum("n") / block_shingles)).cast("int")
+
+
+def star_placements(large: DataFrame) -> DataFrame:
+    """(hub, i, rep, side): members of large groups in their blocks, and the hub in every block, on a side of its own."""
+    hubs = large.select("hub", "blocks").distinct()
+    hubs = hubs.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.col("hub").alias("rep"), F.lit(-1).alias("side"))
+    return large.select("hub", F.col("block").alias("i"), "rep", F.col("block").alias("side")).unionByName(hubs)
+
+
+def rest_placements(large: DataFrame, rest: DataFrame, rests: DataFrame) -> DataFrame:
+    """(hub, r, i, rep, side): blocks of the rest beside all blocks of their group."""
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = F.pmod(F.xxhash64("rep", F.lit("rest")), F.col("rests")).cast("int")
+    left = rest.join(rests, "hub").select("hub", own.alias("r"), every("blocks").alias("i"), "rep", F.lit(0).alias("side"))
+    right = large.join(rests, "hub").select("hub", every("rests").alias("r"), F.col("block").alias("i"), "rep", F.lit(1).alias("side"))
+    return left.unionByName(right)
+
+
+def links_of(members: DataFrame, sizes: DataFrame, sets: DataFrame, block_docs: int, block_shingles: int) -> DataFrame:
+    """Links (a, b) that join what is alike among the members of each hub.
+
+    A group that fits one block is compared whole. In a larger one all members are
+    compared with the hub first, block by block; as a component needs one link
+    per member, those alike need no more, and only the rest is compared, with all
+    members. So copies of one text cost in proportion to their number.
+    """
+    weighed = members.join(sizes, "rep")
+    blocks = weighed.groupBy("hub").agg(block_count(block_docs, block_shingles).alias("blocks"))
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    placed = save(weighed.join(blocks, "hub").withColumn("block", block), "near-placed")
+    small = placed.filter("blocks = 1").select("hub", "rep", F.lit(0).alias("side"))
+    whole = small.join(sets, "rep").groupBy("hub").applyInArrow(lambda group: linked(group), "a long, b long")
+
+    def starred(group: pa.Table) -> pa.Table:
+        found = linked(group)
+        hub = pa.array([group.column("hub")[0].as_py()] * found.num_rows, pa.int64())
+        return pa.table({"hub": hub, "a": found.column("a"), "b": found.column("b")})
+
+    large = placed.filter("blocks > 1")
+    stars = save(
+        star_placements(large).join(sets, "rep").groupBy("hub", "i").applyInArrow(starred, "hub long, a long, b long"), "near-stars"
+    )
+    # Only the hub is compared in a star, so every node of its links is joined with the hub.
+    done = stars.select("hub", F.col("a").alias("rep")).unionByName(stars.select("hub", F.col("b").alias("rep"))).distinct()
+    rest = save(large.filter("rep <> hub").join(done, ["hub", "rep"], "left_anti"), "near-rest")
+    rests = rest.groupBy("hub").agg(block_count(block_docs, block_shingles).alias("rests"))
+    others = (
+        rest_placements(large, rest, save(rests, "near-rest-blocks"))
+        .join(sets, "rep")
+        .groupBy("hub", "r", "i")
+        .applyInArrow(lambda group: linked(group), "a long, b long")
+    )
+    return whole.unionByName(stars.select("a", "b")).unionByName(others)
+
+
 def near_duplicates(docs: DataFrame, block_docs: int = 512, block_shingles: int = 1_000_000) -> DataFrame:
     """Components of documents whose five-word shingle sets are 75 % alike, for every row of ``docs``.
 
     Equal sets form one class before anything else, so exact copies cost one row
     each. Of the classes, those that share a bucket meet at its hub; a hub's
     members are cut into blocks of about ``block_docs`` documents and
-    ``block_shingles`` shingles, and each pair of blocks is compared in a task of
-    its own, which returns at most one link per member. Sets are computed again,
+    ``block_shingles`` shingles and compared as ``links_of`` says, a block or two in a
+    task, which returns at most one link per member. Sets are computed again,
     for the documents that meet others. The bands miss a pair at exactly 75 %
     with probability (1 - 0.75**5)**48 = 2e-6, more similar ones less.
 
@@ -243,26 +300,8 @@ def near_duplicates(docs: DataFrame, block_docs: int = 512, block_shingles: int
     )
     members = save(candidate_groups(reps), "near-candidates")
     sizes = reps.groupBy("rep").agg(F.sum("n").alias("n"))  # one class per id but for repeated ids
-    blocks = save(
-        members.join(sizes, "rep")
-        .groupBy("hub")
-        .agg(F.ceil(F.greatest(F.count(F.lit(1)) / block_docs, F.sum("n") / block_shingles)).cast("int").alias("blocks")),
-        "near-blocks",
-    )
-    needed = members.select("rep").distinct()
-    sets = save(shingle_sets(docs, needed), "near-sets")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    placed = (
-        members.join(blocks, "hub")
-        .withColumn("side", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("hub", "rep", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
-    )
-    links = (
-        placed.join(sets, "rep")
-        .groupBy("hub", "i", "j")
-        .applyInArrow(lambda group: linked(group), "a long, b long")
-    )
+    sets = save(shingle_sets(docs, members.select("rep").distinct()), "near-sets")
+    links = links_of(members, sizes, sets, block_docs, block_shingles)
     # An id whose rows fall into several classes joins them.
     classes = sketched.select("doc_id", "n_shingles", "f1", "f2").join(reps.select("f1", "f2", "rep"), ["f1", "f2"], "left")
     classes = save(classes.select("doc_id", "n_shingles", "rep"), "near-rows")
