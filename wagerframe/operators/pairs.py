@@ -120,13 +120,13 @@ def _same(prefix: str, names: list[str]) -> Column:
     return match
 
 
-def exact_median(df: DataFrame, dims: list[str], value: str, out: str, cuts: int = 256, rounds: int = 1) -> DataFrame:
+def exact_median(df: DataFrame, dims: list[str], value: str, out: str, buckets: int = 256, rounds: int = 1) -> DataFrame:
     """Exact median per group without holding a group's values in one place.
 
-    Each round cuts a group at ``cuts`` approximate quantiles, so cells hold about
+    Each round cuts a group at ``buckets`` approximate quantiles, so cells hold about
     equally many rows however the values lie, counts exactly what lies at and between
     the cuts, and keeps the one or two cells with the middle ranks: about a
-    ``cuts``-th of the rows. Only the distinct values left at the end are ordered; each
+    ``buckets``-th of the rows. Only the distinct values left at the end are ordered; each
     of the ``rounds`` makes them fewer.
     """
     keys = list(dims)
@@ -135,9 +135,9 @@ def exact_median(df: DataFrame, dims: list[str], value: str, out: str, cuts: int
     targets = rows.groupBy(*dims).agg(F.count("*").alias("_n")).select(
         *[F.col(k).alias("_t" + k) for k in keys], F.floor((n - 1) / 2).alias("_low"), F.floor(n / 2).alias("_high")
     )
-    steps = [i / cuts for i in range(1, cuts)]
+    steps = [i / buckets for i in range(1, buckets)]
     for turn in range(rounds):
-        grid = F.array_distinct(F.percentile_approx("_v", steps, 50 * cuts)).alias("_grid")
+        grid = F.array_distinct(F.percentile_approx("_v", steps, 50 * buckets)).alias("_grid")
         grids = rows.groupBy(*keys).agg(grid) if keys else rows.agg(grid)
         if keys:
             placed = rows.join(grids.select(*[F.col(k).alias("_g" + k) for k in keys], "_grid"), _same("_g", keys))

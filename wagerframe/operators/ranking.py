@@ -31,20 +31,26 @@ def rank_within(df: DataFrame, keys: list[str], order: list[Column], out: str =
 
     Bounds of the ranges are sampled by Spark from keys and order together, so
     neither a heavy key, nor outliers, nor many equal first columns gather in one
-    part. The dealt rows are written once: bounds that were sampled again could
-    differ, and every reader must see the same parts. ``parts`` defaults to the
+    part. The dealt rows are sorted and written once, with their place in their part:
+    bounds that were sampled again could differ, and every reader must see the same
+    parts. Rows equal in keys and order share a part. ``parts`` defaults to the
     session's number of shuffle partitions.
     """
     ranges = [*[F.col(k) for k in keys], *order]
     dealt = df.repartitionByRange(parts, *ranges) if parts else df.repartitionByRange(*ranges)
-    dealt = save(dealt.withColumn("_part", F.spark_partition_id()), "ranked-rows")
+    placed = dealt.sortWithinPartitions(*ranges).select(
+        "*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_row_at")
+    )
+    dealt = save(placed, "ranked-rows")
     own = [*keys, "_part"]
-    counts = dealt.groupBy(*[F.col(k).alias("_b_" + k) for k in own]).agg(F.count("*").alias("_rows"))
+    facts = dealt.groupBy(*[F.col(k).alias("_b_" + k) for k in own]).agg(F.count("*").alias("_rows"), F.min("_row_at").alias("_first"))
     before = Window.partitionBy(*["_b_" + k for k in keys]).orderBy("_b__part").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = counts.withColumn("_shift", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
-    numbered = dealt.withColumn("_local", F.row_number().over(Window.partitionBy(*own).orderBy(*order)))
-    joined = numbered.join(shifts, _matches(numbered, shifts, own, "_b_"))
-    return joined.select(*df.columns, (F.col("_local") + F.col("_shift")).cast("long").alias(out))
+    # Places before a key's own in its part come off, its rows in earlier parts come on.
+    shifts = facts.withColumn("_shift", F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).drop("_rows", "_first")
+    if not keys:  # one row per part
+        shifts = F.broadcast(shifts)
+    joined = dealt.join(shifts, _matches(dealt, shifts, own, "_b_"))
+    return joined.select(*df.columns, (F.col("_row_at") + F.col("_shift") + 1).cast("long").alias(out))
 
 
 def dense_index(df: DataFrame, order: list[Column], out: str = "position", start: int = 1, parts: int | None = None) -> DataFrame:
