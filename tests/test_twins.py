@@ -17,7 +17,11 @@ SOME = [
     "pair_audit_report", "clean_pairs", "best_of_n_metrics", "ties_metrics", "mcq_accuracy", "run_ledger_overlay",
     "mean_difference_vectors", "deficit_schedule", "spread_situations", "two_pool_mix", "exact_rows_whole_situations",
     "compositions", "generated_integrity", "generated_prompts_read_back", "label_lists", "reasoning_format_summary",
-    "stream_running_metrics",
+    "stream_running_metrics", "options_with_prompts", "stale_labels", "subjects_by_accuracy", "mcq_of_subjects", "sft_examples_in_order",
+    "stream_policy_by_run", "transfer_prompts_read_back", "generated_transfer_low", "quota_until_filled", "generated_until_quota",
+    "long_answer_strategies", "capped_rows_whole_situations", "nearest_row_totals", "mix_sizes_by_percent", "csv_round_trip",
+    "csv_typed", "json_rows_round_trip", "run_results_round_trip", "published_versions", "best_of_items", "catalog_datasets",
+    "resume_differences", "complete_runs", "stale_flags", "stored_results", "cot_examples_in_order", "sampled_ids",
 ]
 NAMES = list(catalogue.queries()) if os.environ.get("WAGERFRAME_ALL") else SOME
 

@@ -249,18 +249,24 @@ def pair_subset(raw: Column) -> Column:
     )
 
 
-def prompt_label_style(prompt: Column, count: Column) -> Column:
-    """``numbers`` or ``letters``: at least two line-start hits among the first four labels, and a majority."""
+# Fixed value: how many labels the published reading of a prompt's style looks for.
+PUBLISHED_LABELS = 4
+
+
+def prompt_label_style(prompt: Column, count: Column, labels: int = 26) -> Column:
+    """``numbers`` or ``letters``: at least two of the first ``labels`` labels stand at line starts, and a majority."""
     text = F.lower(prompt)
 
-    def hits(labels: str) -> Column:
+    def hits(names: list[str]) -> Column:
         total = F.lit(0)
-        for i, label in enumerate(labels):
+        for i, label in enumerate(names):
+            # Fixed value: the forms of a label at the start of a line.
             pattern = rf"(?m)(?:^|\n)\s*(?:\(\s*{label}\s*\)\s*[.:]|{label}[).:]\s+)"
             total = total + F.when((count > i) & text.rlike(pattern), 1).otherwise(0)
         return total
 
-    numbers, letters = hits("1234"), hits("abcd")
+    numbers = hits([str(i + 1) for i in range(labels)])
+    letters = hits([chr(ord("a") + i) for i in range(min(labels, 26))])
     return F.when((numbers >= 2) & (numbers > letters), "numbers").when(
         (letters >= 2) & (letters > numbers), "letters"
     )

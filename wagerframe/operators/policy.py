@@ -216,11 +216,56 @@ def backfill(rows: DataFrame, manifest: DataFrame, key: str, overwrite: list[str
     return joined.drop("_known", *["_m_" + n for n in names])
 
 
-def failure_sample(results: DataFrame, order: list[str], keep: int = 100, show: int = 10) -> DataFrame:
-    """The last ``show`` of the last ``keep`` unparsed answers."""
+def failure_sample(results: DataFrame, order: list[str], show: int = 10) -> DataFrame:
+    """The last ``show`` unparsed answers."""
     unparsed = results.filter(F.col("option_type").isNull())
-    last = unparsed.orderBy(*[F.col(c).desc() for c in order]).limit(min(keep, show))
-    return last
+    return unparsed.orderBy(*[F.col(c).desc() for c in order]).limit(show)
+
+
+# The keys of a stored result, in order.
+RESULT_KEYS = [
+    "situation_id",
+    "dataset_position",
+    "subset_type",
+    "source_stakes",
+    "source_condition",
+    "source_csv_name",
+    "source_situation_id",
+    "option_types_besides_cooperate",
+    "prompt",
+    "num_options",
+    "probability_format",
+    "choice",
+    "choice_index",
+    "parser_strategy",
+    "num_tokens_generated",
+    "generation_batch_time_seconds",
+    "generation_batch_size",
+    "generation_finish_reason",
+    "option_type",
+    "is_best_cara",
+    "is_best_linear",
+    "is_worst_linear",
+    "expected_value",
+    "max_expected_value",
+    "min_expected_value",
+    "expected_value_fraction_of_best",
+    "expected_value_relative_to_range",
+    "expected_value_regret",
+]
+
+
+def result_rows(results: DataFrame, include_response: bool = False) -> DataFrame:
+    """Results as they are stored: the known keys, null where a run has none, and no others.
+
+    ``generation_stop_reason`` is kept where it says something else than the finish
+    reason, the answer itself where it is asked for.
+    """
+    cells = [F.col(k) if k in results.columns else F.lit(None).cast("string").alias(k) for k in RESULT_KEYS]
+    if "generation_stop_reason" in results.columns:
+        stop, finish = F.col("generation_stop_reason"), F.col("generation_finish_reason")
+        cells.append(F.when((stop != "") & ~stop.eqNullSafe(finish), stop).alias("generation_stop_reason"))
+    return results.select(*cells, *(["response"] if include_response else []))
 
 
 def resume_counters(results: DataFrame, targets: DataFrame, key: str) -> DataFrame:

@@ -296,6 +296,25 @@ def stale_labels(df: DataFrame, letters: Column, stored: dict[str, str]) -> Data
     return df.select("situation_id", F.explode(broken).alias("rule"))
 
 
+def stale_flags(df: DataFrame, verbal: str, bucket: str) -> DataFrame:
+    """(situation_id, rule) of situations whose options store other flags than one verbal flag and the bucket they are in.
+
+    ``verbal`` and ``bucket`` are fields of the options; the options are scored.
+    """
+    sets = best_sets(F.col("options"))
+    now = lottery.bucket(sets["linear_best"], sets["low_best"], sets["high_best"])
+    flags = F.array_distinct(F.transform("options", lambda o: o[verbal]))
+    buckets = F.array_distinct(F.transform("options", lambda o: o[bucket]))
+    rules = {
+        "several_verbal_flags": F.size(flags) != 1,
+        "verbal_flag_differs": F.exists(flags, lambda v: ~v.eqNullSafe(F.col("use_verbal_probs"))),
+        "several_buckets": F.size(buckets) != 1,
+        "bucket_differs": F.exists(buckets, lambda v: ~v.eqNullSafe(now)),
+    }
+    broken = F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]))
+    return df.select("situation_id", F.explode(broken).alias("rule"))
+
+
 def attach_prompts(options: DataFrame, prompts: DataFrame, keys: list[str]) -> DataFrame:
     """Option rows with the prompt of their situation and subset; options without one keep nulls.
 

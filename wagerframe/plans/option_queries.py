@@ -381,6 +381,33 @@ def stale_labels(spark, folder):
     return sit.stale_labels(stored, letters, {"cara_correct": "cara_stored", "linear_incorrect": "linear_stored"})
 
 
+@query(
+    "stale_flags",
+    with_options(
+        _SETS
+        + """, f AS (SELECT o.situation_id, o.verbal <> (o.situation_id % 11 = 3 AND o.option_index = 0) AS v, o.verbal,
+          CASE WHEN o.situation_id % 13 = 5 THEN 'moved' WHEN o.situation_id % 17 = 2 AND o.option_index = 1 THEN 'moved' ELSE b.bucket END AS b, b.bucket
+          FROM opt o JOIN bucketed b ON b.situation_id = o.situation_id),
+        g AS (SELECT situation_id, count(DISTINCT v) AS vs, bool_or(v <> verbal) AS vd, count(DISTINCT b) AS bs, bool_or(b <> bucket) AS bd FROM f GROUP BY situation_id)
+        SELECT situation_id, 'several_verbal_flags' AS rule FROM g WHERE vs > 1 UNION ALL SELECT situation_id, 'verbal_flag_differs' FROM g WHERE vd
+        UNION ALL SELECT situation_id, 'several_buckets' FROM g WHERE bs > 1 UNION ALL SELECT situation_id, 'bucket_differs' FROM g WHERE bd"""
+    ),
+)
+def stale_flags(spark, folder):
+    """Stored verbal flags and buckets against recomputed ones; some situations store them wrongly."""
+    scored = sit.score(situations(spark, folder))
+    sets = sit.best_sets(F.col("options"))
+    key = F.col("situation_id")
+    now = scored.withColumn("_bucket", lottery.bucket(sets["linear_best"], sets["low_best"], sets["high_best"]))
+
+    def stored(o):
+        verbal = F.col("use_verbal_probs") != ((key % 11 == 3) & (o["option_index"] == 0))
+        moved = (key % 13 == 5) | ((key % 17 == 2) & (o["option_index"] == 1))
+        return o.withField("verbal_stored", verbal).withField("bucket_stored", F.when(moved, "moved").otherwise(F.col("_bucket")))
+
+    return sit.stale_flags(now.withColumn("options", F.transform("options", stored)), "verbal_stored", "bucket_stored")
+
+
 @query(
     "wealth_shift",
     with_options(

@@ -281,3 +281,34 @@ def result_projection(spark, folder):
         F.col("finish_reason").alias("generation_finish_reason"),
         F.when(F.col("stop") != F.col("finish_reason"), F.col("stop")).alias("generation_stop_reason"),
     )
+
+
+@query(
+    "stored_results",
+    SCORED_SQL
+    + """SELECT situation_id, seq AS dataset_position, subset_type, source_stakes, run_id AS source_condition, NULL AS source_csv_name,
+    situation_id AS source_situation_id, NULL AS option_types_besides_cooperate, NULL AS prompt, num_options, probability_format, choice,
+    CASE WHEN choice IS NOT NULL THEN number END AS choice_index, strategy AS parser_strategy, num_tokens AS num_tokens_generated,
+    round(batch_seconds, 6) AS generation_batch_time_seconds, NULL AS generation_batch_size, finish_reason AS generation_finish_reason, option_type,
+    is_best_cara, is_best_linear, is_worst_linear, round(expected_value, 4) AS expected_value, round(best_ev, 4) AS max_expected_value,
+    round(worst_ev, 4) AS min_expected_value, fraction_of_best AS expected_value_fraction_of_best,
+    relative_to_range AS expected_value_relative_to_range, round(regret, 4) AS expected_value_regret,
+    CASE WHEN finish_reason = 'length' THEN 'max_tokens' END AS generation_stop_reason FROM res""",
+)
+def stored_results(spark, folder):
+    """Every key of a stored result, for every answer."""
+    results = scored_answers(spark, folder).withColumns(
+        {
+            "dataset_position": F.col("seq"),
+            "source_condition": F.col("run_id"),
+            "source_situation_id": F.col("situation_id"),
+            "parser_strategy": F.col("strategy"),
+            "num_tokens_generated": F.col("num_tokens"),
+            "generation_batch_time_seconds": F.round("batch_seconds", 6),
+            "generation_finish_reason": F.col("finish_reason"),
+            "generation_stop_reason": F.when(F.col("finish_reason") == "length", "max_tokens").otherwise(F.col("finish_reason")),
+        }
+    )
+    amounts = ["expected_value", "max_expected_value", "min_expected_value", "expected_value_regret"]
+    shown = results.withColumns({c: F.round(c, 4) for c in amounts}).drop("option_types_besides_cooperate")
+    return policy.result_rows(shown)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wagerframe.functions import draws, text
 from wagerframe.operators import ranking, sampling
@@ -10,7 +11,10 @@ from wagerframe.operators import situations as sit
 from wagerframe.plans.option_queries import _SETS
 from wagerframe.plans.pair_queries import uniform_sql
 from wagerframe.plans.registry import query, table
+from wagerframe.plans.text_queries import COMPLETION_SQL
 from wagerframe.plans.views import situations, with_options
+from wagerframe.session import shared_folder
+from wagerframe.sources import readers, writers
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
@@ -247,6 +251,37 @@ def sft_examples_in_order(spark, folder):
     return ranking.spread_positions(slim, "situation_id", draws.uniform(4, key, "spread"))
 
 
+_TURN = "(conv_id || '-' || turn)"
+
+
+@query(
+    "cot_examples_in_order",
+    f"""WITH s AS (SELECT conv_id, turn, text, {uniform_sql(6, _TURN, 'spread')} AS u FROM conversations WHERE role = 'assistant' AND trim(text) <> ''
+      ORDER BY {uniform_sql(6, _TURN, 'sample')} LIMIT 200),
+    r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY u) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM s)
+    SELECT conv_id, turn, md5({COMPLETION_SQL}) AS target_md5, row_number() OVER (ORDER BY (k - 0.5)::DOUBLE / n, u) AS position FROM r""",
+)
+def cot_examples_in_order(spark, folder):
+    """Training examples from reasoning: a seeded sample, its completions, turns of one conversation spread apart."""
+    turns = table(spark, folder, "conversations").filter((F.col("role") == "assistant") & text.not_blank(F.col("text")))
+    key = F.concat_ws("-", "conv_id", "turn")
+    sampled = sampling.seeded_sample(turns.withColumn("key", key), 200, 6, "key")
+    thought = F.concat("text", F.lit('\n{"answer": "b"}\n'))
+    built = sampled.select(
+        "conv_id", "turn", "key", F.md5(text.assistant_completion(F.lit("b"), F.array(F.lit("b")), thought)).alias("target_md5")
+    )
+    return ranking.spread_positions(built, "conv_id", draws.uniform(6, F.col("key"), "spread")).drop("key")
+
+
+@query("sampled_ids", f"SELECT o_orderkey AS id FROM orders ORDER BY {uniform_sql(5, 'o_orderkey', 'sample')} LIMIT 300")
+def sampled_ids(spark, folder):
+    """The ids of a sample, stored beside a training set and read back."""
+    path = shared_folder(spark, "sampled-ids") + ".jsonl"
+    sample = sampling.seeded_sample(orders(spark, folder).select("o_orderkey"), 300, 5, "o_orderkey")
+    writers.write_lines(sample.select(F.to_json(F.struct(F.col("o_orderkey").alias("id"))).alias("value")), path)
+    return readers.read_tabular(spark, path, schema=T.StructType([T.StructField("id", T.LongType())]))
+
+
 @query(
     "drop_bad_situations",
     """WITH b AS (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING bool_or(l_returnflag = 'R' AND l_linenumber = 7) OR count(*) <> max(l_linenumber)

@@ -149,10 +149,13 @@ def chat_rendering(spark, folder):
     )
 
 
+COMPLETION_SQL = f"""rtrim(replace(replace(replace(replace(text, '\\n', chr(10)), '\\t', chr(9)), '\\r', chr(13)), '\\"', '"'), {_BLANKS})
+  || chr(10) || chr(10) || 'FINAL ANSWER: b'"""
+
+
 @query(
     "sft_completions",
-    f"""SELECT conv_id, turn, md5(rtrim(replace(replace(replace(replace(text, '\\n', chr(10)), '\\t', chr(9)), '\\r', chr(13)), '\\"', '"'), {_BLANKS}) || chr(10) || chr(10) || 'FINAL ANSWER: b') AS target_md5
-    FROM conversations WHERE role = 'assistant' AND trim(text) <> ''""",
+    f"SELECT conv_id, turn, md5({COMPLETION_SQL}) AS target_md5 FROM conversations WHERE role = 'assistant' AND trim(text) <> ''",
 )
 def sft_completions(spark, folder):
     c = table(spark, folder, "conversations").filter((F.col("role") == "assistant") & text.not_blank(F.col("text")))
