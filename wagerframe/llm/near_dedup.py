@@ -246,7 +246,8 @@ def links_of(members: DataFrame, sizes: DataFrame, sets: DataFrame, block_docs:
     members. So copies of one text cost in proportion to their number.
     """
     weighed = members.join(sizes, "rep")
-    blocks = weighed.groupBy("hub").agg(block_count(block_docs, block_shingles).alias("blocks"))
+    # Written, so that both sides of the join are exchanged and the members of one hub can be split.
+    blocks = save(weighed.groupBy("hub").agg(block_count(block_docs, block_shingles).alias("blocks")), "near-blocks")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     placed = save(weighed.join(blocks, "hub").withColumn("block", block), "near-placed")
     small = placed.filter("blocks = 1").select("hub", "rep", F.lit(0).alias("side"))
