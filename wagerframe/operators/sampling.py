@@ -285,22 +285,37 @@ def rotated_label(labels: Column, seed: int, row: Column) -> Column:
 def incomplete_situations(
     df: DataFrame, key: str, flags: list[Column], label: str, expected_labels: Column, expected_count: str
 ) -> DataFrame:
-    """Ids with a failed flag, a wrong row count or other labels than expected.
+    """Ids with a failed flag, a wrong row count, other labels than expected, or rows that expect different ones.
 
-    Labels are reduced to a set, whose size is the label alphabet.
+    Labels reduce to one bit per expected label (62 at most), so no set of
+    labels is gathered. Without expected labels any are right.
     """
     failed = F.lit(False)
     for flag in flags:
         failed = failed | ~flag
-    facts = df.groupBy(key).agg(
-        F.max(failed.cast("int")).alias("_failed"),
+    expected = F.sort_array(F.array_distinct(expected_labels))
+    place = F.coalesce(F.array_position(expected, F.lower(F.col(label))), F.lit(0)).cast("int")
+    rows = df.select(
+        key,
+        failed.cast("int").alias("_failed"),
+        F.col(expected_count).alias("_want_n"),
+        F.coalesce(F.size(expected), F.lit(0)).alias("_labels"),
+        F.coalesce(F.array_join(expected, "|"), F.lit("")).alias("_want"),
+        F.when(place > 0, F.expr("1L")).alias("_one"),
+        place.alias("_place"),
+    )
+    facts = rows.groupBy(key).agg(
+        F.max("_failed").alias("_failed"),
         F.count("*").alias("_n"),
-        F.max(expected_count).alias("_want_n"),
-        F.collect_set(F.lower(F.col(label))).alias("_labels"),
-        F.min(F.array_join(F.sort_array(expected_labels), "|")).alias("_want"),
+        F.max("_want_n").alias("_want_n"),
+        F.max("_labels").alias("_labels"),
+        F.min("_place").alias("_least"),
+        (F.min("_want") != F.max("_want")).alias("_differ"),
+        F.coalesce(F.bit_or(F.expr("shiftleft(_one, _place - 1)")), F.lit(0).cast("long")).alias("_seen"),
     )
-    seen = F.array_join(F.sort_array("_labels"), "|")
-    bad = (F.col("_failed") == 1) | (F.col("_n") != F.col("_want_n")) | ((F.col("_want") != "") & (seen != F.col("_want")))
+    all_seen = F.col("_seen") == F.expr("shiftleft(1L, _labels) - 1")
+    other = F.col("_differ") | ((F.col("_labels") > 0) & ((F.col("_least") == 0) | ~all_seen))
+    bad = (F.col("_failed") == 1) | (F.col("_n") != F.col("_want_n")) | other
     return facts.filter(bad).select(key)
 
 

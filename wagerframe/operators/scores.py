@@ -180,6 +180,16 @@ def best_checkpoint(records: DataFrame, metric: str, floor: float) -> DataFrame:
     )
 
 
+def find_runs(ledger: DataFrame, wanted: DataFrame, keys: list[str], sequence: list[str], state: str = "status") -> DataFrame:
+    """The newest state of every wanted run, ``missing`` where the ledger has none; keys may be null."""
+    newest = ranking.latest(ledger.select(*keys, *sequence, state), keys, sequence)
+    found = newest.select(*[F.col(k).alias("_l_" + k) for k in keys], state)
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col("_l_" + k))
+    return wanted.select(*keys).distinct().join(found, same, "left").select(*keys, F.coalesce(state, F.lit("missing")).alias(state))
+
+
 def mean_difference(contrasts: DataFrame, keys: list[str]) -> DataFrame:
     """Steering direction per key: mean of ``chosen - rejected``, its norm and unit vector.
 

@@ -539,6 +539,22 @@ def run_status_counts(spark, folder):
     return newest.groupBy("status").agg(F.count("*").alias("runs"))
 
 
+@query(
+    "run_lookup",
+    with_runs(
+        """, newest AS (SELECT phase, lr, seed, arg_max(status, (ts, seq)) AS status FROM runs GROUP BY phase, lr, seed),
+        wanted AS (SELECT DISTINCT phase, lr, unnest([1, 2, 3, 4]) AS seed FROM runs)
+        SELECT phase, lr, seed, coalesce(status, 'missing') AS status FROM wanted LEFT JOIN newest USING (phase, lr, seed)"""
+    ),
+)
+def run_lookup(spark, folder):
+    """State of every phase and rate with four seeds, of which one was never run."""
+    ledger = runs(spark, folder)
+    seeds = F.explode(F.array(*[F.lit(s) for s in (1, 2, 3, 4)])).alias("seed")
+    wanted = ledger.select("phase", "lr").distinct().select("phase", "lr", seeds)
+    return scores.find_runs(ledger, wanted, ["phase", "lr", "seed"], ["ts", "seq"])
+
+
 @query(
     "run_ledger_overlay",
     with_runs(
