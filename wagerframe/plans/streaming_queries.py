@@ -60,16 +60,22 @@ def stream_running_metrics(spark, folder):
     return jobs.latest_batch(spark, f"{place}/metrics").withColumn("total", F.round("total", 4))
 
 
-@query("stream_once_per_key", "SELECT count(DISTINCT (user_id, event_type))::BIGINT AS n FROM events")
+@query("stream_once_per_key", "SELECT count(DISTINCT (user_id, event_type))::BIGINT AS n, true AS state_bounded FROM events")
 def stream_once_per_key(spark, folder):
-    """Distinct (run, metric) keys; the delay covers the whole span of the table."""
+    """Distinct (run, metric) keys of a stream; the keys kept as state are at most those of the last two delays."""
     place = workspace(spark)
-    schema = table(spark, folder, "events").schema
-    rows = jobs.read_files(spark, folder, schema, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    once = jobs.once_per_key(rows, ["user_id", "event_type"], "ts", "3650 days").select("user_id", "event_type")
+    events = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = jobs.read_files(spark, folder, table(spark, folder, "events").schema, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    once = jobs.once_per_key(rows, ["user_id", "event_type"], "ts", "1 day").select("user_id", "event_type")
     stream = (
         once.writeStream.format("parquet").option("path", f"{place}/keys").option("checkpointLocation", f"{place}/checkpoint")
         .trigger(availableNow=True).start()
     )
     finish(stream)
-    return spark.read.parquet(f"{place}/keys").agg(F.count("*").alias("n"))
+    last = events.agg(F.max("ts") - F.expr("INTERVAL 2 DAYS")).scalar()
+    recent = events.filter(F.col("ts") > last).agg(F.count_distinct("user_id", "event_type").alias("recent"))
+    return (
+        spark.read.parquet(f"{place}/keys")
+        .agg(F.count("*").alias("n"))
+        .withColumn("state_bounded", F.lit(jobs.state_rows(stream)) <= recent.scalar())
+    )

@@ -95,6 +95,12 @@ def once_per_key(answers: DataFrame, keys: list[str], time: str, delay: str) ->
     return answers.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
+def state_rows(stream: StreamingQuery) -> int:
+    """Rows of state that a stream holds after its newest batch."""
+    progress = stream.lastProgress
+    return sum(operator["numRowsTotal"] for operator in progress["stateOperators"]) if progress else 0
+
+
 def running_sums(rows: DataFrame, dims: list[str], value: str) -> DataFrame:
     """Counts and sums kept as state, so a batch costs its own rows only."""
     return rows.groupBy(*dims).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.max(value).alias("top"))
