@@ -22,6 +22,7 @@ SOME = [
     "long_answer_strategies", "capped_rows_whole_situations", "nearest_row_totals", "mix_sizes_by_percent", "csv_round_trip",
     "csv_typed", "json_rows_round_trip", "run_results_round_trip", "published_versions", "best_of_items", "catalog_datasets",
     "resume_differences", "complete_runs", "stale_flags", "stored_results", "cot_examples_in_order", "sampled_ids",
+    "json_list_in_splits", "run_lookup", "stream_once_per_key", "drop_bad_situations",
 ]
 NAMES = list(catalogue.queries()) if os.environ.get("WAGERFRAME_ALL") else SOME
 

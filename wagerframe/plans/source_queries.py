@@ -55,6 +55,26 @@ def json_rows_round_trip(spark, folder):
     return read[0].unionByName(read[1]).select("layout", "conv_id", "turn", "role", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 
 
+@query(
+    "json_list_in_splits",
+    "SELECT doc_id, lang, md5(coalesce(text, '')) AS text_md5, true AS several_tasks FROM documents",
+)
+def json_list_in_splits(spark, folder):
+    """Documents as one JSON list in one file, read by several tasks."""
+    docs = table(spark, folder, "documents").select(F.col("doc_id").cast("long"), "lang", "text")
+    path = shared_folder(spark, "documents-list")
+    readers.write_indented_list(docs, path)
+    key, size = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set(key, "256k")
+    try:
+        read = readers.read_indented_list(spark, path, docs.schema)
+        tasks = save(read.withColumn("task", F.spark_partition_id()), "read-list")
+    finally:
+        spark.conf.set(key, size)
+    used = tasks.agg(F.count_distinct("task") > 1).scalar()
+    return tasks.select("doc_id", "lang", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), used.alias("several_tasks"))
+
+
 @query(
     "run_results_round_trip",
     "SELECT s_suppkey AS example, s_nationkey AS run, s_acctbal AS score FROM supplier",

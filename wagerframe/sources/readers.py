@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from wagerframe.operators import ranking
 from wagerframe.session import save
 
 ROW_ID = "row_idx"
@@ -61,6 +62,35 @@ def read_rows(spark: SparkSession, path: str, schema: T.StructType | None = None
     return direct.unionByName(listed)
 
 
+def read_indented_list(spark: SparkSession, path: str, schema: T.StructType, indent: int = 2) -> DataFrame:
+    """One JSON list, written with line breaks and ``indent`` blanks a level, read by as many tasks as its size asks for.
+
+    A record ends in a line of its closing brace alone, one level deep. No text can
+    hold such a line, as JSON writes line breaks in texts as escapes; so Spark's text
+    reader may split the file at them, wherever a task's share begins. Records that
+    cannot be parsed fail the job.
+    """
+    end = "\n" + " " * indent + "}"
+    pieces = spark.read.option("lineSep", end).text(path).select(F.regexp_replace("value", r"^\s*[\[,]?\s*", "").alias("body"))
+    records = pieces.filter(F.col("body").startswith("{")).select(F.concat("body", F.lit("\n}")).alias("body"))
+    parsed = records.select(F.from_json("body", schema, {"mode": "FAILFAST"}).alias("r"))
+    return parsed.select("r.*")
+
+
+def write_indented_list(df: DataFrame, path: str) -> None:
+    """Rows as one JSON list in one file, as ``read_indented_list`` reads it; for tables that others want as one file."""
+    last = df.count()
+    numbered = ranking.dense_index(df.select(F.to_json(F.struct("*"), {"pretty": "true", "ignoreNullFields": "false"}).alias("j")), [F.col("j")], "k")
+    body = F.concat(F.lit("  "), F.replace("j", F.lit("\n"), F.lit("\n  ")))
+    lines = numbered.select(
+        "k",
+        F.concat(
+            F.when(F.col("k") == 1, "[\n").otherwise(""), body, F.when(F.col("k") < last, ",").otherwise("\n]")
+        ).alias("value"),
+    )
+    lines.coalesce(1).sortWithinPartitions("k").select("value").write.text(path)
+
+
 def read_run_results(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Result rows of a run file: ``results``, else ``resume_records``; a ``.bak`` copy stands in for a broken file."""
     wide = T.StructType(
