@@ -87,7 +87,8 @@ class DigestIndex:
         (null last), stays, unless an earlier batch holds the digest. New digests are
         appended first; decisions are taken from the index as read back. Of repeated
         rows exactly one stays. Returns ``_id, digest, keep_id, group_size, kept``;
-        ``group_size`` counts this batch. An empty table gives an empty result.
+        ``group_size`` counts this batch. Very long texts are digested whole. An empty
+        table gives an empty result.
         """
         rows = save(digests(docs, id_col, text_col), "digests")
         order = F.struct("chars", F.col("_id").isNotNull(), -F.coalesce("_id", F.lit(0)), -F.col("_row"))

@@ -193,7 +193,9 @@ def identify_languages(docs: DataFrame, folds: int = 4, held_out_fold: int = 2,
     Only rows outside the held-out fold, with a language and a letter in their
     text, are learned from. Predictions see the text alone. Null texts and texts
     without a letter are ``und`` with score 0, as is every row where there was
-    nothing to learn from; equal texts get equal predictions; no rows give no rows.
+    nothing to learn from; equal texts get equal predictions, so repeated rows do, and
+    languages that tie go to the first by name; a very long text counts whole; other
+    columns are not read; no rows give no rows.
     """
     held_out = remainder(F.col("doc_id"), folds) == held_out_fold
     learnable = ~held_out & F.col("lang").isNotNull() & F.regexp_like("text", F.lit(r"\p{L}"))

@@ -121,7 +121,8 @@ def mix(
     ``taken`` words in all, made of ``whole_rounds`` complete copies and, where the
     schedule ends inside the document, its first ``cut`` words. Null or empty
     texts have size 0 and nothing is taken of them; null sources are a source;
-    repeated rows count each; no rows give no rows.
+    repeated rows count each; a very long document is a long stretch of its stream,
+    of which a round may take a part; no rows give no rows.
     """
     text = F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string"))
     sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))

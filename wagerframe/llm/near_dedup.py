@@ -289,7 +289,8 @@ def near_duplicates(docs: DataFrame, block_docs: int = 512, block_shingles: int
     Null, empty and blank texts have an empty set and are linked with nothing; a
     text of fewer than five words is one shingle. A node is an id: rows of equal id
     are linked. Rows without an id are linked with nothing, have a null component
-    and are kept. No rows give no rows. Other columns are not read. Returns
+    and are kept. A very long text is compared by its whole set. No rows give no rows.
+    Other columns are not read. Returns
     ``doc_id, n_shingles, component_id, kept``.
     """
     sketched = save(sketches(docs), "near-sketches")

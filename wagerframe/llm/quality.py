@@ -218,7 +218,8 @@ def judge(
     Returns ``doc_id``, the five counts, ``base_failed``, ``distance`` (null if
     base_failed) and ``kept``. Null languages and sources are groups like others;
     null, empty and blank texts have no words and fail the base rules; equal rows
-    are judged alike; no rows give no rows. Other columns are not read.
+    are judged alike; very long texts are counted whole; no rows give no rows. Other
+    columns are not read.
     """
     counted = save(
         with_statistics(docs, "doc_id", "lang", "source").withColumn("base_failed", base_failed()), "quality-statistics"

@@ -344,7 +344,8 @@ def archive_pages(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFram
 
     A null html is an empty payload, a null url gives no target, a null page_id an
     empty record id that reads back as null; repeated rows are records each; no
-    rows give no archives and no rows. Other columns are not read.
+    rows give no archives and no rows. A very long payload is one record of its full
+    length. Other columns are not read.
     """
     return read_archives(write_archives(mark_revisits(pages, min_bytes), folder), folder)
 
