@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from wagerframe.functions import text
 from wagerframe.operators import generate, pairs, policy
 from wagerframe.operators import situations as sit
+from wagerframe.plans import catalogue
 from wagerframe.sources import catalog, readers, writers
 from wagerframe.streaming import jobs
 
@@ -191,3 +192,13 @@ def test_median_of_a_heavy_tail(spark):
     assert got == exact and got["t"] == 1.5
     assert pairs.exact_median(heavy, [], "v", "m").first().m == exact["p"]
     assert pairs.exact_median(few.limit(0), [], "v", "m").first().m is None
+
+
+def test_situations_are_made_once_for_all_quantities(spark, tmp_path):
+    spark.createDataFrame(
+        [(k, k * 3, 1000.0 + k, "3-MEDIUM", "O") for k in range(1, 9)],
+        "o_orderkey long, o_custkey long, o_totalprice double, o_orderpriority string, o_orderstatus string",
+    ).write.parquet(str(tmp_path / "orders.parquet"))
+    read = catalogue.queries()["transfer_prompts_read_back"](spark, str(tmp_path))
+    assert read._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    assert read.select("domain", "situation_id").distinct().count() == 4 * 8

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wagerframe.functions import formats, text, wordings
+from wagerframe.functions.lottery import let
 
 # Phrases that betray a reference to the task's instructions.
 META_REFERENCES = [
@@ -191,7 +192,12 @@ def prompt_options(prompt: Column) -> Column:
         ),
         lambda s: F.size(s["outcomes"]) > 0,
     )
-    return F.when(F.size(found) > 0, found)
+    return _unless_empty(found)
+
+
+def _unless_empty(found: Column) -> Column:
+    """Null in place of an empty array, which is computed once: the optimizer may have put the writing of the text into it."""
+    return let(found, lambda options: F.when(F.size(options) > 0, options))
 
 
 def read_options(prompt: Column, domain: str) -> Column:
@@ -219,4 +225,4 @@ def read_options(prompt: Column, domain: str) -> Column:
         return F.zip_with(F.regexp_extract_all(body, F.lit(pattern), F.lit(1)), F.regexp_extract_all(body, F.lit(pattern), F.lit(2)), one)
 
     found = F.transform(lines, lambda v: F.struct(F.lower(F.regexp_extract(v, _LINE, 1)).alias("label"), outcomes(v).alias("outcomes")))
-    return F.when(F.size(found) > 0, found)
+    return _unless_empty(found)
