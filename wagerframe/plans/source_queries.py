@@ -68,11 +68,12 @@ def json_list_in_splits(spark, folder):
     spark.conf.set(key, "256k")
     try:
         read = readers.read_indented_list(spark, path, docs.schema)
-        tasks = save(read.withColumn("task", F.spark_partition_id()), "read-list")
+        digest = F.md5(F.coalesce("text", F.lit(""))).alias("text_md5")
+        tasks = save(read.select("doc_id", "lang", digest, F.spark_partition_id().alias("task")), "read-list")
     finally:
         spark.conf.set(key, size)
     used = tasks.agg(F.count_distinct("task") > 1).scalar()
-    return tasks.select("doc_id", "lang", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), used.alias("several_tasks"))
+    return tasks.select("doc_id", "lang", "text_md5", used.alias("several_tasks"))
 
 
 @query(
