@@ -222,6 +222,17 @@ def test_encoder_equals_the_library():
         assert encoder.encode(text or "") == np.asarray(ids, dtype="<u4").tobytes(), text
 
 
+def test_encoder_tokenizes_letters_once_whatever_stands_around_them():
+    encoder = vocabularies.Encoder(vocabularies.load("byte_bpe_50k.json", None))
+    library, asked = encoder.tokenizer, []
+    encoder._pre_token = lambda mapped, ask=encoder._pre_token: asked.append(mapped) or ask(mapped)
+    texts = [f"so {word}{marks} {word}{marks}\n{word} {word}{marks}\n\n{word}" for word in ("quorble", "Zanthip") for marks in ("", ".", ",", "!)", "...")]
+    for text in [*texts, "a.\n\r b", "a\n\tb c\n d", "it's\nit's 's\n's", "中,\né́ x_\n_y", "a\x85\nb"]:
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert encoder.encode(text) == np.asarray(ids, dtype="<u4").tobytes(), text
+    assert sum(a.endswith(("quorble", "Zanthip")) for a in asked) <= 4 + 2 * sum("\n\n" in t for t in texts)
+
+
 @pytest.mark.parametrize("sizes", [{}, {"block_docs": 2, "hot_docs": 2, "spread": 2}, {"block_words": 5}])
 def test_token_counts(spark, sizes):
     texts = [*TEXTS, *(t for _, t, *_ in awkward_rows())]

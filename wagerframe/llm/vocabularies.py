@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 import struct
 from functools import lru_cache
 
@@ -79,17 +80,29 @@ class Encoder:
     For byte-level tokenizers that split off words with at most one leading space
     and normalize nothing. Such a split falls between a space and what precedes
     it, unless the space has white space on both sides or ends the text; so other
-    texts are cut at their spaces and each word is encoded once. Texts with those
-    spaces or with an added token's string go to the library whole.
+    texts are cut at their spaces and each word is encoded once, whatever marks
+    stand behind it; where the library splits off a single line feed, the words
+    around it are encoded by themselves. Texts with those spaces or with an added
+    token's string go to the library whole.
     """
 
     def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
+        self.tokenizer, self.model = tokenizer, tokenizer.model
         self.pre_tokens = PreTokens(tokenizer)
         self.space = self.pre_tokens.of_text(" ")[0]
         self.maybe, self.whole = re.compile(r" \s"), re.compile(r"\s \s")
-        self.words = Recent(self._word)
+        self.words, self.starts = Recent(self._word), Recent(self._start)
         self.marks = Recent(self._any)
+        self.feed = self._line_feed()
+        letters = self.pre_tokens.letters
+        self.plain_ascii = all(letters.get(ord(c)) == c for c in string.ascii_letters)
+
+    def _line_feed(self) -> bytes | None:
+        """Ids of a line feed, if it is a pre-token of its own between whatever is not white space."""
+        of_text = self.pre_tokens.of_text
+        ends = ["a", "A", "1", "é", "中", "'", *MARKS]
+        alone = all(of_text(f"{a}\n{b}") == [*of_text(a), *of_text("\n"), *of_text(b)] for a in ends for b in ends)
+        return self._any("\n") if alone else None
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
@@ -99,23 +112,45 @@ class Encoder:
         first, *rest = text.split(" ")
         return self._any(first) + b"".join(map(self.words.__getitem__, rest))
 
+    def _split(self, word: str, known: Recent) -> bytes | None:
+        """Ids of a word put together from those of its lines, or of its letters and marks; None if it has neither."""
+        letters = word.rstrip(MARKS)
+        if letters.isalpha():
+            if len(letters) < len(word) and (letters.isascii() or self.pre_tokens.known.fullmatch(letters)):
+                return known[letters] + self.marks[word[len(letters) :]]
+        elif self.feed is not None and "\n" in word:
+            head, *lines = word.split("\n")
+            # White space beside a line feed may belong to its pre-token.
+            if head and all(lines) and not any(c.isspace() for line in (head, *lines) for c in (line[0], line[-1])):
+                return known[head] + b"".join([self.feed + self.starts[line] for line in lines])
+        return None
+
     @staticmethod
     def pack(ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _word(self, word: str) -> bytes:
         """Ids of a word after a space."""
+        if word.isalpha() and word.isascii() and self.plain_ascii:
+            return self._pre_token(self.space + word)
+        ids = self._split(word, self.words)
+        if ids is not None:
+            return ids
         plain = self.pre_tokens.of_plain_word(word)
-        if plain is None:
-            return self._any(" " + word)
-        ids = self._pre_token(self.space + plain[0])
-        return ids + self.marks[plain[1]] if plain[1] else ids
+        return self._any(" " + word) if plain is None else self._pre_token(self.space + plain[0])
+
+    def _start(self, word: str) -> bytes:
+        """Ids of a word at the start of a line."""
+        if word.isalpha() and word.isascii() and self.plain_ascii:
+            return self._pre_token(word)
+        ids = self._split(word, self.starts)
+        return self._any(word) if ids is None else ids
 
     def _any(self, text: str) -> bytes:
         return b"".join(map(self._pre_token, self.pre_tokens.of_text(text))) if text else b""
 
     def _pre_token(self, mapped: str) -> bytes:
-        return self.pack([t.id for t in self.tokenizer.model.tokenize(mapped)])
+        return self.pack([t.id for t in self.model.tokenize(mapped)])
 
 
 @lru_cache(maxsize=2)
