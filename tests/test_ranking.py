@@ -94,3 +94,12 @@ def test_exact_median(spark):
         ordered = sorted(values)
         assert got["g"] == (ordered[(n - 1) // 2] + ordered[n // 2]) / 2
         assert got["h"] == 4.0
+
+
+def test_spread_positions_computes_its_rows_once(spark):
+    read = spark.sparkContext.accumulator(0)
+    costly = F.udf(lambda v: read.add(1) or v % 7, "long")
+    rows = spark.range(300, numPartitions=3).select("id", costly("id").alias("group"))
+    found = ranking.spread_positions(rows, "group", F.col("id")).collect()
+    assert sorted(r["position"] for r in found) == list(range(1, 301))
+    assert read.value == 300
