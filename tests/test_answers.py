@@ -109,3 +109,21 @@ def test_long_answers_take_time_in_proportion(spark):
     start = time.time()
     assert [r.choice for r in answers.parse_choice(df).collect()] == ["2", None, "2", "2"]
     assert time.time() - start < 60
+
+
+def test_one_match_is_cut_out_like_one_of_several(spark):
+    pattern = r"\boption\s+([a-z0-9]+)"
+    sql = answers._mentions("body", pattern, "array('a', 'b')")
+    assert answers._only_mention("body", pattern) in sql  # no marks for one match
+    before, after = "Well, yes. So I say", "it is! Fine."
+    rows = [(f"{before} option b, {after}",), (f"{before} option b, {after} Not option z.",), ("option z",), ("none",)]
+    got = [r.m for r in spark.createDataFrame(rows, "body string").selectExpr(f"{sql} AS m").collect()]
+    assert got[2:] == [None, None]
+    for mentions in got[:2]:
+        assert [tuple(m) for m in mentions] == [("b", " So I say ", "option b", ", it is", len(before) + len(" option b"))]
+
+
+def test_label_search_takes_only_possible_labels(spark):
+    rows = [("the second of optionb 17 x1 choices",)]
+    found = spark.createDataFrame(rows, "body string").selectExpr(f"regexp_extract_all(body, {answers._q(answers._LABEL_RUN)}, 0) AS r")
+    assert found.first().r == ["second", "optionb", "17"]

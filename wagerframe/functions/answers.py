@@ -193,9 +193,10 @@ def _mentions(body: str, pattern: str, valid: str) -> str:
 
     ``left`` and ``right`` are the rest of the match's sentence and ``stop`` is where
     the match ends, counted in characters; no mention carries more of the text, so
-    a long text costs in proportion to its length. Matches are wrapped in control
-    characters and the text is split on them once.
+    a long text costs in proportion to its length. A single match is cut out by itself;
+    several are wrapped in control characters and the text is split on them once.
     """
+    label_of = f"transform(regexp_extract_all({body}, {_q(_U + pattern)}, 1), token -> {_spoken('token')})"
     marked = f"regexp_replace({body}, {_q(_U + pattern)}, {_q(f'{_START}$0{_MID}$1{_END}')})"
     label = _spoken(f"regexp_extract(part, {_q(f'{_MID}([^{_END}]*){_END}')}, 1)")
     plain = f"regexp_replace(part, {_q(f'{_MID}[^{_END}]*{_END}')}, '')"
@@ -220,7 +221,21 @@ def _mentions(body: str, pattern: str, valid: str) -> str:
     one = f"named_struct('label', get(cells, i).label, 'left', {left}, 'hit', get(cells, i).hit, 'right', {right}, 'stop', {stop})"
     known = f"filter(sequence(1, size(cells) - 1), n -> array_contains({valid}, get(cells, n).label))"
     found = _let(known, "found", _when("size(found) > 0", _let(pieces, "pieces", f"transform(found, i -> {one})")))
-    return _when(_rlike(body, pattern), _let(cells, "cells", _when("size(cells) > 1", found)))
+    many = _let(cells, "cells", found)
+    chosen = f"CASE WHEN NOT arrays_overlap(labels, {valid}) THEN NULL WHEN size(labels) = 1 THEN {_only_mention(body, pattern)} ELSE {many} END"
+    return _when(_rlike(body, pattern), _let(label_of, "labels", chosen))
+
+
+def _only_mention(body: str, pattern: str) -> str:
+    """The mention of the only match of ``pattern``, whose label is in ``labels``."""
+    cut = (
+        f"named_struct('before', regexp_extract({body}, {_q(_U + rf'(?s)^(.*?)(?-s:{pattern})')}, 1), "
+        f"'hit', regexp_extract({body}, {_q(_U + pattern)}, 0))"
+    )
+    left, right = f"regexp_extract(cut.before, {_q(_FROM_BREAK)}, 0)", f"regexp_extract(rest, {_q(_TO_BREAK)}, 0)"
+    stop = "length(cut.before) + length(cut.hit)"
+    one = f"array(named_struct('label', labels[0], 'left', {left}, 'hit', cut.hit, 'right', {right}, 'stop', stop))"
+    return _let(cut, "cut", _let(stop, "stop", _let(f"substr({body}, stop + 1)", "rest", one)))
 
 
 _NO_MENTIONS = "cast(array() AS array<struct<label:string,left:string,hit:string,right:string,stop:int>>)"
@@ -258,7 +273,8 @@ def _last_start(body: str, pattern: str) -> str:
 
 def _readings(bodies: list[str], chars: int | None) -> str:
     """Texts, each with the place from which on nothing turns a choice into a condition any more."""
-    turn = f"least({_last_start('body', _IF_YOU)}, {_last_start('body', CONDITION_WEIGHT)})" if chars is None else "cast(NULL AS int)"
+    turns = f"least({_last_start('body', _IF_YOU)}, {_last_start('body', CONDITION_WEIGHT)})"
+    turn = f"CASE WHEN contains(body, 'if') THEN {turns} ELSE -1 END" if chars is None else "cast(NULL AS int)"
     return f"transform(array_distinct(array({', '.join(bodies)})), body -> named_struct('body', body, 'turn', {turn}))"
 
 
@@ -280,19 +296,27 @@ def _last_label(body: str, patterns: list[str], valid: str, veto: str | None = N
     if veto is None and len(patterns) == 1:  # nothing around the mentions is looked at
         found = f"transform(regexp_extract_all({body}, {_q(_U + patterns[0])}, 1), token -> {_spoken('token')})"
         return f"try_element_at(filter({found}, known -> array_contains({valid}, known)), -1)"
-    found = _all_mentions(body, patterns, valid)
-    if veto is not None:
-        found = f"filter({found}, m -> NOT ({veto}))"
-    return f"try_element_at({found}, -1).label"
+
+    def last(pattern: str) -> str:
+        found = _mentions(body, pattern, valid)
+        if veto is not None:
+            found = f"filter({found}, m -> NOT ({veto}))"
+        return f"try_element_at({found}, -1).label"
+
+    return _first_of(*[last(p) for p in reversed(patterns)])
 
 
 #: Words that a label may follow without a blank.
 _LEADS = r"(?:option|answer|choice|selection|final|is|be)([a-z0-9]+)"
 
 
+#: Runs of letters and digits that could be a label: one letter, a number, or a word that stands for one.
+_LABEL_RUN = rf"(?<![a-z0-9])(?:option|answer)?(?:[a-z]|[0-9]+|{'|'.join(text.ROMAN + text.ORDINAL)})(?![a-z0-9])"
+
+
 def _speaks(body: str, compact: str, valid: str) -> str:
     """Some run of letters and digits could be a valid label; a text without one needs no cascade."""
-    runs = f"concat(regexp_extract_all({body}, '[a-z0-9]+', 0), regexp_extract_all({body}, {_q(_LEADS)}, 1), array({compact}))"
+    runs = f"concat(regexp_extract_all({body}, {_q(_LABEL_RUN)}, 0), regexp_extract_all({body}, {_q(_LEADS)}, 1), array({compact}))"
     return f"exists({runs}, run -> array_contains({valid}, {_spoken('run')}))"
 
 
@@ -302,6 +326,11 @@ _PRAISE = ["best", "better", "preferred", "preferable", "optimal", "attractive",
 _MORE = ["higher", "highest", "greater", "greatest", "largest"]
 
 
+#: A text that can be a label by itself: at most sixteen characters besides blanks and quoting (``option`` or ``answer`` and ten digits).
+_EDGE = r"[\s'\"`*_\[\](){}<>.,;:!?]"
+_BARE = rf"^{_EDGE}*+(?:[^{_EDGE[1:]}{_EDGE}*+){{1,16}}+\z"
+
+
 def _any_word(body: str, words: list[str]) -> str:
     return "(" + " OR ".join(f"contains({body}, '{word}')" for word in words) + ")"
 
@@ -317,11 +346,14 @@ def _cues(body: str) -> str:
         "decides": decides,
         "praises": _any_word(body, _PRAISE),
         "compares": _any_word(body, _MORE),
-        "concludes": f"({decides} OR {_any_word(body, [*_PRAISE, *_MORE, 'correct', 'right', 'lowest'])})",
+        "settles": _any_word(body, ["correct", "right", "lowest"]),
     }
     return f"named_struct({', '.join(f"'{name}', {cue}" for name, cue in cues.items())})"
 
 
+_CONCLUDES = "(_cues.decides OR _cues.praises OR _cues.compares OR _cues.settles)"
+
+
 # --- tiers -----------------------------------------------------------------------
 
 
@@ -346,8 +378,13 @@ def _lines(body: str) -> str:
     return f"split({body}, {_q(r'\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]')})"
 
 
+_NUMBERED = r"(?:^|\n)\s*\d|[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+
 def _without_numbers(body: str) -> str:
-    return f"array_join(transform({_lines(body)}, line -> {_without_number('line')}), '\\n')"
+    """Numbers before lines cut off; most texts have neither such numbers nor other line breaks than line feeds."""
+    cut = f"array_join(transform({_lines(body)}, line -> {_without_number('line')}), '\\n')"
+    return f"CASE WHEN {_rlike(body, _NUMBERED)} THEN {cut} ELSE {body} END"
 
 
 def _filled(values: str) -> str:
@@ -419,16 +456,20 @@ _VALUE_TIER = [
 ]
 
 
+# What may stand before a conclusion; only mentions whose sentence is looked at need it.
+_LED = rf"{CONNECTIVE}(?:the\s+)?"
+
+
 def _conclusion(kinds: str) -> str:
     return (
-        rf"{CONNECTIVE}(?:the\s+)?(?:best|preferred|correct|right|optimal{kinds}|"
+        rf"(?:best|preferred|correct|right|optimal{kinds}|"
         rf"{DEGREE % ''}(?:more|most)\s+(?:attractive|appealing))\s+(?:option|choice|answer)"
         rf"(?:\s+for\b[^\n]{{0,120}}?)?\s*(?:is|would\s+be|seems\s+to\s+be|appears\s+to\s+be)\s*{NAMED_ONE}"
     )
 
 
 _MODAL_CHOICE = (
-    rf"{CONNECTIVE}(?:i|we)\s+(?:should|would|will|must|ought\s+to)\s+{INTENSIFIERS}"
+    rf"(?:i|we)\s+(?:should|would|will|must|ought\s+to)\s+{INTENSIFIERS}"
     rf"(?:choose|select|pick|go\s+with|opt\s+for)\s+{NAMED}"
 )
 
@@ -499,7 +540,7 @@ def parse_choice(
         text.label_domain(F.col(num_options)).alias("_valid"),
         text.label_domain(F.col(num_options), style).alias("_styled"),
         style.alias("_style"),
-    ).withColumn("_compact", text.spoken_label(F.regexp_replace("_text", _U + r"\s+", "")))
+    ).withColumn("_compact", F.when(F.col("_text").rlike(_U + _BARE), text.spoken_label(F.regexp_replace("_text", _U + r"\s+", ""))))
     for stage in _stages(windows):
         out = out.selectExpr("*", *[f"{sql} AS {name}" for name, sql in stage.items()])
     found = "_found"
@@ -541,8 +582,8 @@ def _stages(windows: Windows) -> list[dict[str, str]]:
         _when("_cues.praises", _weak(_best_patterns("", "", True, []), "option_is_best", windows)),
         _when("_cues.praises", _weak(_MADE_BEST, "option_is_best", windows)),
         _when("_cues.compares", _weak(_VALUE_TIER, "expected_value_dominance", windows)),
-        _when("_cues.concludes", _sentence_tier("_sents", "_valid", n)),
-        _when("_cues.concludes AND _bare_tail != _tail", _sentence_tier("_bare_sents", "_valid", n)),
+        _when(_CONCLUDES, _sentence_tier("_sents", "_valid", n)),
+        _when(f"{_CONCLUDES} AND _bare_tail != _tail", _sentence_tier("_bare_sents", "_valid", n)),
         _said(_when("array_contains(_valid, _compact)", "_compact"), "bare_token"),
         _when("_cues.decides", _final_sentence("_sents", "_styled", "_style")),
     )
@@ -551,8 +592,8 @@ def _stages(windows: Windows) -> list[dict[str, str]]:
         {"_cues": _when("_speaks", _cues("_text"))},
         {"_explicit": _when("_speaks", _explicit())},
         {"_tail": _when("_speaks AND _explicit IS NULL", last_part)},
-        {"_bare_tail": _without_numbers("_tail"), "_lines": _filled(_lines("_tail")), "_sents": _last(_sentences("_tail"), n)},
-        {"_readings": _readings(["_tail", "_bare_tail"], windows.later_chars), "_bare_sents": _last(_sentences("_bare_tail"), n)},
+        {"_bare_tail": _without_numbers("_tail"), "_lines": _filled(_lines("_tail")), "_sents": _when(_CONCLUDES, _last(_sentences("_tail"), n))},
+        {"_readings": _readings(["_tail", "_bare_tail"], windows.later_chars), "_bare_sents": _when(f"{_CONCLUDES} AND _bare_tail != _tail", _last(_sentences("_bare_tail"), n))},
         {"_found": _when("_speaks", full)},
     ]
 
@@ -571,8 +612,8 @@ def _rescue_stages(windows: Windows) -> list[dict[str, str]]:
 
     veto = _hedged("m", True)
     read = _first_of(
-        _said(_last_label("sentence", [_conclusion(r"|clear(?:est)?|winner")], "_valid", veto), "best_choice_is"),
-        _said(_last_label("sentence", [_MODAL_CHOICE], "_valid", veto), "decision_modal"),
+        _said(_last_label("sentence", [_LED + _conclusion(r"|clear(?:est)?|winner")], "_valid", veto), "best_choice_is"),
+        _said(_last_label("sentence", [CONNECTIVE + _MODAL_CHOICE], "_valid", veto), "decision_modal"),
     )
     later = _let(_following("_whole_sents", "at", windows.later_sentences), "later", _conditional_text("later"))
     decided = _let(read, "read", _when(f"read IS NOT NULL AND NOT {_rlike('sentence', NON_ANSWER)} AND NOT {later}", "read"))
@@ -582,7 +623,7 @@ def _rescue_stages(windows: Windows) -> list[dict[str, str]]:
         _when("_cues.decides", tier(_verb_patterns(agent=True), "decision_verb")),
         _when("_cues.praises", tier(_best_patterns(extra_best, strong_degree, False, [ranked]), "option_is_best")),
         _when("_cues.compares", tier([_HAS_HIGHEST, _OPTION_WITH_HIGHEST], "expected_value_dominance")),
-        _when("_cues.concludes", f"try_element_at(array_compact(transform(_whole_sents, (sentence, at) -> {decided})), -1)"),
+        _when(_CONCLUDES, f"try_element_at(array_compact(transform(_whole_sents, (sentence, at) -> {decided})), -1)"),
     )
     return [
         {"_whole": _when("_cut", "_text")},
