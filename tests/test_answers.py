@@ -127,3 +127,8 @@ def test_label_search_takes_only_possible_labels(spark):
     rows = [("the second of optionb 17 x1 choices",)]
     found = spark.createDataFrame(rows, "body string").selectExpr(f"regexp_extract_all(body, {answers._q(answers._LABEL_RUN)}, 0) AS r")
     assert found.first().r == ["second", "optionb", "17"]
+
+
+def test_line_without_number_is_read_once():
+    once = answers._line_label("line", "array('a')", None, False)
+    assert "bare != line" in once

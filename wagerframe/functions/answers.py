@@ -179,7 +179,7 @@ def _spoken(token: str) -> str:
 
 
 def _said(label: str, strategy: str) -> str:
-    return f"get(transform(filter(array({label}), said -> said IS NOT NULL), said -> named_struct('choice', said, 'strategy', '{strategy}')), 0)"
+    return _let(label, "said", _when("said IS NOT NULL", f"named_struct('choice', said, 'strategy', '{strategy}')"))
 
 
 # --- mentions ------------------------------------------------------------------
@@ -371,7 +371,8 @@ def _line_label(line: str, valid: str, limit: int | None, refuse: bool) -> str:
         token = f"nullif(regexp_extract({candidate}, {_q(_U + SHORT_LINE)}, 1), '')"
         return _let(_spoken(token), "label", _when(" AND ".join(fits), "label"))
 
-    return _first_of(read(line), _let(_without_number(line), "bare", read("bare")))
+    # A line without a number before it would only be read a second time.
+    return _first_of(read(line), _let(_without_number(line), "bare", _when(f"bare != {line}", read("bare"))))
 
 
 def _lines(body: str) -> str:
