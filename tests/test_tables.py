@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from wagerframe.functions import text
 from wagerframe.operators import generate, pairs, policy
 from wagerframe.operators import situations as sit
-from wagerframe.plans import catalogue
+from wagerframe.plans import catalogue, views
 from wagerframe.sources import catalog, readers, writers
 from wagerframe.streaming import jobs
 
@@ -214,3 +214,16 @@ def test_situations_are_made_once_for_all_quantities(spark, tmp_path):
     read = catalogue.queries()["transfer_prompts_read_back"](spark, str(tmp_path))
     assert read._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
     assert read.select("domain", "situation_id").distinct().count() == 4 * 8
+
+
+def test_orders_are_dealt_out_on_a_cluster_too(spark, tmp_path, monkeypatch):
+    spark.createDataFrame(
+        [(k, k * 3, 1000.0 + k, "3-MEDIUM", "O") for k in range(1, 41)],
+        "o_orderkey long, o_custkey long, o_totalprice double, o_orderpriority string, o_orderstatus string",
+    ).coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    here = sorted(map(str, views.situations(spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://cluster:7077")
+    there = views.situations(spark, str(tmp_path))
+    filled = there.select(F.spark_partition_id().alias("part")).distinct().count()
+    assert there.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism and filled > spark.sparkContext.defaultParallelism
+    assert sorted(map(str, there.collect())) == here

@@ -17,7 +17,7 @@ from wagerframe.plans.views import cents_sql, rsig, situations, with_options
 
 
 def keys(spark, folder):
-    return spread(table(spark, folder, "orders").select("o_orderkey"), "o_orderkey")
+    return spread(table(spark, folder, "orders").select("o_orderkey"), "o_orderkey", costly=True)
 
 
 def u(stream):
