@@ -132,3 +132,18 @@ def test_label_search_takes_only_possible_labels(spark):
 def test_line_without_number_is_read_once():
     once = answers._line_label("line", "array('a')", None, False)
     assert "bare != line" in once
+
+
+def test_mentions_are_found_by_one_search():
+    for pattern in [answers.PASSIVE, *answers._best_patterns("", "", True, []), answers._MADE_BEST[0]]:
+        assert answers._mentions("body", pattern, "valid").count(answers._q(answers._U + pattern)) == 1
+
+
+def test_long_sentences_cost_in_proportion_to_their_length(spark):
+    """A sentence of half a million characters before the one that decides; its square would take hours."""
+    said = " ".join(["and", "then"] * 60_000) + ". I would choose option 2 because it suits me."
+    df = spark.createDataFrame([(said, 3)], "response string, num_options int")
+    started = time.time()
+    read = answers.parse_choice(df).first()
+    assert (read.choice, read.strategy) == ("2", "decision_verb")
+    assert time.time() - started < 60

@@ -160,8 +160,8 @@ def _rlike(cell: str, pattern: str) -> str:
 
 
 def _let(value: str, name: str, body: str) -> str:
-    """``body`` with ``name`` for the value, which is computed once."""
-    return f"get(transform(array({value}), {name} -> {body}), 0)"
+    """``body`` with ``name`` for the value, which is computed once; text form of ``lottery.let``."""
+    return f"aggregate(cast(array() AS array<int>), {value}, (acc, none) -> acc, {name} -> {body})"
 
 
 def _when(condition: str, value: str) -> str:
@@ -173,9 +173,11 @@ def _first_of(*choices: str) -> str:
 
 
 def _spoken(token: str) -> str:
-    """Text form of ``text.spoken_token``."""
-    word = f"regexp_replace({token}, '^(?:option|answer)', '')"
-    return _let(word, "word", f"coalesce(try_element_at({text.SPOKEN_NUMBERS}, word), word)")
+    """Text form of ``text.spoken_token``; single characters, most labels, need no search."""
+    roman = " ".join(f"WHEN '{word}' THEN '{i}'" for i, word in enumerate(text.ROMAN, 1) if len(word) == 1)
+    bare = "CASE WHEN startswith(token, 'option') OR startswith(token, 'answer') THEN substr(token, 7) ELSE token END"
+    word = _let(bare, "word", f"coalesce(try_element_at({text.SPOKEN_NUMBERS}, word), word)")
+    return _let(token, "token", f"CASE WHEN length(token) = 1 THEN CASE token {roman} ELSE token END ELSE {word} END")
 
 
 def _said(label: str, strategy: str) -> str:
@@ -185,7 +187,12 @@ def _said(label: str, strategy: str) -> str:
 # --- mentions ------------------------------------------------------------------
 
 _BREAK = r"[\n.!?]"
-_TO_BREAK, _FROM_BREAK = r"^[^\n.!?]*", r"[^\n.!?]*\z"
+_TO_BREAK, _UP_TO_BREAK = r"^[^\n.!?]*", r"(?s)^.*[\n.!?]"
+
+
+def _behind_break(cell: str) -> str:
+    """What lies behind the last sentence break."""
+    return f"regexp_replace({cell}, {_q(_UP_TO_BREAK)}, '')"
 
 
 def _mentions(body: str, pattern: str, valid: str) -> str:
@@ -193,21 +200,20 @@ def _mentions(body: str, pattern: str, valid: str) -> str:
 
     ``left`` and ``right`` are the rest of the match's sentence and ``stop`` is where
     the match ends, counted in characters; no mention carries more of the text, so
-    a long text costs in proportion to its length. A single match is cut out by itself;
-    several are wrapped in control characters and the text is split on them once.
+    a long text costs in proportion to its length. All matches are wrapped in control
+    characters by one search; a single match is cut out of the marked text, several are
+    had by splitting it once.
     """
-    label_of = f"transform(regexp_extract_all({body}, {_q(_U + pattern)}, 1), token -> {_spoken('token')})"
-    marked = f"regexp_replace({body}, {_q(_U + pattern)}, {_q(f'{_START}$0{_MID}$1{_END}')})"
     label = _spoken(f"regexp_extract(part, {_q(f'{_MID}([^{_END}]*){_END}')}, 1)")
     plain = f"regexp_replace(part, {_q(f'{_MID}[^{_END}]*{_END}')}, '')"
     cells = (
-        f"transform(split({marked}, {_q(_START)}), part -> named_struct('label', {label}, "
+        f"transform(split(marked, {_q(_START)}), part -> named_struct('label', {label}, "
         f"'hit', substring_index(part, {_q(_MID)}, 1), 'tail', substring_index(part, {_q(_END)}, -1), 'plain', {plain}))"
     )
     # Per part: whether it has a sentence break, what lies before its first and behind its last one, its length.
     pieces = (
         f"transform(cells, c -> named_struct('closed', rlike(c.plain, {_q(_BREAK)}), 'first', regexp_extract(c.plain, {_q(_TO_BREAK)}, 0), "
-        f"'last', regexp_extract(c.plain, {_q(_FROM_BREAK)}, 0), 'size', length(c.plain)))"
+        f"'last', {_behind_break('c.plain')}, 'size', length(c.plain)))"
     )
     before = "coalesce(array_max(filter(sequence(0, size(pieces) - 1), k -> k < i AND get(pieces, k).closed)), 0)"
     after = "coalesce(array_min(filter(sequence(0, size(pieces) - 1), k -> k > i AND get(pieces, k).closed)), size(pieces) - 1)"
@@ -222,20 +228,36 @@ def _mentions(body: str, pattern: str, valid: str) -> str:
     known = f"filter(sequence(1, size(cells) - 1), n -> array_contains({valid}, get(cells, n).label))"
     found = _let(known, "found", _when("size(found) > 0", _let(pieces, "pieces", f"transform(found, i -> {one})")))
     many = _let(cells, "cells", found)
-    chosen = f"CASE WHEN NOT arrays_overlap(labels, {valid}) THEN NULL WHEN size(labels) = 1 THEN {_only_mention(body, pattern)} ELSE {many} END"
-    return _when(_rlike(body, pattern), _let(label_of, "labels", chosen))
+    only = (
+        f"array(named_struct('label', label, 'left', {_behind_break('cut.before')}, 'hit', cut.hit, "
+        f"'right', regexp_extract(cut.rest, {_q(_TO_BREAK)}, 0), 'stop', length(cut.before) + length(cut.hit)))"
+    )
+    single = _let(_spoken("cut.token"), "label", _when(f"array_contains({valid}, label)", only))
+    several = _let("cut.marked", "marked", many)
+    chosen = _when("cut IS NOT NULL", f"CASE WHEN cut.single THEN {single} ELSE {several} END")
+    return _needing(body, pattern, _let(_only_mention(body, pattern), "cut", chosen))
 
 
 def _only_mention(body: str, pattern: str) -> str:
-    """The mention of the only match of ``pattern``, whose label is in ``labels``."""
-    cut = (
-        f"named_struct('before', regexp_extract({body}, {_q(_U + rf'(?s)^(.*?)(?-s:{pattern})')}, 1), "
-        f"'hit', regexp_extract({body}, {_q(_U + pattern)}, 0))"
-    )
-    left, right = f"regexp_extract(cut.before, {_q(_FROM_BREAK)}, 0)", f"regexp_extract(rest, {_q(_TO_BREAK)}, 0)"
-    stop = "length(cut.before) + length(cut.hit)"
-    one = f"array(named_struct('label', labels[0], 'left', {left}, 'hit', cut.hit, 'right', {right}, 'stop', stop))"
-    return _let(cut, "cut", _let(stop, "stop", _let(f"substr({body}, stop + 1)", "rest", one)))
+    """A text with its matches marked, cut at the only one of them; null without a match."""
+
+    def up_to(cell: str, mark: str) -> str:
+        return f"substring_index({cell}, {_q(mark)}, 1)"
+
+    def behind(cell: str, mark: str) -> str:
+        return f"substring_index({cell}, {_q(mark)}, -1)"
+
+    marked = f"regexp_replace({body}, {_q(_U + pattern)}, {_q(f'{_START}$0{_MID}$1{_END}')})"
+    cut = {
+        "marked": "marked",
+        "single": f"substring_index(marked, {_q(_START)}, 2) = marked",
+        "before": up_to("marked", _START),
+        "hit": behind(up_to("marked", _MID), _START),
+        "token": behind(up_to("marked", _END), _MID),
+        "rest": behind("marked", _END),
+    }
+    cells = ", ".join(f"'{name}', {cell}" for name, cell in cut.items())
+    return _let(marked, "marked", _when(f"contains(marked, {_q(_START)})", f"named_struct({cells})"))
 
 
 _NO_MENTIONS = "cast(array() AS array<struct<label:string,left:string,hit:string,right:string,stop:int>>)"
@@ -252,7 +274,9 @@ def _hedged(m: str, refuse_non_answer: bool = False) -> str:
     trimmed one.
     """
     before, after = f"substr(whole, 1, length({m}.left))", f"substr(whole, length({m}.left) + length({m}.hit) + 1)"
-    bad = [_rlike("whole", HEDGES), _rlike(before, HEDGED_BEFORE), _rlike(after, HEDGED_AFTER)]
+    hedges = f"{_any_word('whole', _HEDGE_WORDS)} AND {_rlike('whole', HEDGES)}"
+    led = f"{_any_word('whole', ['if', 'some'])} AND {_rlike(before, HEDGED_BEFORE)}"
+    bad = [f"({hedges})", f"({led})", _rlike(after, HEDGED_AFTER)]
     if refuse_non_answer:
         bad.append(_rlike("whole", NON_ANSWER))
     return _let(_trimmed(f"concat({m}.left, {m}.hit, {m}.right)"), "whole", f"({' OR '.join(bad)})")
@@ -288,14 +312,15 @@ def _conditional_later(reading: str, m: str, chars: int | None) -> str:
 
 def _conditional_text(later: str) -> str:
     you = rf"\bif\s+(?:you|the\s+agent)\b"
-    return f"(({_rlike(later, you)} AND {_rlike(later, CONDITION_WEIGHT)}) OR {_rlike(later, rf'\bfor\s+(?:a|an)\s+{ATTITUDE}')})"
+    turned = f"contains({later}, 'if') AND {_rlike(later, you)} AND {_rlike(later, CONDITION_WEIGHT)}"
+    return f"(({turned}) OR (contains({later}, 'risk-') AND {_rlike(later, rf'\bfor\s+(?:a|an)\s+{ATTITUDE}')}))"
 
 
 def _last_label(body: str, patterns: list[str], valid: str, veto: str | None = None) -> str:
     """Label of the last mention; ``veto`` is a condition on a mention ``m``."""
     if veto is None and len(patterns) == 1:  # nothing around the mentions is looked at
         found = f"transform(regexp_extract_all({body}, {_q(_U + patterns[0])}, 1), token -> {_spoken('token')})"
-        return f"try_element_at(filter({found}, known -> array_contains({valid}, known)), -1)"
+        return _needing(body, patterns[0], f"try_element_at(filter({found}, known -> array_contains({valid}, known)), -1)")
 
     def last(pattern: str) -> str:
         found = _mentions(body, pattern, valid)
@@ -316,14 +341,15 @@ _LABEL_RUN = rf"(?<![a-z0-9])(?:option|answer)?(?:[a-z]|[0-9]+|{'|'.join(text.RO
 
 def _speaks(body: str, compact: str, valid: str) -> str:
     """Some run of letters and digits could be a valid label; a text without one needs no cascade."""
-    runs = f"concat(regexp_extract_all({body}, {_q(_LABEL_RUN)}, 0), regexp_extract_all({body}, {_q(_LEADS)}, 1), array({compact}))"
-    return f"exists({runs}, run -> array_contains({valid}, {_spoken('run')}))"
+    ways = [f"array({compact})", f"regexp_extract_all({body}, {_q(_LABEL_RUN)}, 0)", f"regexp_extract_all({body}, {_q(_LEADS)}, 1)"]
+    return "(" + " OR ".join(f"exists({runs}, run -> array_contains({valid}, {_spoken('run')}))" for runs in ways) + ")"
 
 
 # Words without which the patterns of a tier cannot match; looking for them is much cheaper than matching.
 _DECIDE = ["choos", "chose", "select", "pick", "prefer", "recommend", "suggest"]
 _PRAISE = ["best", "better", "preferred", "preferable", "optimal", "attractive", "appealing", "clear", "winner"]
 _MORE = ["higher", "highest", "greater", "greatest", "largest"]
+_HEDGE_WORDS = ["may", "perhaps", "alternatively", "might", "could", "if", "risk-"]
 
 
 #: A text that can be a label by itself: at most sixteen characters besides blanks and quoting (``option`` or ``answer`` and ten digits).
@@ -335,6 +361,12 @@ def _any_word(body: str, words: list[str]) -> str:
     return "(" + " OR ".join(f"contains({body}, '{word}')" for word in words) + ")"
 
 
+def _needing(body: str, pattern: str, value: str) -> str:
+    """A value had from matches of ``pattern``; null at once for a text without the words that every match has."""
+    lists = _NEEDED.get(pattern, [])
+    return _when(" AND ".join(_any_word(body, words) for words in lists), value) if lists else value
+
+
 def _cues(body: str) -> str:
     """Which tiers a text can reach at all."""
     both = lambda a, b: f"(contains({body}, '{a}') AND contains({body}, '{b}'))"
@@ -358,7 +390,8 @@ _CONCLUDES = "(_cues.decides OR _cues.praises OR _cues.compares OR _cues.settles
 
 
 def _without_number(line: str) -> str:
-    return f"regexp_replace({line}, {_q(_U + r'^\s*\d+[.:]?\s+')}, '')"
+    """A line without the number before it; one that begins with a letter or another sign behind the digits has none."""
+    return f"CASE WHEN ascii({line}) BETWEEN 58 AND 127 THEN {line} ELSE regexp_replace({line}, {_q(_U + r'^\s*\d+[.:]?\s+')}, '') END"
 
 
 def _line_label(line: str, valid: str, limit: int | None, refuse: bool) -> str:
@@ -410,10 +443,11 @@ def _echo(lines: str, valid: str) -> str:
     body = _trimmed(f"regexp_extract(line, {_q(_U + ECHO_LINE)}, 2)")
     others = f"transform(regexp_extract_all(body, {_q(_U + rf'{OPEN}{TOKEN}{CLOSE}[.:]\s')}, 1), token -> {_spoken('token')})"
     fits = (
-        f"array_contains({valid}, label) AND length(body) >= 12 AND {_rlike('body', ECHO_WORDS)} "
+        f"length(body) >= 12 AND {_rlike('body', ECHO_WORDS)} "
         f"AND NOT {_rlike('body', REASONING_START)} AND NOT arrays_overlap({others}, {valid})"
     )
-    read = _let(f"get({lines}, 0)", "line", _let(label, "label", _let(body, "body", _when(fits, "label"))))
+    known = _when(f"array_contains({valid}, label)", _let(body, "body", _when(fits, "label")))
+    read = _let(f"get({lines}, 0)", "line", _let(label, "label", known))
     return _said(_when(f"size({lines}) = 1", read), "option_echo_line")
 
 
@@ -475,6 +509,36 @@ _MODAL_CHOICE = (
 )
 
 
+_NAMING = [rf"\boption\s*{OPEN}(?:the\s+)?{TOKEN}\s*(?:option|one)?{CLOSE}", rf"\bthe\s+{TOKEN}\s+(?:option|one)\b"]
+_CUE_WORDS = ["attractive", "appealing", "high", "great", "largest", "lowest", "would"]
+
+
+def _needed_words() -> dict[str, list[list[str]]]:
+    """Words without which the patterns cannot match: one of each list stands in every match."""
+    named, kinds = ["option", "choice", "answer"], ["best", "preferred", "correct", "right", "optimal", "attractive", "appealing"]
+    modals, choosing = ["would", "will", "should", "must", "ought"], ["choose", "select", "pick", "go", "opt"]
+    needed = {
+        PASSIVE: [["option"], ["chosen", "selected", "picked"]],
+        _verb_patterns(agent=True)[1]: [["artificial"], ["agent"]],
+        _COMPARE[0]: [["to", "over", "rather"]],
+        _MADE_BEST[0]: [["mak", "made"], ["option"], ["attractive", "appealing"]],
+        _HAS_HIGHEST: [["option"], ["has", "had", "offer"]],
+        _VALUE_TIER[0]: [["option"], ["has", "had", "offer"]],
+        _VALUE_TIER[1]: [["value", "utility", "ev"], ["of"], ["is", "was"]],
+        _OPTION_WITH_HIGHEST: [["option"], ["with"]],
+        _VALUE_TIER[3]: [["value", "utility", "ev"], ["for"]],
+        _NAMING[0]: [["option"]],
+        _NAMING[1]: [["option", "one"]],
+        _conclusion("") + CLAUSE_STOP % "|with": [named, kinds],
+        _LED + _conclusion(r"|clear(?:est)?|winner"): [named, [*kinds, "clear", "winner"]],
+    }
+    modal = _MODAL_CHOICE
+    return needed | {p: [modals, choosing] for p in (modal + CLAUSE_STOP % "", CONNECTIVE + modal)}
+
+
+_NEEDED = _needed_words()
+
+
 def _following(sentences: str, i: str, most: int | None) -> str:
     """The sentences behind number ``i``, at most ``most``, as one text."""
     return f"array_join(slice({sentences}, {i} + 2, {f'size({sentences})' if most is None else most}), ' ')"
@@ -486,12 +550,9 @@ def _one_named(named: str) -> str:
 
 
 def _sentence_tier(sentences: str, valid: str, following: int | None) -> str:
-    named = _all_mentions(
-        "sentence",
-        [rf"\boption\s*{OPEN}(?:the\s+)?{TOKEN}\s*(?:option|one)?{CLOSE}", rf"\bthe\s+{TOKEN}\s+(?:option|one)\b"],
-        valid,
-    )
-    single = _when(_rlike("sentence", SENTENCE_CUE), _let(named, "named", _when(_one_named("named"), "get(named, 0).label")))
+    named = _all_mentions("sentence", _NAMING, valid)
+    cued = f"{_any_word('sentence', _CUE_WORDS)} AND {_rlike('sentence', SENTENCE_CUE)}"
+    single = _when(cued, _let(named, "named", _when(_one_named("named"), "get(named, 0).label")))
     read = _first_of(
         _said(_last_label("sentence", [_conclusion("") + CLAUSE_STOP % "|with"], valid), "best_choice_is"),
         _said(_last_label("sentence", [_MODAL_CHOICE + CLAUSE_STOP % ""], valid), "decision_modal"),
